@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import langid, linedup
+from lexmill.llm import flac, langid, linedup
 from lexmill.session import table
 
 
@@ -12,6 +12,7 @@ def _on(name: str, op):
 
 def queries() -> dict:
     return {
+        "op6_flac_media": _on("documents", flac.op6),
         "op7_line_dedup": _on("documents", linedup.op7),
         "op9_language_id": _on("documents", langid.op9),
     }
