@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import flac, langid, linedup
+from lexmill.llm import fingerprints, flac, langid, linedup, spm, warc
 from lexmill.session import table
 
 
@@ -12,9 +12,12 @@ def _on(name: str, op):
 
 def queries() -> dict:
     return {
+        "op1_warc_archive": _on("pages", warc.op1),
         "op6_flac_media": _on("documents", flac.op6),
         "op7_line_dedup": _on("documents", linedup.op7),
+        "op8_sentencepiece": _on("documents", spm.op8),
         "op9_language_id": _on("documents", langid.op9),
+        "op10_fingerprints": _on("documents", fingerprints.op10),
     }
 
 
