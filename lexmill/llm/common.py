@@ -136,6 +136,18 @@ def rolling(firsts: np.ndarray, size: int, short: bool = False) -> tuple[np.ndar
     return starts, ends, bounds
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """By code point: whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, one blank after each, and the bounds of texts."""
+    codes = np.frombuffer("".join(f"{t} " for t in texts).encode("utf-32-le"), np.uint32)
+    return codes, np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+
 class Bloom:
     """A Bloom filter of fixed size over 64-bit keys: safe to broadcast at any data size.
 

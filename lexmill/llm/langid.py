@@ -10,114 +10,102 @@ language label is null are never learned from; with no labelled row at all every
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
+from lexmill.llm.common import Words, codes_of, letters, pieces, rolling, span_hashes
+
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+MARK = 0x2581  # begins and ends a word in n-grams
+
+
+class Table:
+    """Centred log frequencies of strings by language, found by hash."""
+
+    SMOOTH = 0.5
+
+    def __init__(self, per: list[dict[str, int]]) -> None:
+        keys = sorted(set().union(*per)) if per else []
+        codes, bounds = codes_of(keys)
+        hashes = span_hashes(codes, bounds[:-1], bounds[1:] - 1)
+        counts = np.array([[c.get(k, 0) for c in per] for k in keys], np.float64).reshape(len(keys), len(per))
+        logs = np.log((counts + self.SMOOTH) / (counts.sum(axis=0) + self.SMOOTH * max(1, len(keys))))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.rows = np.vstack([logs - logs.mean(axis=1, keepdims=True) if per else logs, np.zeros((1, len(per)))])[[*order, -1]].astype(np.float32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, the last (of zeros) for unknown ones."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
 
 
 class Model:
-    """Bounded tables: at most `words` words and `grams` n-grams a length for each language."""
+    """Bounded tables: words, and at most `grams` n-grams of a length for each language."""
 
-    LONGEST, SMOOTH, MEMO = 5, 0.5, 300_000
+    LONGEST = 5
 
     def __init__(self, counts: dict[str, dict[str, int]], grams: int = 20_000) -> None:
         self.langs = sorted(counts)
-        n = len(self.langs)
-        self.words = self._table([counts[x] for x in self.langs])
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
+        self.words = Table([counts[x] for x in self.langs])
+        self.grams = {}
         for size in range(1, self.LONGEST + 1):
             per = []
             for lang in self.langs:
                 c: Counter = Counter()
                 for word, k in counts[lang].items():
-                    w = f"▁{word}▁"
+                    w = f"{chr(MARK)}{word}{chr(MARK)}"
                     for i in range(len(w) - size + 1):
                         c[w[i : i + size]] += k
-                per.append(dict(c.most_common(grams)))
-            self.grams[size] = self._table(per)
-        self.none = np.zeros(n, np.float32)
-
-    def _table(self, per: list[dict[str, int]]) -> dict[str, np.ndarray]:
-        """Log frequencies, centred over languages: only differences matter to the choice."""
-        keys = set().union(*per) if per else set()
-        totals = [sum(c.values()) + self.SMOOTH * max(1, len(keys)) for c in per]
-        out = {}
-        for key in keys:
-            v = np.array([math.log((c.get(key, 0) + self.SMOOTH) / t) for c, t in zip(per, totals, strict=True)])
-            out[key] = (v - v.mean()).astype(np.float32)
-        return out
-
-    def score(self, word: str) -> np.ndarray:
-        """Centred log likelihoods of one word by language."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        w = f"▁{word}▁"
-        for size in range(min(self.LONGEST, len(w)), 0, -1):
+                per.append(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:grams]))
+            self.grams[size] = Table(per)
+
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of word scores by text and language, and the number of words of each text."""
+        codes, bounds = codes_of([t.lower() for t in texts])
+        found = Words(codes, bounds, ~letters())
+        n = len(texts)
+        out = np.zeros((n, len(self.langs)))
+        rows = self.words.find(found.hashes())
+        for i in range(len(self.langs)):
+            out[:, i] = np.bincount(found.doc, self.words.rows[rows, i], n)
+        unseen = np.flatnonzero(rows == len(self.words.hashes))
+        starts, lengths, doc = found.starts[unseen], (found.ends - found.starts)[unseen], found.doc[unseen]
+        for size in range(self.LONGEST, 0, -1):
+            if not len(doc):
+                break
+            firsts = np.concatenate([[0], np.cumsum(lengths + 2)])
+            padded = np.full(firsts[-1], MARK, np.uint32)
+            inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            padded[inner + np.repeat(firsts[:-1] + 1, lengths)] = codes[inner + np.repeat(starts, lengths)]
+            a, b, of = rolling(firsts, size)
             table = self.grams[size]
-            hits = [v for i in range(len(w) - size + 1) if (v := table.get(w[i : i + size])) is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return self.none
-
-
-class Memo(dict):
-    """Index of each distinct token's score row; bounded, and refilled when full."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.size = model, 1
-        self.rows = np.zeros((model.MEMO + 1, max(1, len(model.langs))), np.float32)
-        self.letters = np.zeros(model.MEMO + 1, np.int32)
-
-    def __missing__(self, token: str) -> int:
-        parts = LETTERS.findall(token.lower())
-        if not parts:
-            self[token] = 0
-            return 0
-        at = self.size
-        if at > self.model.MEMO:  # the caller starts anew; see reset()
-            raise OverflowError
-        self.rows[at] = sum(self.model.score(p) for p in parts)
-        self.letters[at] = len(parts)
-        self[token] = at
-        self.size += 1
-        return at
-
-    def reset(self) -> None:
-        self.clear()
-        self.size = 1
-
-    def sums(self, tokens: list[str]) -> tuple[np.ndarray, int]:
-        step, total, n = self.model.MEMO // 2, 0, 0
-        for at in range(0, len(tokens), step):
-            part = tokens[at : at + step]
-            try:
-                found = np.fromiter(map(self.__getitem__, part), np.int32, len(part))
-            except OverflowError:
-                self.reset()
-                found = np.fromiter(map(self.__getitem__, part), np.int32, len(part))
-            total = total + self.rows[found].sum(axis=0, dtype=np.float64)
-            n += int(self.letters[found].sum())
-        return total, n
-
-
-def predict_one(memo: Memo, text: str | None) -> tuple[str, float]:
-    tokens = text.split() if text else []
-    if not tokens or not memo.model.langs:
-        return UNKNOWN, 0.0
-    total, n = memo.sums(tokens)
-    if not n:
-        return UNKNOWN, 0.0
-    best = int(np.argmax(total))
-    # Words of a text are not independent: evidence grows with the root of their number.
-    z = (total - total[best]) / math.sqrt(n)
-    return memo.model.langs[best], float(1.0 / np.exp(z).sum())
+            row = table.find(span_hashes(padded, a, b))
+            hit = np.flatnonzero(row < len(table.hashes))
+            word = np.repeat(np.arange(len(doc)), np.diff(of))[hit]
+            hits = np.bincount(word, minlength=len(doc))
+            for i in range(len(self.langs)):
+                mean = np.bincount(word, table.rows[row[hit], i], len(doc)) / np.maximum(hits, 1)
+                out[:, i] += np.bincount(doc, mean, n)
+            rest = hits == 0
+            starts, lengths, doc = starts[rest], lengths[rest], doc[rest]
+        return out, found.counts
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text: the share of the best under a softmax in which, as
+        words of a text are not independent, evidence grows with the root of their number."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        totals, n = self.totals(texts)
+        best = totals.argmax(axis=1)
+        z = (totals - totals.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
+        score = np.where(n > 0, 1.0 / np.exp(z).sum(axis=1), 0.0)
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 4000, words: int = 30_000, max_langs: int = 400) -> Model:
@@ -147,10 +135,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
     names = [*taken, pred, score]
 
     def run(batches):
-        memo = Memo(shared.value)
-        for batch in batches:
-            out = [predict_one(memo, t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names)
+        for batch in pieces(batches, "__text"):
+            langs, scores = shared.value.predict([x or "" for x in batch.columns[-1].to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names)
 
     schema = docs.select(*taken).schema.add(pred, "string").add(score, "double")
     return given.mapInArrow(run, schema)
