@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import fingerprints, flac, langid, linedup, mixing, pii, spm, warc
+from lexmill.llm import fingerprints, flac, langid, linedup, mixing, pii, spm, substring, warc
 from lexmill.session import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op1_warc_archive": _on("pages", warc.op1),
         "op2_source_mixing": _on("documents", mixing.op2),
         "op4_pii": _on("documents", pii.op4),
+        "op5_substring_dedup": _on("documents", substring.op5),
         "op6_flac_media": _on("documents", flac.op6),
         "op7_line_dedup": _on("documents", linedup.op7),
         "op8_sentencepiece": _on("documents", spm.op8),
