@@ -23,9 +23,10 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """UTF-8 bytes of a text column and the bounds of its rows (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not pa.types.is_large_binary(column.type):
+        column = (column if pa.types.is_binary(column.type) else column.cast(pa.large_string())).cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string()).cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+        column = column.fill_null(b"")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import fingerprints, flac, langid, linedup, mixing, pii, spm, substring, warc
+from lexmill.llm import fingerprints, flac, langid, linedup, mixing, ngram_join, pii, spm, substring, warc
 from lexmill.session import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
     return {
         "op1_warc_archive": _on("pages", warc.op1),
         "op2_source_mixing": _on("documents", mixing.op2),
+        "op3_ngram_join": _on("documents", ngram_join.op3),
         "op4_pii": _on("documents", pii.op4),
         "op5_substring_dedup": _on("documents", substring.op5),
         "op6_flac_media": _on("documents", flac.op6),
