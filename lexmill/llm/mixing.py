@@ -55,17 +55,12 @@ def _with_targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None,
     marginal = cells.groupBy(dim).agg(F.sum("tokens").alias("m"))
     if given:
         known = F.create_map(*[F.lit(x) for kv in given.items() for x in (kv[0], float(kv[1]))])[F.col(dim)]
-        rest = max(0.0, 1.0 - sum(given.values()))
-        marginal = marginal.withColumn("known", known).withColumn("loose", F.when(F.col("known").isNull(), F.col("m")).otherwise(0.0))
-        totals = marginal.agg(F.sum("loose").alias("all_loose"))
-        share = F.coalesce("known", rest * F.col("m") / F.when(F.col("all_loose") > 0, F.col("all_loose")))
+        loose = marginal.agg(F.sum(F.when(known.isNull(), F.col("m")))).first()[0]
+        share = F.coalesce(known, F.lit(max(0.0, 1.0 - sum(given.values()))) * F.col("m") / F.lit(float(loose or 1)))
     else:
-        marginal = marginal.withColumn("known", F.pow("m", F.lit(temper)))
-        totals = marginal.agg(F.sum("known").alias("all_known"))
-        share = F.col("known") / F.when(F.col("all_known") > 0, F.col("all_known"))
-    # totals is an aggregate without groups: always exactly one row
-    shares = marginal.join(F.broadcast(totals), F.lit(True)).select(F.col(dim), F.coalesce(share, F.lit(0.0)).alias(f"t_{dim}"))
-    return cells.join(shares, dim)
+        total = marginal.agg(F.sum(F.pow("m", F.lit(temper)))).first()[0]
+        share = F.pow("m", F.lit(temper)) / F.lit(float(total or 1))
+    return cells.join(marginal.select(dim, share.alias(f"t_{dim}")), dim)
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
