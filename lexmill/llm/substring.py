@@ -202,18 +202,45 @@ def _by_bucket(packed: DataFrame) -> DataFrame:
     return packed.repartitionById(buckets(packed.sparkSession), F.col("bucket"))
 
 
-def _answers(ids: np.ndarray, pos: np.ndarray, name: str):
-    """Batches of (name, pos binary), one row per document."""
-    order = np.argsort(ids, kind="stable")
-    ids, pos = ids[order], pos[order].astype(np.uint32)
-    heads, counts = _runs(ids)
-    for at in range(0, len(heads), 20_000):
-        h, c = heads[at : at + 20_000], counts[at : at + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[h], pa.int64()), pa.array([pos[a : a + b].tobytes() for a, b in zip(h, c, strict=True)], pa.binary())], [name, "pos"])
+def _answers(ids: np.ndarray, pos: np.ndarray, n: int):
+    """Batches of packed (id, positions), by bucket of the id: a task sends a row per bucket, and
+    not one per document."""
+    bucket = (ids.view(np.uint64) % np.uint64(n)).astype(np.int32)
+    order = np.lexsort((pos, ids, bucket))
+    ids, pos, bucket = ids[order], pos[order].astype(np.uint32), bucket[order]
+    rows = []
+    for head, size in zip(*_runs(bucket), strict=True):
+        own = slice(head, head + size)
+        runs, counts = _runs(ids[own])
+        rows.append((int(bucket[head]), DECIDED, pack([ids[own][runs]], counts, pos[own], [])))
+    if rows:
+        yield _batch(*zip(*rows, strict=True))
+
+
+def _by_id(packed: DataFrame, name: str) -> DataFrame:
+    """(name, pos binary): the distinct positions of each id, from all tasks' answers."""
+
+    def run(batches):
+        parts = [unpack(data.as_py(), 1, []) for batch in batches for data in batch.column(2)]
+        if not parts:
+            return
+        ids = np.concatenate([np.repeat(p[0][0], p[1]) for p in parts])
+        pos = np.concatenate([p[2] for p in parts])
+        order = np.lexsort((pos, ids))
+        ids, pos = ids[order], pos[order]
+        fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])])
+        ids, pos = ids[fresh], pos[fresh].astype(np.uint32)
+        heads, counts = _runs(ids)
+        for at in range(0, len(heads), 20_000):
+            h, c = heads[at : at + 20_000], counts[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[h], pa.int64()), pa.array([pos[a : a + k].tobytes() for a, k in zip(h, c, strict=True)], pa.binary())], [name, "pos"])
+
+    return _by_bucket(packed).mapInArrow(run, f"{name} long, pos binary")
 
 
 def block_hits(packed: DataFrame) -> DataFrame:
-    """(id, at array<binary>): positions of block-long windows with a hit, by document."""
+    """(id, pos binary): positions of block-long windows with a hit, by document."""
+    n = buckets(packed.sparkSession)
 
     def run(batches):
         entries: list[tuple] = []
@@ -221,23 +248,23 @@ def block_hits(packed: DataFrame) -> DataFrame:
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 (ids,), counts, pos, hashes = unpack(data.as_py(), 1, [np.uint32] if kind == ENTRIES else [])
                 if kind == DECIDED:
-                    yield from _answers(np.repeat(ids, counts), pos, "id")
+                    yield from _answers(np.repeat(ids, counts), pos, n)
                 else:
                     entries.append((np.repeat(ids, counts), pos.astype(np.uint32), hashes[0]))
         if entries:
             ids, pos, h = (np.concatenate(x) for x in zip(*entries, strict=True))
             entries.clear()
             hit, _ = hits_of([h], ids, pos)
-            yield from _answers(ids[hit], pos[hit], "id")
+            yield from _answers(ids[hit], pos[hit], n)
 
-    return _by_bucket(packed).mapInArrow(run, "id long, pos binary").groupBy("id").agg(F.collect_list("pos").alias("at"))
+    return _by_id(_by_bucket(packed).mapInArrow(run, PACKED), "id")
 
 
-def _starts(at: list[bytes] | None, n_words: int) -> np.ndarray:
+def _starts(at: bytes | None, n_words: int) -> np.ndarray:
     """Starts of windows that hold a block-long window with a hit."""
     if not at or n_words < WINDOW:
         return np.zeros(0, np.int64)
-    p = np.frombuffer(b"".join(at), np.uint32).astype(np.int64)
+    p = np.frombuffer(at, np.uint32).astype(np.int64)
     p = p[p <= n_words - BLOCK]
     edge = np.zeros(n_words + 2, np.int32)
     np.add.at(edge, np.maximum(0, p - (WINDOW - BLOCK)), 1)
@@ -246,7 +273,7 @@ def _starts(at: list[bytes] | None, n_words: int) -> np.ndarray:
 
 
 def windows(flagged: DataFrame) -> DataFrame:
-    """Packed entries of the windows around hits, of flagged(id, uid, text, at)."""
+    """Packed entries of the windows around hits, of flagged(id, uid, text, pos)."""
     n = buckets(flagged.sparkSession)
 
     def decide(hashes, ids, pos):
@@ -272,11 +299,12 @@ def windows(flagged: DataFrame) -> DataFrame:
             yield from held.add([batch.column(0).to_numpy(), batch.column(1).to_numpy()], doc, pos, pair)
         yield from held.flush()
 
-    return flagged.select("id", "uid", "text", "at").mapInArrow(run, PACKED)
+    return flagged.select("id", "uid", "text", "pos").mapInArrow(run, PACKED)
 
 
 def repeats(packed: DataFrame) -> DataFrame:
-    """(uid, cut array<binary>): starts of windows that a smaller document has, by row."""
+    """(uid, pos binary): starts of windows that a smaller document has, by row."""
+    n = buckets(packed.sparkSession)
 
     def run(batches):
         entries: list[tuple] = []
@@ -284,7 +312,7 @@ def repeats(packed: DataFrame) -> DataFrame:
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 (ids, uids), counts, pos, hashes = unpack(data.as_py(), 2, [np.uint32, np.uint64] if kind == ENTRIES else [])
                 if kind == DECIDED:
-                    yield from _answers(np.repeat(uids, counts), pos, "uid")
+                    yield from _answers(np.repeat(uids, counts), pos, n)
                 else:
                     entries.append((np.repeat(ids, counts), np.repeat(uids, counts), pos.astype(np.uint32), *hashes))
         if entries:
@@ -294,18 +322,18 @@ def repeats(packed: DataFrame) -> DataFrame:
             if len(order):
                 own = ids[order]
                 cut = order[own > np.repeat(np.minimum.reduceat(own, heads), counts)]
-                yield from _answers(uids[cut], pos[cut], "uid")
+                yield from _answers(uids[cut], pos[cut], n)
 
-    return _by_bucket(packed).mapInArrow(run, "uid long, pos binary").groupBy("uid").agg(F.collect_list("pos").alias("cut"))
+    return _by_id(_by_bucket(packed).mapInArrow(run, PACKED), "uid")
 
 
-def cut_words(raw: bytes, cut: list[bytes] | None) -> tuple[bytes, int, int]:
+def cut_words(raw: bytes, cut: bytes | None) -> tuple[bytes, int, int]:
     """Kept words joined by one space, number of words, number removed."""
     words = raw.split()  # bytes split at exactly space and 9 to 13
     if not cut:
         return b" ".join(words), len(words), 0
     edge = np.zeros(len(words) + 1, np.int32)
-    starts = np.frombuffer(b"".join(cut), np.uint32).astype(np.int64)
+    starts = np.frombuffer(cut, np.uint32).astype(np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + WINDOW, len(words)), -1)
     keep = (np.cumsum(edge[:-1]) == 0).tolist()
@@ -344,13 +372,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     clean = rows.mapInArrow(split(False), schema)
     maybe = rows.mapInArrow(split(True), rows.schema).join(hits, "id", "left")
     flagged = stash(maybe.withColumn("uid", F.xxhash64("id", "text")), "flagged")
-    cuts = repeats(windows(flagged.where("at is not null")))
+    cuts = repeats(windows(flagged.where("pos is not null")))
 
     def finish(batches):
         for batch in pieces(batches):
             yield out(batch.column(0), list(zip((x.encode() for x in batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True)))
 
-    return clean.unionByName(flagged.join(cuts, "uid", "left").select("key", "text", "cut").mapInArrow(finish, schema))
+    return clean.unionByName(flagged.drop("pos").join(cuts, "uid", "left").select("key", "text", "pos").mapInArrow(finish, schema))
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
