@@ -174,7 +174,7 @@ def guard(c: Column) -> Column:
     """Full stops of abbreviations and of initials before a name are hidden as U+0002."""
     short = "|".join(V.ABBREVIATIONS)
     hidden = F.regexp_replace(c, rf"(^|[^\p{{L}}\p{{N}}])({short})\.", "$1$2\u0002")
-    return F.regexp_replace(hidden, r"(^|[^\p{L}\p{N}])(\p{Lu})\.(\p{Lu})\.((?:\p{Lu}\.)*)(\s+\p{Ll})", "$1$2\u0002$3\u0002$4$5")
+    return F.regexp_replace(hidden, r"(^|[^\p{L}\p{N}])(\p{Lu})\.(\s+\p{Ll})", "$1$2\u0002$3")
 
 
 def count_sentences(c: Column) -> Column:
@@ -183,7 +183,7 @@ def count_sentences(c: Column) -> Column:
 
 def key_findings(c: Column) -> Column:
     """First of two or more sentences, and the second of three or more."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
     n = F.size(parts)
     return F.when(n >= 3, F.slice(parts, 1, 2)).when(n == 2, F.slice(parts, 1, 1)).otherwise(F.array().cast("array<string>"))
 
@@ -195,7 +195,7 @@ def is_upper(c: Column) -> Column:
 
 def summary(text: Column, most: int = 150, delimiter: str = "\n\n") -> Column:
     """About `most` words of the first substantive paragraphs; null for texts under 100 characters."""
-    paragraphs = F.filter(F.transform(F.split(text, delimiter), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, delimiter), lambda s: F.trim(s)), lambda p: p != "")
     good = F.filter(paragraphs, lambda p: (F.size(words(p)) >= 10) & ~contains_any(F.left(F.lower(p), F.lit(50)), V.SUMMARY_MARKERS) & ~is_upper(p))
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
     more = lambda acc, p: F.when(acc.n >= 1.5 * most, acc).otherwise(F.struct((acc.n + F.size(words(p))).alias("n"), F.concat(acc.kept, F.array(p)).alias("kept")))

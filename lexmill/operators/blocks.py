@@ -6,7 +6,7 @@ and consumes blocks, so it runs per document; all else is native over window and
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
 from lexmill.functions import html as H, text as X, vocabulary as V
 
@@ -89,7 +89,7 @@ class Joiner:
 
 def join_split_sentences(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """blocks with continuations joined into the block they continue, and `joined`."""
-    schema = blocks.schema.add("joined", "boolean")
+    schema = T.StructType([*blocks.schema.fields, T.StructField("joined", T.BooleanType())])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos", kind="stable").reset_index(drop=True)

@@ -52,7 +52,7 @@ def warnings_only(problems: Column) -> Column:
 
 def title_of(c: Column) -> Column:
     """First of ten lines that is neither short, metadata, nor all upper case."""
-    lines = F.slice(F.filter(F.transform(F.split(c, "\n"), F.trim), lambda s: s != ""), 1, 10)
+    lines = F.slice(F.filter(F.transform(F.split(c, "\n"), lambda s: F.trim(s)), lambda s: s != ""), 1, 10)
     good = F.filter(lines, lambda s: (F.length(s) > 10) & (F.length(s) < 200) & ~X.contains_any(F.lower(s), V.METADATA_MARKERS) & ~X.is_upper(s))
     return F.get(good, F.lit(0))
 
@@ -94,7 +94,7 @@ def split_long(paragraph: Column, most: int = 400) -> Column:
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = 4, delimiter: str = "\n\n", longest: int = 500, most: int = 400, split: bool = True) -> DataFrame:
     """(key, chunk_no from 1, chunk, n_paragraphs): runs of `target` paragraphs, those of more than
     `longest` words being split at sentences first. Without split, they stay whole."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), delimiter), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), delimiter), lambda s: F.trim(s)), lambda p: p != "")
     if split:
         paragraphs = F.flatten(F.transform(paragraphs, lambda p: F.when(X.count_words(p) > longest, split_long(p, most)).otherwise(F.array(p))))
     numbered = docs.select(key, paragraphs.alias("p")).where(F.size("p") > 0)

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexmill.functions import text as X
 
 
+SMALL = 50_000  # terms of a glossary that is broadcast; larger ones are joined by shuffle
+
+
 def index(entries: DataFrame) -> DataFrame:
     """(term_key, en, fr, fr_alt, note, ord) of entries(ord, en, fr, fr_alt, abbreviation, note):
     a key per normalised term, its hyphen variant and its abbreviation; later entries win."""
@@ -41,10 +44,21 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
     short = listed.where((F.size("w") > 0) & (F.size("w") <= most_words)).withColumn("gram", F.array_join("w", " "))
     rest = listed.where((F.size("w") == 0) | (F.size("w") > most_words))
     sizes = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())  # at most most_words values
-    w = tokens(F.col("t"))
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in sizes])) if sizes else F.array().cast("array<string>")
-    looked = normal.select("__k", "t", F.explode(F.array_distinct(grams)).alias("gram")).join(short, "gram")
-    found = looked.where(F.regexp_like("t", pattern(F.col("term_key"), lenient))).select("__k", "en", "fr")
+
+    def of_size(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    runs = lambda w: F.flatten(F.array(*[of_size(w, n) for n in sizes]))
+    # Bound as a variable, the tokens are made once per text and not once per run.
+    grams = F.flatten(F.transform(F.array(tokens(F.col("t"))), runs)) if sizes else F.array().cast("array<string>")
+    if short.count() <= SMALL:
+        short = F.broadcast(short)
+    # Runs meet terms without their text, which joins again per document that has candidates.
+    looked = normal.select("__k", F.explode(F.array_distinct(grams)).alias("gram")).join(short, "gram")
+    likely = looked.groupBy("__k").agg(F.collect_set(F.struct("term_key", "en", "fr")).alias("c"))
+    each = normal.join(likely, "__k").select("__k", "t", F.explode("c").alias("c")).select("__k", "t", "c.*")
+    found = each.where(F.regexp_like("t", pattern(F.col("term_key"), lenient))).select("__k", "en", "fr")
     if not rest.isEmpty():
         found = found.union(normal.join(rest, F.regexp_like(F.col("t"), pattern(F.col("term_key"), lenient))).select("__k", "en", "fr"))
     return found.groupBy("__k", "en").agg(F.min("fr").alias("fr")).withColumnRenamed("__k", key)

@@ -180,3 +180,18 @@ def attach_captions(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     own = blocks.where(F.col("block_type").isin("Caption", "Table", "Figure", "Picture"))
     last = F.lag(F.struct("block_type", "text")).over(Window.partitionBy(key).orderBy("pos"))
     return own.withColumn("__last", last).withColumn("caption", F.when(F.col("__last.block_type") == "Caption", F.col("__last.text"))).where("block_type <> 'Caption'").drop("__last")
+
+
+def with_next(df: DataFrame, group: str, order: str, columns: list[str], name: str = "next", width: int = 50_000) -> DataFrame:
+    """df with a struct `name` of the next row's columns in its group, by an integer order.
+
+    Groups of any size spread: windows span `width` values of order, and the first rows of spans,
+    one in up to width, are passed on to the span before."""
+    from pyspark.sql import Window
+
+    spanned = df.withColumn("__span", F.floor(F.col(order) / width))
+    row = F.struct(*columns)
+    inner = spanned.withColumn("__next", F.lead(row).over(Window.partitionBy(group, "__span").orderBy(order)))
+    firsts = spanned.groupBy(group, "__span").agg(F.min_by(row, order).alias("__first"))
+    firsts = firsts.withColumn("__first", F.lead("__first").over(Window.partitionBy(group).orderBy("__span")))
+    return inner.join(firsts, [group, "__span"]).withColumn(name, F.coalesce("__next", "__first")).drop("__next", "__first", "__span")

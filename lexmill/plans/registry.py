@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from lexmill.plans import tables, texts
+
 FLAGSHIP = "pair_quality_flags"
+ALL = {**texts.QUERIES, **tables.QUERIES}
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
