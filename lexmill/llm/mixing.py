@@ -84,7 +84,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, close: float = CLOSE) -> DataFr
 def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
     """raked with `probability`: tokens expected in the sample are rate x all tokens, dealt out by
     weight; cells that can't supply theirs are taken whole and the factor of the rest rises."""
-    factor, sums = None, raked.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w")).first()
+    sums = raked.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w")).first()
     if not sums["t"] or not sums["w"]:
         return raked.withColumn("probability", F.lit(1.0))
     wanted = factor = rate * sums["t"] / sums["w"]
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", lang: str =
     cells = stash(cells, "cells")
     for dim in DIMS:
         cells = _with_targets(cells, dim, (targets or {}).get(dim), temper)
-    fitted = stash(calibrate(rake(stash(cells, "targets"))), "fitted")
+    fitted = stash(calibrate(rake(stash(cells, "targets")), rate), "fitted")
     fitted = fitted.select(F.struct(*DIMS).alias("__cell"), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).alias("__w"), F.col("probability").alias("__p"))
     # Spark broadcasts the cells only if their written size is under its threshold.
     joined = described.withColumn("__cell", F.struct(*[F.col(f"__mix.{d}").alias(d) for d in DIMS])).join(fitted, "__cell")

@@ -5,9 +5,8 @@ any file system serves; `read_files` reads real .warc.zst files the same way. Th
 the dictionary, walks frame headers and block headers to find each frame, decodes one frame per
 record, and validates version line, required headers, lengths, trailer and digests.
 
-Defined cases: a null html is an empty payload; a null url is written as an empty target; a null
-page_id is kept (its rows are responses or revisits like others, but none refers to them: nulls
-sort last); rows that repeat page_id and payload of a response are responses too; an empty table
+Defined cases: a null html is an empty payload; a null url is written as an empty target; rows of
+null page_id are responses that none refers to; rows that repeat page_id and payload of a response are responses too; an empty table
 gives no archive; other columns are ignored.
 """
 
@@ -187,9 +186,9 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     has too. Only digests move; a payload that a third of all pages share is one small row a task
     in the aggregation, and the join back is of small rows that Spark may split."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    small = pages.select("page_id", F.unhex(F.sha1(html)).alias("d")).where(F.octet_length(html) >= least)
+    small = pages.select("page_id", F.unhex(F.sha1(html)).alias("d")).where(F.col("page_id").isNotNull() & (F.octet_length(html) >= least))
     first = small.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return small.join(first, "d").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "refers_to").distinct()
+    return small.join(first, "d").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
 
 
 def write(pages: DataFrame, least: int = 0) -> DataFrame:
