@@ -28,6 +28,7 @@ from lexmill.session import stash
 KINDS = ("email", "ip", "card", "phone")
 REACH, SHORTEST, SUPPORT = 5, 3, 2
 REMOVE, GENERALISE = 0.95, 0.85
+SMALL = 1 << 18  # bytes of a piece whose code points are hashed
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -161,20 +162,42 @@ def detect_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return kept.mapInArrow(run, ddl)
 
 
+def _summed(terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    term, at = np.unique(np.concatenate(terms), return_inverse=True)
+    return term, np.bincount(at, np.concatenate(counts), len(term)).astype(np.int64)
+
+
 def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """(term, n): documents of the whole corpus that hold each term of `terms`. A Bloom filter of
     fixed size keeps other words out of the shuffle; the join then makes the counts exact."""
     held = docs.sparkSession.sparkContext.broadcast(Bloom.build(terms, "term"))
 
     def run(batches):
-        for batch in pieces(batches, text):
+        held_terms, held_counts, size = [], [], 0  # a task sends each term about once
+        for batch in pieces(batches, text, SMALL):
             codes, bounds = codes_of([(x or "").lower() for x in batch.column(0).to_pylist()])
             words = Words(codes, bounds, ~letters())
             long = words.ends - words.starts >= shortest
             hashes, doc = words.hashes()[long].view(np.int64), words.doc[long]
             some = Bloom.might_hold(held.value, hashes)
-            pairs = np.unique(np.stack([doc[some], hashes[some]]), axis=1)[1] if some.any() else np.zeros(0, np.int64)
-            term, n = np.unique(pairs, return_counts=True)
+            hashes, doc = hashes[some], doc[some]
+            order = np.lexsort((doc, hashes))
+            hashes, doc = hashes[order], doc[order]
+            fresh = np.ones(len(hashes), bool)
+            fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+            term, n = np.unique(hashes[fresh], return_counts=True)
+            held_terms.append(term)
+            held_counts.append(n)
+            size += len(term)
+            if size > 1 << 19:
+                term, n = _summed(held_terms, held_counts)
+                if len(term) > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], ["term", "n"])
+                    held_terms, held_counts, size = [], [], 0
+                else:
+                    held_terms, held_counts, size = [term], [n], len(term)
+        if held_terms:
+            term, n = _summed(held_terms, held_counts)
             yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], ["term", "n"])
 
     return docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms.select("term"), "term", "left_semi")
@@ -206,7 +229,10 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     extra = term_spans(base, disclosures(docs, base, text))
     shown = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t.start, F.lit(":"), t.end)), ",")
     spans = F.concat_ws(",", F.nullif("base", F.lit("")), shown)
-    return base.join(extra, "text_sha", "left").select(key, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("__n")).withColumn("n_term", F.greatest("__n", F.lit(0).cast("long"))).drop("__n")
+    # Most rows have no span and so no key: they stay out of the join, which would deal them as one.
+    found = base.where("text_sha is not null").join(extra, "text_sha", "left")
+    bare = base.where("text_sha is null").withColumn("terms", F.lit(None).cast(extra.schema["terms"].dataType))
+    return found.unionByName(bare).select(key, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("__n")).withColumn("n_term", F.greatest("__n", F.lit(0).cast("long"))).drop("__n")
 
 
 def shape(word: str) -> str:
