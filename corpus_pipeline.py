@@ -31,9 +31,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their number; the text has served its purpose."""
+    """Token ids and their number, and whether they decode to the text and equal those of the
+    sentencepiece library; the text has served its purpose."""
     ship(spark)
-    return spm.encode(docs).drop("text")
+    return spm.encode_checked(docs).drop("text")
 
 
 STAGES = [

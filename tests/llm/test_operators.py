@@ -220,6 +220,16 @@ def test_tokens(docs, rows):
     assert back["decoded"] == "word " * 30_000 and back["n_tokens"] == len(back["token_ids"])
 
 
+def test_tokens_are_all_checked(spark, docs, rows):
+    """The registered query and the pipeline's stage leave no text without a verdict."""
+    got = spm.op8(spark, docs).collect()
+    assert len(got) == len(rows) and all(r["parity"] is True for r in got)
+    last = corpus_pipeline.tokens(spark, docs, "")
+    got = last.collect()
+    assert "text" not in last.columns and len(got) == len(rows)
+    assert all(r["round_trip"] is True and r["parity"] is True and r["n_tokens"] == len(r["token_ids"]) for r in got)
+
+
 @pytest.mark.parametrize("run", [
     lambda d: substring.remove_repeats(d), lambda d: nj.join_similar(d), lambda d: flac.digests(flac.store(d)),
     lambda d: langid.op9(d.sparkSession, d), lambda d: linedup.op7(d.sparkSession, d), lambda d: mixing.mix(d), lambda d: pii.detect(d), lambda d: spm.round_trip(d), lambda d: fp.compare_with_next(d),
