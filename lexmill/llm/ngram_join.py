@@ -2,16 +2,18 @@
 
 Signatures of `TREES` x `LEVELS` MinHash bytes form an LSH forest: in each tree a document is a
 sorted key of LEVELS bytes, so documents with a common prefix are neighbours in the trie. The
-join starts at whole keys and shortens the matched prefix until the recall expected of a pair at
-the threshold reaches the target. At whole keys a document is compared with the leader of its
-groups only, which gathers large groups of near copies; at the shortened prefix all pairs of
-different classes in a group are compared, in blocks, by their signatures. Every candidate link is
-verified on the whole n-gram sets. Links between documents of one class are not all listed: the
-result is one row per document with its class, the connected component of verified links.
+join starts at whole keys and shortens the matched prefix by a byte at a time until the recall
+expected of a pair at the threshold reaches the target. At each depth a document is compared with a
+leader of another class that it shares groups with, and classes are merged, which gathers large
+groups of near copies; at the last depth all pairs of different classes in a group are compared, in
+blocks, by their signatures. Every candidate link is verified on the whole n-gram sets. The result
+is one row per document with its class, the connected component of verified links, and its number of
+links: all pairs of a class are compared on their sets, in blocks that pass on sums, not pairs.
 
 Defined cases: null and blank texts have no n-grams and stay alone; a text of fewer than N words
-is one n-gram; documents with equal sets are one representative with copies; rows with equal
-doc_id are one document, as are rows with a null one; other columns are ignored.
+is one n-gram; rows with equal sets are one node with copies, and each copy counts as a link; rows
+are told apart by their sets only, so rows that repeat a doc_id or have none are documents of their
+own; a class is named by its least doc_id (null if it has none); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from lexmill.session import stash
 N, THRESHOLD, RECALL = 5, 0.8, 0.995
 TREES, LEVELS = 20, 8
 BLOCK = 1024  # members of a group compared at once
-FIRST = -(1 << 63)
+GRAMS = 1 << 19  # n-grams of a block of a class
 MARGIN = 3.5  # standard errors a signature's estimate may fall short of the threshold
 
 _RNG = np.random.default_rng(20240101)
@@ -68,40 +70,46 @@ def tree_keys(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def facts_of(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and 128 bits of a set of sorted distinct hashes: what sets are told apart by."""
+    if not len(s):
+        return 0, 0, 0
+    return len(s), int(np.add.reduce(mix(s)).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(0xA0761D6478BD642F))).view(np.int64))
+
+
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(id, size, a, b, keys) of docs(id, text): number of distinct n-grams, 128 bits of the set,
-    and tree keys."""
+    """(id, p, q, size, a, b, keys) of docs(id, text, p, q): number of distinct n-grams, 128 bits of
+    the set, and tree keys."""
 
     def run(batches):
         for batch in pieces(batches):
             s, bounds = shingles(batch.column(1), n)
-            facts = []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                own = np.unique(s[lo:hi])
-                facts.append((len(own), np.add.reduce(mix(own)), np.bitwise_xor.reduce(mix(own + np.uint64(0xA0761D6478BD642F)))) if len(own) else (0, 0, 0))
-            size, a, b = (np.array(x) for x in zip(*facts, strict=True))
+            size, a, b = zip(*(facts_of(np.unique(s[lo:hi])) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)), strict=True)
             keys = tree_keys(s, bounds).view(np.int64)
             listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), TREES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), listed], ["id", "size", "a", "b", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(x, pa.int64()) for x in (size, a, b)), listed], ["id", "p", "q", "size", "a", "b", "keys"])
 
-    return docs.mapInArrow(run, "id long, size long, a long, b long, keys array<long>")
+    return docs.mapInArrow(run, "id long, p long, q long, size long, a long, b long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int = N) -> DataFrame:
-    """(id, grams binary): sorted distinct n-gram hashes of the documents in ids(id). Rows that a
-    Bloom filter of fixed size rules out don't take part in the join."""
-    held = docs.sparkSession.sparkContext.broadcast(Bloom.build(ids, "id"))
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
+    """(id, grams binary): sorted distinct n-gram hashes of nodes(id, p, a, b, size), found in a row
+    of docs(id, text, p, q) with that p. Rows that a Bloom filter of fixed size rules out don't take
+    part in the join, which goes by the whole identity of the set."""
+    held = docs.sparkSession.sparkContext.broadcast(Bloom.build(nodes, "p"))
 
     def run(batches):
         for batch in pieces(batches):
-            batch = batch.filter(pa.array(Bloom.might_hold(held.value, batch.column(0).to_numpy())))
+            batch = batch.filter(pa.array(Bloom.might_hold(held.value, batch.column(1).to_numpy())))
             if not batch.num_rows:
                 continue
-            s, bounds = shingles(batch.column(1), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(s[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "grams"])
+            s, bounds = shingles(batch.column(0), n)
+            sets = [np.unique(s[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            size, a, b = zip(*map(facts_of, sets), strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, size)), pa.array([x.tobytes() for x in sets], pa.binary())], ["a", "b", "size", "grams"])
 
-    found = docs.mapInArrow(run, "id long, grams binary")
-    return found.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.min("grams").alias("grams"))
+    found = docs.select("text", "p").mapInArrow(run, "a long, b long, size long, grams binary").groupBy("a", "b", "size").agg(F.min("grams").alias("grams"))
+    return found.join(nodes.select("id", "a", "b", "size"), ["a", "b", "size"]).select("id", "grams")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -155,12 +163,12 @@ def _grouped(nodes: DataFrame, depth: int, *more: str) -> DataFrame:
     return nodes.select("id", *more, F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", prefix).alias("g"), "id", *more)
 
 
-def leaders(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node v with the group leader u (least id of a whole key's group) that it meets
-    in most trees."""
-    rows = _grouped(nodes, LEVELS)
-    groups = rows.groupBy("g").agg(F.min("id").alias("u"), F.count("*").alias("n")).where("n > 1")
-    met = rows.join(groups, "g").where("id <> u").groupBy("id", "u").agg(F.count("*").alias("n"))
+def leaders(nodes: DataFrame, depth: int = LEVELS) -> DataFrame:
+    """(u, v): each node v with the leader u (least id of a prefix's group) of another class that it
+    meets in most trees."""
+    rows = _grouped(nodes, depth, "class")
+    groups = rows.groupBy("g").agg(F.min("id").alias("u"), F.min_by("class", "id").alias("of"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    met = rows.join(groups, "g").where("class <> of").groupBy("id", "u").agg(F.count("*").alias("n"))
     return met.groupBy("id").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", F.col("id").alias("v"))
 
 
@@ -214,38 +222,124 @@ def across(nodes: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFr
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per row of docs: key, class_id (the least key of its class) and n_links (verified
-    links of its n-gram set, and other rows with an equal set)."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def similar(left: np.ndarray, right: np.ndarray | None, bounds: np.ndarray, columns: np.ndarray, copies: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """By set, the copies of the sets at or above the threshold among the pairs of `left` with
+    `right`, or of `left` with itself if right is None. Set i is columns[bounds[i]:bounds[i + 1]];
+    left and right are runs of sets by ascending size."""
+    found = np.zeros(len(copies), np.int64)
+    sizes = np.diff(bounds)
+    mark = np.zeros(int(columns.max()) + 1, bool)
+    others = left if right is None else right
+    for k, at in enumerate(left):
+        lo = k + 1 if right is None else int(np.searchsorted(sizes[others], sizes[at] * threshold - 1))
+        hi = int(np.searchsorted(sizes[others], sizes[at] / threshold + 1, "right"))
+        if lo >= hi:
+            continue
+        rest = others[lo:hi]
+        own = columns[bounds[at] : bounds[at + 1]]
+        mark[own] = True
+        first = bounds[rest[0]]
+        shared = np.add.reduceat(mark[columns[first : bounds[rest[-1] + 1]]], bounds[rest] - first, dtype=np.int64)
+        mark[own] = False
+        near = rest[shared / (sizes[at] + sizes[rest] - shared) >= threshold]
+        found[at] += copies[near].sum()
+        found[near] += copies[at]
+    return found
+
+
+def within(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, links): of members(id, class, size, copies), the rows of other nodes of the class whose
+    sets' exact similarity is at least the threshold. Classes are compared in blocks bounded by
+    members and n-grams; each pair of blocks sends one sum a member."""
+    total = members.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / GRAMS)).cast("int").alias("blocks")
+    dealt = members.join(total.select("class", blocks), "class").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "size", "id", "copies", "grams")
+    dealt = dealt.repartition(buckets(members.sparkSession), "class", "i", "j").sortWithinPartitions("class", "i", "j", "own", "size")
+
+    def compare(key, own, ids, copies, grams):
+        own, ids, copies = (np.concatenate(x) for x in (own, ids, copies))
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in grams]
+        _, columns = np.unique(np.concatenate(held), return_inverse=True)
+        bounds = np.cumsum([0, *map(len, held)])
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        if not len(left) or not len(right):
+            found = np.zeros(len(ids), np.int64)
+        else:
+            found = similar(left, None if key[1] == key[2] else right, bounds, columns, copies, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found)], ["id", "links"])
+
+    def run(batches):
+        held, last = ([], [], [], []), None
+        for batch in batches:
+            c, i, j, own, _, ids, copies = (batch.column(k).to_numpy() for k in range(7))
+            change = np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in zip([0, *change], [*change, len(c)], strict=True):
+                if a == b:
+                    continue
+                key = (c[a], i[a], j[a])
+                if key != last and held[0]:
+                    yield compare(last, *held)
+                    held = ([], [], [], [])
+                last = key
+                for x, y in zip(held, (own[a:b], ids[a:b], copies[a:b]), strict=False):
+                    x.append(y)
+                held[3].extend(batch.column(7).slice(a, b - a))
+        if held[0]:
+            yield compare(last, *held)
+
+    return dealt.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, p, q): p and q are 128 bits of key and text."""
+    id, told = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    return docs.select(id.alias("id"), told.alias("text"), *_picks(id, told))
+
+
+def _picks(id, text) -> list:
+    return [F.xxhash64(F.lit(seed), id.isNull(), id, text).alias(name) for seed, name in enumerate("pq")]
+
+
+def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (id, text, p, q) of docs, their signatures, and the nodes (id, a, b, size, copies,
+    first, class): each distinct set, with its least row and its class."""
+    rows = _rows(docs, key, text)
     signed = stash(signatures(rows, n), "signatures")
-    full = signed.where("size > 0")
-    groups = stash(full.groupBy("a", "b", "size").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("keys").alias("keys")), "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "p", "q")).alias("first")
+    groups = signed.where("size > 0").groupBy("a", "b", "size").agg(first, F.count("*").alias("copies"), F.min("keys").alias("keys"))
+    groups = stash(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
     nodes = groups.select("id", "keys")
-    own = signed.select("id", F.when(F.col("size") > 0, F.struct("a", "b", "size")).alias("set")).withColumn("row", F.lit(1))
-
-    first = stash(leaders(nodes), "leaders")
-    ids = first.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    links = stash(verify(first, sets_of(rows, ids, n), threshold), "links")
-    classes = components(links)
-
-    depth = final_depth(recall, threshold)
-    typed = nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    more = stash(across(stash(typed, "typed"), depth, threshold), "across")
-    ids = more.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    links = links.union(stash(verify(more, sets_of(rows, ids, n), threshold), "links"))
-    # Rows of one doc_id with different sets are one document.
-    same = own.where("set is not null").join(groups.select(F.struct("a", "b", "size").alias("set"), F.col("id").alias("rep")), "set").select("id", "rep", "set")
-    same = stash(same, "members")
-    classes = stash(components(links.select("u", "v").union(same.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")))), "classes")
-
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    counts = groups.select(F.col("id").alias("rep"), F.struct("a", "b", "size").alias("set"), F.col("copies") - 1).toDF("rep", "set", "others").join(degree, "rep", "left")
-    counts = counts.select("set", (F.coalesce("links", F.lit(0)) + F.col("others")).alias("n_links"))
-    out = own.join(counts, "set", "left").join(classes, "id", "left")
-    back = F.when(F.col("id") != FIRST, F.col("id"))
-    least = F.coalesce("class", "id")
-    return out.select(back.alias(key), F.when(least != FIRST, least).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = groups.select("id", F.col("first.p").alias("p"), "a", "b", "size")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        return stash(verify(pairs, sets_of(rows, stash(named.join(ids, "id", "left_semi"), "named"), n), threshold).select("u", "v"), "links")
+
+    depth, links = final_depth(recall, threshold), None
+    typed = nodes.withColumn("class", F.col("id"))
+    for at in (LEVELS, None):
+        pairs = stash(across(typed, depth, threshold) if at is None else leaders(typed, at), "pairs")
+        links = linked(pairs) if links is None else links.union(linked(pairs))
+        classes = components(links)
+        typed = nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        typed = typed if at is None else stash(typed, "typed")
+    return rows, signed, stash(groups.drop("keys").join(typed.select("id", "class"), "id"), "nodes")
+
+
+def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per row of docs: key, class_id (the least key of its class) and n_links (other rows
+    whose n-gram sets have at least the threshold's similarity with its own)."""
+    rows, signed, nodes = classified(docs, key, text, n, threshold, recall)
+    several = nodes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    members = stash(nodes.join(several, "class").select("id", "class", "size", "copies", F.col("first.p").alias("p"), "a", "b"), "members")
+    links = within(members.select("id", "class", "size", "copies"), sets_of(rows, members, n), threshold)
+    names = nodes.groupBy("class").agg(F.min("first.id").alias("name"))
+    told = nodes.join(names, "class").join(links, "id", "left").select("a", "b", "size", "name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("id", "a", "b", "size").join(told, ["a", "b", "size"], "left")
+    alone = F.col("size") == 0
+    return out.select(F.col("id").alias(key), F.when(alone, F.col("id")).otherwise(F.col("name")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

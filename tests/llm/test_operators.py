@@ -106,6 +106,26 @@ def test_ngram_join(docs, rows):
     assert kept.columns == docs.columns and kept.count() == len({r["class_id"] for r in got})
 
 
+def test_links_are_counted(spark, monkeypatch):
+    """n_links equals brute force on a group of near copies with exact copies, in several blocks too."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    data = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        data += [(i, " ".join(words))] * (3 if i % 10 == 0 else 1)
+    data += [(7, "another text under a repeated id " * 3), (None, data[5][1]), (99, "alone here"), (98, "")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.split()) else set() for _, t in data]
+    want = collections.Counter((i, sum(x != y and bool(s) and len(s & o) >= 0.8 * len(s | o) for y, o in enumerate(sets))) for x, ((i, _), s) in enumerate(zip(data, sets, strict=True)))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    assert collections.Counter((r["doc_id"], r["n_links"]) for r in nj.join_similar(d).collect()) == want
+    assert len({n for _, n in want}) > 3
+    monkeypatch.setattr(nj, "BLOCK", 7)
+    assert collections.Counter((r["doc_id"], r["n_links"]) for r in nj.join_similar(d).collect()) == want
+
+
 def test_fingerprints(docs, rows):
     order = sorted(((i if i is not None else fp.NONE, t or "") for i, t, *_ in rows), key=lambda x: x)
     want = []
