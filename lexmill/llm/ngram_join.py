@@ -343,11 +343,16 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Pipeline stage: the document of least key of each class, with the columns of docs. Of rows
-    that repeat its key, one stays."""
-    classes = join_similar(docs, key, text, **options)
-    kept = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.dropDuplicates([key]).join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    """Pipeline stage: the row of least key (rows without one last) of each class, with the columns
+    of docs. A row is dropped only if a kept row is in its class; rows without n-grams all stay."""
+    _, _, nodes = classified(docs, key, text, **options)
+    kept = nodes.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.p").alias("__p"), F.col("first.q").alias("__q"))
+    told = F.coalesce(F.col(text), F.lit(""))
+    p, q = _picks(F.col(key).cast("long"), told)
+    marked = docs.withColumns({"__p": p, "__q": q})
+    some = told.rlike(r"[^\x20\x09-\x0D]")
+    one = marked.where(some).join(kept, ["__p", "__q"], "left_semi").dropDuplicates(["__p", "__q"])
+    return one.unionByName(marked.where(~some)).select(*docs.columns)
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -126,6 +126,15 @@ def test_links_are_counted(spark, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_links"]) for r in nj.join_similar(d).collect()) == want
 
 
+def test_keep_one_loses_no_text(spark):
+    """Rows without an id, or that repeat one, are documents of their own."""
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    data = [(None, text["a"]), (None, text["b"]), (None, text["c"]), (4, text["c"] + " more"), (5, text["d"]), (5, text["e"]), (6, text["e"]), (7, text["f"]), (7, text["f"]), (8, None), (8, "")]
+    kept = nj.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = [(None, text["a"]), (None, text["b"]), (4, text["c"] + " more"), (5, text["d"]), (5, text["e"]), (7, text["f"]), (8, None), (8, "")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 def test_fingerprints(docs, rows):
     order = sorted(((i if i is not None else fp.NONE, t or "") for i, t, *_ in rows), key=lambda x: x)
     want = []
