@@ -319,7 +319,7 @@ def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     depth, links = final_depth(recall, threshold), None
     typed = nodes.withColumn("class", F.col("id"))
-    for at in (LEVELS, None):
+    for at in [*range(LEVELS, depth - 1, -1), None]:
         pairs = stash(across(typed, depth, threshold) if at is None else leaders(typed, at), "pairs")
         links = linked(pairs) if links is None else links.union(linked(pairs))
         classes = components(links)

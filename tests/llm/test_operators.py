@@ -126,6 +126,14 @@ def test_links_are_counted(spark, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_links"]) for r in nj.join_similar(d).collect()) == want
 
 
+def test_prefix_is_shortened_stepwise(spark, monkeypatch):
+    """A leader round at each depth down to the one that meets the recall."""
+    seen, own = [], nj.leaders
+    monkeypatch.setattr(nj, "leaders", lambda nodes, depth: seen.append(depth) or own(nodes, depth))
+    nj.classified(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc_id long, text string"))
+    assert seen == list(range(nj.LEVELS, nj.final_depth() - 1, -1)) and len(seen) > 1
+
+
 def test_keep_one_loses_no_text(spark):
     """Rows without an id, or that repeat one, are documents of their own."""
     text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
