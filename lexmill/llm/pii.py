@@ -1,13 +1,14 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what gives them away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct
-value found is a protected entity. For words near an entity, document co-occurrence over the
-whole corpus estimates disclosure: PMI(word; entity) over the entity's information content, which
+value found is a protected entity. For the words of documents with an entity, document co-occurrence
+over the whole corpus estimates disclosure: PMI(word; entity) over the entity's information content, which
 is 1 when the word occurs only with the entity and 0 when it tells nothing. Words at or above
-`REMOVE` are removed and those at or above `GENERALISE` are generalised to their shape.
+`REMOVE` are removed and those at or above `GENERALISE` are generalised to their shape, wherever
+they occur: anywhere in a document, with the entity or without it.
 
 Defined cases: a null text is an empty one, without spans; rows are judged one by one, so repeated
-rows count as documents of their own; words inside base spans are no terms; an entity or pair found
+rows count as documents of their own; words inside base spans are no terms, and are not counted; an entity or pair found
 in fewer than `SUPPORT` documents discloses nothing (one document is no co-occurrence estimate);
 offsets are code points, ends exclusive; other columns pass through or are ignored.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,10 @@ from lexmill.llm.common import Bloom, Words, codes_of, letters, pieces, span_has
 from lexmill.session import stash
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, SHORTEST, SUPPORT = 5, 3, 2
+SHORTEST, SUPPORT = 3, 2
 REMOVE, GENERALISE = 0.95, 0.85
 SMALL = 1 << 18  # bytes of a piece whose code points are hashed
+HELD = 1 << 18  # sums a task holds before it sends them
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -85,33 +88,24 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def nearby(text: str, start: int, end: int, reach: int = REACH) -> list[tuple[int, int]]:
-    """The words (runs of letters) of up to `reach` on each side of a span."""
-    out = []
-    at = start
-    for _ in range(reach):
-        while at > 0 and not text[at - 1].isalpha():
-            at -= 1
-        stop = at
-        while at > 0 and text[at - 1].isalpha():
-            at -= 1
-        if at < stop:
-            out.append((at, stop))
-    at = end
-    for _ in range(reach):
-        while at < len(text) and not text[at].isalpha():
-            at += 1
-        begin = at
-        while at < len(text) and text[at].isalpha():
-            at += 1
-        if begin < at:
-            out.append((begin, at))
-    return out
+@lru_cache(maxsize=1)
+def lowered() -> np.ndarray:
+    """By code point: its lower case, where that is one code point."""
+    return np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(0x110000)), np.uint32, 0x110000)
 
 
-def _term_hashes(words: list[str]) -> np.ndarray:
-    codes, bounds = codes_of(words)
-    return span_hashes(codes, bounds[:-1], bounds[1:] - 1).view(np.int64)
+def words_of(texts: list[str], spans: list[list[tuple[str, int, int]]], shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, text, start, end) of the words (runs of letters) outside all spans of their text."""
+    codes, bounds = codes_of(texts)
+    words = Words(codes, bounds, ~letters())
+    kept = words.ends - words.starts >= shortest
+    for at, own in enumerate(spans):
+        for _, a, b in own:
+            lo = np.searchsorted(words.ends, bounds[at] + a, "right")
+            kept[lo : np.searchsorted(words.starts, bounds[at] + b, "left")] = False
+    starts, ends, doc = words.starts[kept], words.ends[kept], words.doc[kept]
+    terms = span_hashes(lowered()[codes], starts, ends).view(np.int64)
+    return terms, doc, starts - bounds[:-1][doc], ends - bounds[:-1][doc]
 
 
 def _entity(kind: str, value: str) -> int:
@@ -119,49 +113,54 @@ def _entity(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{bare}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-CONTEXT = pa.list_(pa.struct([("term", pa.int64()), ("entity", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-
+NEAR = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int = REACH, shortest: int = SHORTEST) -> tuple[list[int], list[dict]]:
-    """Distinct entities of a text, and the terms near each of them outside all base spans."""
-    inside = sorted((a, b) for _, a, b in spans)
-    found: dict[tuple[int, int, int], str] = {}
-    entities = []
-    for kind, a, b in spans:
-        entity = _entity(kind, text[a:b])
-        entities.append(entity)
-        for x, y in nearby(text, a, b, reach):
-            if y - x >= shortest and not any(p < y and x < q for p, q in inside):
-                found[entity, x, y] = text[x:y].lower()
-    terms = _term_hashes(list(found.values())) if found else []
-    rows = [{"term": int(t), "entity": e, "start": x, "end": y} for t, (e, x, y) in zip(terms, found, strict=True)]
-    return sorted(set(entities)), rows
 
+def detect_base(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, base, entities, terms): terms are the distinct
+    words of texts with an entity. Given `terms`, in place of the last two text_sha and candidates:
+    where a text has a word of them (or one that a Bloom filter of fixed size lets through)."""
+    ours = "text_sha string, candidates array<struct<term:long,start:long,end:long>>" if terms is not None else "entities array<long>, terms array<long>"
+    names = [key, *(f"n_{k}" for k in KINDS), "base_sha256", "base", *(("entities", "terms") if terms is None else ("text_sha", "candidates"))]
+    held = None if terms is None else docs.sparkSession.sparkContext.broadcast(Bloom.build(terms, "term"))
 
-def detect_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, base, text_sha, entities, contexts)."""
-    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text_sha string, entities array<long>, contexts array<struct<term:long,entity:long,start:long,end:long>>"
-    names = [key, *(f"n_{k}" for k in KINDS), "base_sha256", "base", "text_sha", "entities", "contexts"]
-    kinds = [*[pa.int64()] * 4, *[pa.string()] * 3, pa.list_(pa.int64()), CONTEXT]
+    def listed(count: int, doc: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(count + 1)), pa.int32()), values)
 
     def run(batches):
-        for batch in pieces(batches, text):
-            rows = []
-            for t in batch.column(1).to_pylist():
-                t = t or ""
-                spans = base_spans(t)
-                shown = joined(spans)
-                entities, near = contexts(t, spans) if spans else ([], [])
-                sha = hashlib.sha256(t.encode()).hexdigest() if spans else None
-                rows.append((*(sum(k == kind for k, _, _ in spans) for kind in KINDS), hashlib.sha256(shown.encode()).hexdigest(), shown, sha, entities, near))
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+        for batch in pieces(batches, text, SMALL):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            spans = [base_spans(t) for t in texts]
+            shown = [joined(x) for x in spans]
+            columns = [pa.array([sum(k == kind for k, _, _ in x) for x in spans], pa.int64()) for kind in KINDS]
+            columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in shown]), pa.array(shown, pa.string())]
+            if held is None:
+                found, doc, _, _ = words_of([t if x else "" for t, x in zip(texts, spans, strict=True)], spans)
+                found, doc = _distinct(found, doc)
+                columns += [pa.array([sorted({_entity(k, t[a:b]) for k, a, b in x}) for t, x in zip(texts, spans, strict=True)], pa.list_(pa.int64())), listed(len(texts), doc, pa.array(found))]
+            else:
+                every = words_of(texts, spans)
+                some = Bloom.might_hold(held.value, every[0])
+                found, doc, starts, ends = (x[some] for x in every)
+                near = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (found, starts, ends)], fields=list(NEAR))
+                hit = set(doc.tolist())
+                columns += [pa.array([hashlib.sha256(t.encode()).hexdigest() if i in hit else None for i, t in enumerate(texts)], pa.string()), listed(len(texts), doc, near)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     kept = docs.select(key, text)
-    ddl = f"`{key}` {kept.schema[0].dataType.simpleString()}, {schema}"
+    ddl = f"`{key}` {kept.schema[0].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, {ours}"
     return kept.mapInArrow(run, ddl)
 
 
+def _distinct(terms: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each term of each text once, by text."""
+    order = np.lexsort((terms, doc))
+    terms, doc = terms[order], doc[order]
+    fresh = np.ones(len(terms), bool)
+    fresh[1:] = (terms[1:] != terms[:-1]) | (doc[1:] != doc[:-1])
+    return terms[fresh], doc[fresh]
+
+
 def _summed(terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     term, at = np.unique(np.concatenate(terms), return_inverse=True)
     return term, np.bincount(at, np.concatenate(counts), len(term)).astype(np.int64)
@@ -175,23 +174,16 @@ def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text", short
     def run(batches):
         held_terms, held_counts, size = [], [], 0  # a task sends each term about once
         for batch in pieces(batches, text, SMALL):
-            codes, bounds = codes_of([(x or "").lower() for x in batch.column(0).to_pylist()])
-            words = Words(codes, bounds, ~letters())
-            long = words.ends - words.starts >= shortest
-            hashes, doc = words.hashes()[long].view(np.int64), words.doc[long]
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            hashes, doc, _, _ = words_of(texts, [base_spans(t) for t in texts], shortest)
             some = Bloom.might_hold(held.value, hashes)
-            hashes, doc = hashes[some], doc[some]
-            order = np.lexsort((doc, hashes))
-            hashes, doc = hashes[order], doc[order]
-            fresh = np.ones(len(hashes), bool)
-            fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-            term, n = np.unique(hashes[fresh], return_counts=True)
+            term, n = np.unique(_distinct(hashes[some], doc[some])[0], return_counts=True)
             held_terms.append(term)
             held_counts.append(n)
             size += len(term)
-            if size > 1 << 19:
+            if size > 2 * HELD:
                 term, n = _summed(held_terms, held_counts)
-                if len(term) > 1 << 18:
+                if len(term) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], ["term", "n"])
                     held_terms, held_counts, size = [], [], 0
                 else:
@@ -203,14 +195,49 @@ def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text", short
     return docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms.select("term"), "term", "left_semi")
 
 
+def pair_counts(base: DataFrame, entities: DataFrame) -> DataFrame:
+    """(term, entity, n_pair): documents that hold both, for entities in `entities` (and those that a
+    Bloom filter of fixed size lets through). Pairs are summed in tasks before the shuffle."""
+    held = base.sparkSession.sparkContext.broadcast(Bloom.build(entities, "entity"))
+
+    def summed(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        term, entity, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((term, entity))
+        term, entity, n = term[order], entity[order], n[order]
+        heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (entity[1:] != entity[:-1])]))
+        return term[heads], entity[heads], np.add.reduceat(n, heads)
+
+    def run(batches):
+        kept, size = [], 0
+        for batch in batches:
+            for own, terms in zip(batch.column(0), batch.column(1), strict=True):
+                own, terms = own.values.to_numpy(zero_copy_only=False), terms.values.to_numpy(zero_copy_only=False)
+                if not len(terms) or not len(own):
+                    continue
+                for entity in own[Bloom.might_hold(held.value, own)]:
+                    kept.append((terms, np.full(len(terms), entity), np.ones(len(terms), np.int64)))
+                    size += len(terms)
+                    if size > 2 * HELD:
+                        kept = [summed(kept)]
+                        size = len(kept[0][0])
+                        if size > HELD:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[0]], ["term", "entity", "n_pair"])
+                            kept, size = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(kept)], ["term", "entity", "n_pair"])
+
+    return base.select("entities", "terms").mapInArrow(run, "term long, entity long, n_pair long").groupBy("term", "entity").agg(F.sum("n_pair").alias("n_pair"))
+
+
 def disclosures(docs: DataFrame, base: DataFrame, text: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(term, entity, disclosure) of pairs at or above `least`."""
-    near = base.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c.term.alias("term"), c.entity.alias("entity"))))).alias("c")).select("c.*")
-    pairs = stash(near.groupBy("term", "entity").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support), "pairs")
+    """(term, entity, disclosure) of pairs at or above `least`; base has the rows of docs with an entity
+    at least."""
     entities = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = stash(entities.where(F.col("n_entity") >= support), "entities")
+    pairs = stash(pair_counts(base, entities).where(F.col("n_pair") >= support), "pairs")
     terms = stash(pairs.select("term").distinct(), "terms")
     counts = document_counts(docs, terms, text)
-    total = base.count()
+    total = docs.count()
     content = -F.log2(F.col("n_entity") / F.lit(float(max(1, total))))
     score = F.when(content > 0, 1 + F.log2(F.col("n_pair") / F.col("n")) / content)
     return pairs.join(entities, "entity").join(counts, "term").withColumn("disclosure", score).where(F.col("disclosure") >= least).select("term", "entity", "disclosure")
@@ -218,18 +245,25 @@ def disclosures(docs: DataFrame, base: DataFrame, text: str = "text", support: i
 
 def term_spans(base: DataFrame, found: DataFrame) -> DataFrame:
     """(text_sha, terms array<struct<start,end,disclosure>>) of texts with disclosing terms."""
-    near = base.where(F.size("contexts") > 0).select("text_sha", F.explode("contexts").alias("c")).select("text_sha", "c.*")
-    hits = near.join(found, ["term", "entity"]).groupBy("text_sha", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return hits.groupBy("text_sha").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    near = base.where("text_sha is not null").select("text_sha", "candidates").dropDuplicates(["text_sha"]).select("text_sha", F.explode("candidates").alias("c")).select("text_sha", "c.*")
+    return near.join(found, "term").groupBy("text_sha").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+
+
+def disclosing(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Base columns of each row, with its candidates, and the term spans by text_sha."""
+    known = stash(detect_base(docs, key, text).where(F.size("entities") > 0).select("entities", "terms"), "pii-entities")
+    found = stash(disclosures(docs, known, text).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
+    base = stash(detect_base(docs, key, text, found), "pii-base")
+    return base, term_spans(base, found)
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Base columns of each row with `spans`: base spans, then the method's (kind term)."""
-    base = stash(detect_base(docs, key, text), "pii-base")
-    extra = term_spans(base, disclosures(docs, base, text))
+    base, extra = disclosing(docs, key, text)
     shown = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t.start, F.lit(":"), t.end)), ",")
     spans = F.concat_ws(",", F.nullif("base", F.lit("")), shown)
-    # Most rows have no span and so no key: they stay out of the join, which would deal them as one.
+    # Most rows have no term and so no key: they stay out of the join, which would deal them as one.
+    base = base.drop("candidates")
     found = base.where("text_sha is not null").join(extra, "text_sha", "left")
     bare = base.where("text_sha is null").withColumn("terms", F.lit(None).cast(extra.schema["terms"].dataType))
     return found.unionByName(bare).select(key, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("__n")).withColumn("n_term", F.greatest("__n", F.lit(0).cast("long"))).drop("__n")
@@ -256,8 +290,7 @@ def rewrite(text: str, terms: list[tuple[int, int, float]], remove: float = REMO
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `text` sanitised (null stays null)."""
     row = docs.withColumn("__row", F.lit(0)).select("__row", text)
-    base = stash(detect_base(row, "__row", text), "pii-base")
-    extra = term_spans(base, disclosures(docs, base, text)).withColumnRenamed("terms", "__terms")
+    extra = disclosing(row, "__row", text)[1].withColumnRenamed("terms", "__terms")
     keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(extra, F.col("__sha") == F.col("text_sha"), "left")
     given = keyed.select(*[F.col(c) for c in docs.columns], "__terms")
     at = docs.columns.index(text)

@@ -249,6 +249,18 @@ def test_disclosure(spark):
     assert pii.detect(d).where("n_term > 0").count() == 4
 
 
+def test_disclosure_reaches_whole_documents(spark):
+    """A term far from the entity, or in a document without it, is scored and replaced."""
+    far = " ".join(f"filler{chr(97 + i)}" for i in range(20))
+    data = [(i, f"Zorblat {far} write to a@b.cd") for i in range(20)] + [(20, f"zorblat {far} alone"), (21, None)] + [(i, f"{far} here") for i in range(22, 90)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    assert pii.disclosure(20, 21, 20, 90) >= pii.REMOVE > pii.GENERALISE > pii.disclosure(20, 89, 20, 90)
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(d).collect()}
+    assert len(got) == 90 and all("term:0:7" in got[i] for i in range(21)) and "term:0:7" not in got[30]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
+    assert clean[0].startswith("[…] ") and clean[20].startswith("[…] ") and clean[21] is None and clean[30] == data[30][1]
+
+
 def test_tokens(docs, rows):
     got = spm.round_trip(docs, every=1).collect()
     assert len(got) == len(rows) and all(r["round_trip"] and r["parity"] for r in got)
