@@ -181,20 +181,24 @@ def describe(content: bytes) -> tuple:
     return _page(headers["WARC-Record-ID"]), size, stated, kind, _page(headers["WARC-Refers-To"]), headers.get("WARC-Target-URI", ""), None
 
 
+def _sha1():
+    return F.unhex(F.sha1(F.coalesce(F.col("html"), F.lit(""))))
+
+
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload, of at least `least` bytes, a smaller page_id
+    """(page_id, d, refers_to) of pages whose payload, with SHA-1 d, of at least `least` bytes, a smaller page_id
     has too. Only digests move; a payload that a third of all pages share is one small row a task
     in the aggregation, and the join back is of small rows that Spark may split."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    small = pages.select("page_id", F.unhex(F.sha1(html)).alias("d")).where(F.col("page_id").isNotNull() & (F.octet_length(html) >= least))
+    small = pages.select("page_id", _sha1().alias("d")).where(F.col("page_id").isNotNull() & (F.octet_length(html) >= least))
     first = small.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return small.join(first, "d").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return small.join(first, "d").where("page_id <> refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def write(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archives (records long, content binary) of one record a row of pages(page_id, url, html)."""
     least_rows = stash(revisits(pages, least), "revisits")
-    joined = pages.select("page_id", "url", "html").join(least_rows.withColumn("revisit", F.lit(True)), "page_id", "left")
+    joined = pages.select("page_id", "url", "html", _sha1().alias("d")).join(least_rows.withColumn("revisit", F.lit(True)), ["page_id", "d"], "left").select("page_id", "url", "html", "refers_to", "revisit")
 
     def run(batches):
         held, size = [], 0

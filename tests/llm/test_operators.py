@@ -170,6 +170,13 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_payloads_of_a_repeated_page(spark):
+    """Of a page_id with two payloads, only the one that an earlier page has is a revisit."""
+    pages = spark.createDataFrame([(1, "a", "<p>x</p>"), (4, "b", "<p>x</p>"), (4, "b", "<p>own</p>"), (2, "c", "<p>y</p>"), (4, "d", "<p>y</p>")], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, bytes(r["payload"] or b"")) for r in warc.read(warc.write(pages)).collect())
+    assert got == [(1, "response", 0, b"<p>x</p>"), (2, "response", 0, b"<p>y</p>"), (4, "response", 0, b"<p>own</p>"), (4, "revisit", 1, b""), (4, "revisit", 2, b"")]
+
+
 def test_language(docs, rows):
     model = langid.fit(docs)
     got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in langid.predict(docs, model).collect()}
