@@ -6,6 +6,8 @@ Methods that change tables replace them here; `commit` publishes all of them at
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions import vocabulary as V
@@ -17,7 +19,12 @@ from lexmill.streaming import jobs as J
 class Workbench:
     def __init__(self, tables: dict[str, DataFrame], glossary: DataFrame | None = None, now: Column | None = None) -> None:
         self.tables, self.glossary = dict(tables), glossary
-        self.now = now if now is not None else F.current_timestamp()
+        self._now = now
+
+    @property
+    def now(self) -> Column:
+        """The time of a call, the same whenever its tables are computed."""
+        return self._now if self._now is not None else F.lit(datetime.datetime.now(datetime.timezone.utc))
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -27,12 +34,21 @@ class Workbench:
 
     # Queue and session.
     def get_next_article(self) -> DataFrame:
-        """The claimed article, with `outcome`: ok, SESSION_PAUSE or COMPLETE."""
-        state = J.session_limit(self["session"], F.to_date(self.now)).select("limit_reached")
-        found = R.next_in_queue(self["articles"], "processing_status", "created_at", "id")
+        """The claimed article, with `outcome`: ok, SESSION_PAUSE (nothing is claimed) or COMPLETE;
+        `progress`, counts by status; and `articles_processed` of the session."""
+        now = self.now
+        self.tables["session"] = J.session_limit(self["session"], F.to_date(now)).select(*self["session"].columns)
+        limit = F.col("articles_processed_count") >= F.col("human_review_interval")
+        state = self["session"].select(limit.alias("limit_reached"), F.col("articles_processed_count").alias("articles_processed"))
+        # One row: an article only while the session is open.
+        found = R.next_in_queue(self["articles"], "processing_status", "created_at", "id").join(state.where(~F.col("limit_reached")).select(), how="left_semi")
         self.tables["articles"] = S.claim_next(self["articles"], found)
+        progress = self.get_progress().agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("progress"))
         outcome = F.when(F.col("limit_reached"), "SESSION_PAUSE").when(F.col("id").isNull(), "COMPLETE").otherwise("ok")
-        return state.join(found, F.lit(True), "left").withColumn("outcome", outcome).drop("limit_reached")  # one row each
+        return state.join(found, F.lit(True), "left").join(progress, F.lit(True)).withColumn("outcome", outcome).drop("limit_reached")  # one row each
+
+    def get_taxonomy(self) -> dict[str, DataFrame]:
+        return C.taxonomy(self["articles"].sparkSession)
 
     def get_progress(self) -> DataFrame:
         return R.status_counts(self["articles"], "processing_status")
@@ -62,20 +78,32 @@ class Workbench:
 
     def save_article(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """Decisions for rows (see classify.gate, without its flag columns) whose texts are in
-        pairs(article_id, source_text, target_text). Accepted rows go into the tables."""
+        pairs(article_id, source_text, target_text). Accepted rows go into all tables at once:
+        article, translation (columns translated_title, -_summary and -_full_text), categories,
+        keywords, the token used (column token) and the session's counter, which rises by their
+        number. Rejected rows change nothing."""
         checked = Q.check_pairs(pairs).select("article_id", "blocking_flags", "warning_flags")
         none = F.array().cast("array<string>")
         joined = rows.join(checked, "article_id", "left").withColumns({c: F.coalesce(c, none) for c in ("blocking_flags", "warning_flags")})
-        decided = C.gate(joined)
+        decided, now = C.gate(joined), self.now
         good = decided.where("decision = 'accepted'")
-        done = good.select(F.col("article_id").alias("id"), "method", "voice", "peer_reviewed", F.transform("flags", lambda f: f.code).alias("processing_flags"), F.col("notes").alias("processing_notes"))
-        self.tables["articles"] = S.mark_translated(self["articles"], done, self.now)
+        codes = F.concat(F.transform("flags", lambda f: f.code), F.when(C.is_checked(), F.col("warning_flags")).otherwise(none))
+        more = [c for c in ("source", "extraction_method", "extraction_problems", "glossary_version") if c in rows.columns]
+        done = good.select(F.col("article_id").alias("id"), "method", "voice", "peer_reviewed", codes.alias("processing_flags"), F.col("notes").alias("processing_notes"), *more)
+        self.tables["articles"] = S.mark_translated(self["articles"], done, now)
+        texts = [c for c in ("translated_title", "translated_summary", "translated_full_text") if c in rows.columns]
+        if "translations" in self.tables and texts:
+            new = good.select("article_id", F.lit("fr").alias("target_language"), *texts, F.lit("translated").alias("status"), now.alias("updated_at"))
+            new = new.select(*[c for c in new.columns if c in self["translations"].columns])
+            self.tables["translations"] = S.upsert(self["translations"], new, ["article_id", "target_language"], [c for c in new.columns if c not in ("article_id", "target_language")])
+        if "tokens" in self.tables and "token" in rows.columns:
+            self.tables["tokens"] = S.mark_tokens_used(self["tokens"], good)
         if "article_categories" in self.tables:
             self.tables["article_categories"] = S.replace_children(self["article_categories"], S.category_rows(good), "article_id")
         if "keywords" in self.tables:
             self.tables["keywords"], self.tables["article_keywords"] = S.replace_keywords(self["keywords"], self["article_keywords"], good.select("article_id", F.explode("keywords").alias("keyword")))
         if "session" in self.tables:
-            self.tables["session"] = S.session_increment(self["session"])
+            self.tables["session"] = S.session_increment(self["session"], good.count())
         return decided.select("article_id", "decision", "notes")
 
     # Intake.
@@ -114,7 +142,12 @@ class Workbench:
         return rows.withColumn("errors", C.review_errors(*map(F.col, columns)))
 
     def get_body_for_review(self, key, number: int = 0) -> DataFrame:
-        return R.page(B.review(self["paragraphs"].where(F.col("doc_id") == key)), "pos", number)
+        """A page of ten paragraphs, with `total` pages; a number beyond them is an error."""
+        own = B.review(self["paragraphs"].where(F.col("doc_id") == key))
+        total = -(-own.count() // 10)
+        if not 0 <= number < max(1, total):
+            raise ValueError(f"INVALID_CHUNK: {number} of {total}")
+        return R.page(own, "pos", number, partition="doc_id").withColumn("total", F.lit(total))
 
     def complete_body_review(self, fixes: DataFrame, acknowledged: DataFrame) -> DataFrame:
         """Flagged paragraphs left; if there are none, fixes are applied."""

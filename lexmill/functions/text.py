@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -25,13 +26,20 @@ def contains_any(c: Column, needles) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles])
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(c: Column) -> Column:
     """Blank-separated words, none for null."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), BLANK), lambda x: x != "")
 
 
 def count_words(c: Column) -> Column:
-    return F.size(words(c)).cast("long")
+    """Number of words, from lengths: no word is made."""
+    single = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK, " "))
+    return let(single, lambda s: F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)).cast("long")
 
 
 def slugify(c: Column) -> Column:
@@ -54,6 +62,7 @@ def article_id(title: Column, authors: Column, year: Column) -> Column:
     return F.concat_ws("-", last, blank_to_null(year), name)
 
 
+# Words that count for nothing in an id.
 SKIPPED_TITLE_WORDS = ("the", "a", "an", "of", "in", "on", "for", "and", "to", "with")
 
 
@@ -99,7 +108,7 @@ def year_of(c: Column) -> Column:
 
 
 def email_of(c: Column) -> Column:
-    return first_match(c, r"[\w.-]+@[\w.-]+\.\w+")
+    return first_match(c, r"(?<![\w.-])[\w.-]+@[\w.-]+\.\w+")  # a run that fails is tried once
 
 
 def heading_level(html: Column) -> Column:
@@ -134,7 +143,15 @@ def is_cruft(c: Column) -> Column:
     """Metadata that does not belong into a body."""
     bare = F.trim(F.lower(c))
     label = (F.length(c) < 30) & F.endswith(c, F.lit(":")) & ~c.rlike(r"^\d")
-    return bare.rlike("|".join(f"(?:{p})" for p in V.CRUFT)) | label
+    opening = "|".join(p[1:] for p in V.CRUFT if p.startswith("^"))
+    return reduce(lambda a, b: a | b, [_after_literal(bare, p) for p in V.CRUFT if not p.startswith("^")], bare.rlike(f"^(?:{opening})") | label)
+
+
+def _after_literal(c: Column, pattern: str) -> Column:
+    """Whether the pattern occurs; it is only looked for where the literal text it begins with does."""
+    literal = re.match(r"[^\\\[\](){}.*+?|^$]+", pattern)[0]
+    found = F.contains(c, F.lit(literal))
+    return found if literal == pattern else found & c.rlike(pattern)
 
 
 def truncate(c: Column, n: int) -> Column:

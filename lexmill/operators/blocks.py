@@ -1,12 +1,14 @@
 """Layout blocks to documents, and review of document bodies.
 
 Blocks are rows (doc_id, pos, block_type, html, page, images). Joining split sentences looks ahead
-and consumes blocks, so it runs per document; all else is native over window and aggregate."""
+and consumes blocks, and HTML is parsed in Python, so both run in one pass over documents in a row
+(`prepare`); all else is native over window and aggregate."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexmill.functions import html as H, text as X, vocabulary as V
 
@@ -87,26 +89,59 @@ class Joiner:
         return out
 
 
-def join_split_sentences(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """blocks with continuations joined into the block they continue, and `joined`."""
-    schema = T.StructType([*blocks.schema.fields, T.StructField("joined", T.BooleanType())])
+#: What prepare() adds to the columns of blocks.
+PREPARED = "joined boolean, text string, items array<string>, alt string, description string, shown string"
+
+
+def prepare(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """blocks with continuations joined into the block they continue (`joined`), and what the HTML of
+    each block says: text, items of a list, alt and description of a figure, and `shown`, the HTML
+    with formula spans. Documents are dealt out by key and sorted, and a task holds one at a time."""
+    columns = blocks.columns
+    schema = T.StructType([*blocks.schema.fields, *T.StructType.fromDDL(PREPARED).fields])
+    at = {c: columns.index(c) for c in ("block_type", "html", "page", "pos", key)}
+
+    def parse(rows: list[tuple]) -> list[tuple]:
+        kinds, htmls = [r[at["block_type"]] or "" for r in rows], [r[at["html"]] or "" for r in rows]
+        out = []
+        for i, text in Joiner(kinds, htmls, [r[at["page"]] for r in rows]).run():
+            row, html = list(rows[i]), rows[i][at["html"]]
+            if text is not None:
+                html = row[at["html"]] = f"<p>{text}</p>"
+            figure = H.figure(html) if kinds[i] in FIGURES else {"alt": None, "description": None}
+            items = H.items(html) if kinds[i] == "ListGroup" else None
+            out.append((*row, text is not None, H.element_text(html), items, figure["alt"], figure["description"], H.math_to_span(html or "")))
+        return out
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[at[key]] != held[-1][at[key]]:
+                    out += parse(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in parse(held)], arrow)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos", kind="stable").reset_index(drop=True)
-        kept = Joiner(frame["block_type"].fillna("").tolist(), frame["html"].fillna("").tolist(), frame["page"].tolist()).run()
-        out = frame.iloc[[i for i, _ in kept]].copy()
-        out["html"] = [h if t is None else f"<p>{t}</p>" for h, (_, t) in zip(out["html"], kept, strict=True)]
-        out["joined"] = [t is not None for _, t in kept]
-        return out[schema.names]
+    arrow = to_arrow_schema(schema)
+    return blocks.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(run, schema)
 
-    return blocks.groupBy(key).applyInPandas(run, schema)
+
+def join_split_sentences(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """blocks with continuations joined into the block they continue, and `joined`."""
+    return prepare(blocks, key).select(*blocks.columns, "joined")
 
 
 def with_sections(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """blocks with text, section (forward filled from h2 headings and inline keywords), title mark,
     caption of tables and figures, and number of figures."""
     order = Window.partitionBy(key).orderBy("pos")
-    t = blocks.withColumn("text", F.coalesce(H.text_column(F.col("html")), F.lit(""))).withColumn("level", X.heading_level(F.col("html")))
+    t = blocks if "text" in blocks.columns else blocks.withColumn("text", F.coalesce(H.text_column(F.col("html")), F.lit("")))
+    t = t.withColumn("level", X.heading_level(F.col("html")))
     kind = F.col("block_type")
     first_h1 = (kind == "SectionHeader") & (F.col("level") == "h1") & (F.coalesce("page", F.lit(0)) == 0)
     t = t.withColumn("is_title", first_h1 & (F.count_if(first_h1).over(order) == 1))
@@ -131,18 +166,17 @@ def _first(value: Column, when: Column) -> Column:
 
 
 def parse_documents(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One record per document: metadata, abstract, keywords, body HTML in fixed order of sections,
-    references, tables, figures, footnotes, unclassified blocks, statistics and warnings."""
+    """One record per document (the patterns are fixed values): metadata, abstract, keywords, body HTML in fixed order of sections,
+    references, tables, figures, footnotes, unclassified blocks, statistics, warnings, and the stage
+    (cache: parsed, not yet reviewed)."""
     n_in = blocks.groupBy(key).agg(F.count("*").alias("input_blocks"))
-    b = with_sections(join_split_sentences(blocks, key), key)
+    b = with_sections(prepare(blocks, key), key)
     kind, text, sec, page = F.col("block_type"), F.col("text"), F.col("section"), F.coalesce("page", F.lit(0))
     early = (kind == "Text") & (sec == "preamble") & (page == 0)
     stated = F.coalesce(X.first_match(text, r"(?i)©.*?(20\d{2})", 1), X.first_match(text, r"(?i)published[:\s]+.*?(20\d{2})", 1), X.first_match(text, r"\((20\d{2})\)", 1))
     cites = (kind == "PageHeader") & (text.rlike(r"\d{4}.*\d+[-–]\d+") | text.rlike(r"\(\d{4}\)"))
-    b = b.withColumn("items", F.when((kind == "ListGroup") & (sec == "references"), H.items_column(F.col("html"))))
-    b = b.withColumn("refs", F.when(F.col("items").isNotNull(), F.col("items")).when((kind == "Text") & (sec == "references") & text.rlike(r"^(\d+\.?\s|\[?\d+\]?\s)"), F.array(text)))
-    b = b.withColumn("shown", F.when(F.col("figure_id").isNotNull(), F.concat(F.lit('<div class="figure-placeholder" data-figure-id="'), "figure_id", F.lit('"></div>'))).otherwise(H.math_column(F.coalesce("html", F.lit("")))))
-    b = b.withColumn("figure", F.when(F.col("figure_id").isNotNull(), H.figure_column(F.coalesce("html", F.lit("")))))
+    b = b.withColumn("refs", F.when((kind == "ListGroup") & (sec == "references"), F.col("items")).when((kind == "Text") & (sec == "references") & text.rlike(r"^(\d+\.?\s|\[?\d+\]?\s)"), F.array(text)))
+    b = b.withColumn("shown", F.when(F.col("figure_id").isNotNull(), F.concat(F.lit('<div class="figure-placeholder" data-figure-id="'), "figure_id", F.lit('"></div>'))).otherwise(F.col("shown")))
     prose = kind == "Text"
     inner = ~kind.isin(*CHROME, "Footnote")
     rank = F.when(F.lit(False), 0)
@@ -169,17 +203,38 @@ def parse_documents(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
         _ordered(text, prose & (sec == "acknowledgements"), " ").alias("acknowledgements"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("refs").isNotNull(), F.struct("pos", "refs")))), lambda r: r.refs)).alias("references"),
         listed(kind == "Table", "html", "page", "section", "caption").alias("tables"),
-        listed(kind.isin(*FIGURES), F.col("figure_id").alias("id"), "page", "section", "caption", F.col("figure.alt").alias("alt"), F.col("figure.description").alias("description"), F.map_keys("images").alias("images")).alias("figures"),
+        listed(kind.isin(*FIGURES), F.col("figure_id").alias("id"), "page", "section", "caption", "alt", "description", F.map_keys("images").alias("images")).alias("figures"),
         listed(kind == "Footnote", "text", "html", "page").alias("footnotes"),
         listed(unclassified, "block_type", X.truncate(text, 200).alias("text"), "page").alias("unclassified"),
+        F.array_sort(F.collect_list(F.when(inner, F.col("section")))).alias("__each"),
         F.count("*").alias("after_join"), F.count_if(kind.isin(*CHROME)).alias("skipped_chrome"), F.count_if(kind == "Footnote").alias("footnotes_extracted"),
     )
-    sections = b.where(inner).groupBy(key, "section").agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "n")))).alias("sections_found"))
-    out = out.join(n_in, key).join(sections, key, "left").withColumn("classified", F.col("after_join") - F.col("skipped_chrome"))
+    found = F.map_from_entries(F.transform(F.array_distinct("__each"), lambda x: F.struct(x, F.size(F.filter("__each", lambda y: y == x)).cast("long"))))
+    out = out.withColumn("sections_found", F.when(F.size("__each") > 0, found)).drop("__each")
+    out = out.join(n_in, key).withColumn("classified", F.col("after_join") - F.col("skipped_chrome"))
     out = out.withColumns({"abstract_en": F.when(F.col("abstract_lang") == "en", F.col("abstract")), "abstract_fr": F.when(F.col("abstract_lang") == "fr", F.col("abstract"))}).drop("abstract_lang")
     missing = [F.when(F.col(c).isNull(), F.lit(f"[MISSING] No {c} found")) for c in ("title", "abstract", "doi")]
     warnings = F.array_compact(F.array(*missing, F.when(F.size("references") == 0, F.lit("[MISSING] No references extracted")), F.when(F.size("unclassified") > 0, F.concat(F.lit("[UNCLASSIFIED] "), F.size("unclassified").cast("string"), F.lit(" blocks in preamble not categorized")))))
-    return out.withColumn("warnings", warnings)
+    return out.withColumns({"warnings": warnings, "stage": F.lit("cache")})
+
+
+def resolve_figures(parsed: DataFrame, folder: str = "images") -> DataFrame:
+    """parsed with `resolved_html`: placeholders in body_html become the figure of their id, its
+    first image under `folder`, caption and description, or a note where there is no image."""
+    parts = F.split(F.coalesce("body_html", F.lit("")), '<div class="figure-placeholder" data-figure-id="')
+    lit, none = F.lit, F.lit("")
+
+    def shown(part: Column) -> Column:
+        id = F.substring_index(part, '"></div>', 1)
+        rest = F.substring(part, F.length(id) + 9, F.length(part))  # 8 characters close the placeholder
+        figure = F.get(F.filter("figures", lambda f: (f.id == id) & (F.size(f.images) > 0)), lit(0))
+        alt = F.coalesce(X.blank_to_null(figure.alt), X.blank_to_null(figure.caption), F.concat(lit("Figure "), id))
+        under = [F.coalesce(F.concat(lit(a), X.blank_to_null(c), lit(b)), none) for a, c, b in (("<figcaption>", figure.caption, "</figcaption>"), ('<div class="figure-data">', figure.description, "</div>"))]
+        found = F.concat(lit(f'<figure><img src="{folder}/'), F.get(figure.images, lit(0)), lit('" alt="'), alt, lit('"/>'), *under, lit("</figure>"))
+        return F.concat(F.coalesce(found, F.concat(lit('<div class="figure-missing">[Figure '), id, lit(" - no image]</div>"))), rest)
+
+    whole = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, lit(2), F.size(parts)), shown), ""))
+    return parsed.withColumn("resolved_html", whole)
 
 
 def extract_images(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -194,6 +249,24 @@ def extract_images(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 ISSUES = ("ORPHAN", "INCOMPLETE", "CAPTION", "PAGE_ARTIFACT", "SHORT_FRAGMENT", "REFERENCE_LEAK")
 
 
+def fix_report(paragraphs: DataFrame, fixes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, action, outcome) of each fix: APPLIED, or SKIPPED where there is no such paragraph,
+    nothing to join, or the action is unknown."""
+    n = paragraphs.groupBy(key).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    known = paragraphs.select(key, "pos").withColumn("known", F.lit(True))
+    j = fixes.join(known, [key, "pos"], "left").join(n, key, "left")
+    able = F.when(F.col("action") == "join_previous", F.col("pos") > F.col("first")).when(F.col("action") == "join_next", F.col("pos") < F.col("last")).otherwise(F.col("action").isin("delete", "replace"))
+    return j.select(key, "pos", "action", F.when(F.coalesce(F.col("known") & able, F.lit(False)), "APPLIED").otherwise("SKIPPED").alias("outcome"))
+
+
+def issue_counts(reviewed: DataFrame, key: str = "doc_id", size: int = 10) -> DataFrame:
+    """(key, page, n_paragraphs, n_flagged) of each page of `size` paragraphs."""
+    order = Window.partitionBy(key).orderBy("pos")
+    paged = reviewed.withColumn("page", F.floor((F.row_number().over(order) - 1) / size))
+    return paged.groupBy(key, "page").agg(F.count("*").alias("n_paragraphs"), F.count_if(F.size("issues") > 0).alias("n_flagged"))
+
+
+# The patterns and lengths of issues.
 def body_issues(tag: Column, c: Column) -> Column:
     """Issue codes of one body element."""
     n, para = F.length(c), tag == "p"

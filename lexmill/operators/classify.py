@@ -45,11 +45,16 @@ def flag_errors(flags: Column) -> Column:
     return F.array_compact(F.transform(flags, lambda f: F.when(f.code.isNull() | f.detail.isNull(), F.lit("flag needs code and detail")).when(~f.code.isin(*V.FLAG_CODES), F.concat(F.lit("unknown flag code: "), f.code))))
 
 
+def is_checked() -> Column:
+    """Whether quality checks apply: a full text of an open article with a source to compare."""
+    return F.col("has_full_text") & F.col("open_access") & F.col("has_source")
+
+
 def gate(rows: DataFrame) -> DataFrame:
     """rows(token_error, flags, exists, open_access, has_source, has_full_text, blocking_flags,
     warning_flags) with `decision` and `notes`: the token comes first, then flags, the article, and
     quality checks where there is a full text with a source to compare."""
-    checked = F.col("has_full_text") & F.col("open_access") & F.col("has_source")
+    checked = is_checked()
     decision = (
         F.when(F.col("token_error").isNotNull(), F.col("token_error"))
         .when(F.size(flag_errors(F.col("flags"))) > 0, "INVALID_FLAGS")
@@ -57,9 +62,9 @@ def gate(rows: DataFrame) -> DataFrame:
         .when(checked & (F.size("blocking_flags") > 0), "QUALITY_CHECK_FAILED")
         .otherwise("accepted")
     )
-    own = F.transform("flags", lambda f: F.concat(F.lit("["), f.code, F.lit("] "), f.detail))
-    auto = F.transform(F.when(checked, F.col("warning_flags")).otherwise(F.array().cast("array<string>")), lambda w: F.concat(F.lit("[QUALITY] Auto-detected: "), w))
-    return rows.withColumn("decision", decision).withColumn("notes", F.array_join(F.concat(own, auto), "; "))
+    own = F.transform(F.filter("flags", lambda f: F.coalesce(f.detail, F.lit("")) != ""), lambda f: F.concat(F.lit("["), f.code, F.lit("] "), f.detail))
+    auto = F.when(checked & (F.size("warning_flags") > 0), F.array(F.concat(F.lit("[QUALITY] Auto-detected: "), F.array_join("warning_flags", ", "))))
+    return rows.withColumn("decision", decision).withColumn("notes", F.array_join(F.concat(own, F.coalesce(auto, F.array().cast("array<string>"))), "; "))
 
 
 def token_error(found: Column, matches: Column, used: Column, created: Column, now: Column, minutes: int = 30) -> Column:

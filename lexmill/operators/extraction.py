@@ -14,9 +14,11 @@ GARBAGE = "[^�█░▒▓\\x00]"
 def repeated_blocks(c: Column, size: int = BLOCK) -> Column:
     """Some `size`-character block, of those at multiples of size before the last, occurs twice."""
     n = F.length(c)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - size), F.lit(size))
-    blocks = F.transform(starts, lambda i: F.trim(F.regexp_replace(F.substring(c, i, F.lit(size)), X.BLANK, " ")))
-    return F.when(n > size, F.size(F.array_distinct(blocks)) < F.size(blocks)).otherwise(False)
+    # Cut by a pattern, in one pass: substring() would count characters from the start for each.
+    starts = F.floor((F.greatest(F.lit(1), n - size) - 1) / size).cast("int") + 1
+    cut = F.slice(F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), 1, starts)
+    repeats = X.let(F.transform(cut, lambda b: F.trim(F.regexp_replace(b, X.BLANK, " "))), lambda b: F.size(F.array_distinct(b)) < F.size(b))
+    return F.when(n > size, repeats).otherwise(False)
 
 
 def mean_line(c: Column) -> Column:
@@ -28,7 +30,10 @@ def mean_line(c: Column) -> Column:
 def extraction_problems(c: Column, delimiter: str = "\n\n") -> Column:
     """Problem codes: too short or garbled texts are unusable and not looked at any further."""
     c = F.coalesce(c, F.lit(""))
-    n_words = X.count_words(c)
+    return X.let(X.count_words(c), lambda n: _problems(c, n, delimiter))
+
+
+def _problems(c: Column, n_words: Column, delimiter: str) -> Column:
     garbage = F.length(F.regexp_replace(c, GARBAGE, ""))
     paragraphs = F.filter(F.split(c, delimiter), lambda p: F.trim(p) != "")
     warnings = F.array_compact(F.array(

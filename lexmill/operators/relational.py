@@ -50,6 +50,35 @@ def admin_listing(articles: DataFrame, **filters) -> DataFrame:
     return listing(articles, *admin_conditions(**filters), order=(F.col("processed_at").desc_nulls_last(), F.col("source_title")))
 
 
+def admin_articles(articles: DataFrame, translations: DataFrame, links: DataFrame, lang: str = "fr", **filters) -> DataFrame:
+    """The admin list: articles with their translation and primary category, filtered and ordered."""
+    joined = with_translation(articles.drop("category"), translations, links, lang).withColumnRenamed("category_id", "category")
+    return admin_listing(joined, **filters)
+
+
+def admin_article(articles: DataFrame, translations: DataFrame, links: DataFrame, key, lang: str = "fr") -> DataFrame:
+    """One article of that list."""
+    return with_translation(by_key(articles, "id", key), translations, links, lang)
+
+
+def ready_queue(documents: DataFrame) -> DataFrame:
+    """(doc_id, title, n_warnings, n_references, n_figures) of parsed documents that are ready for review."""
+    ready = documents.where("stage = 'ready'")
+    return ready.select("doc_id", F.coalesce("title", "doc_id").alias("title"), F.size("warnings").alias("n_warnings"), F.size("references").alias("n_references"), F.size("figures").alias("n_figures"))
+
+
+def queue_summary(ready: DataFrame) -> DataFrame:
+    """Documents of the ready queue, and those with warnings."""
+    return ready.agg(F.count("*").alias("total"), F.count_if(F.col("n_warnings") > 0).alias("with_warnings"))
+
+
+def migration_counts(articles: DataFrame, translations: DataFrame, keywords: DataFrame, links: DataFrame, status: str = "processing_status") -> DataFrame:
+    """One row: articles, those no longer pending, translations, keywords and links."""
+    parts = [articles.agg(F.count("*").alias("articles"), F.count_if(F.col(status) != "pending").alias("processed"))]
+    parts += [df.agg(F.count("*").alias(name)) for name, df in (("translations", translations), ("keywords", keywords), ("links", links))]
+    return reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # one row each
+
+
 def preprocessing_queue(articles: DataFrame, flag: str = "PDFEXTRACT") -> DataFrame:
     return listing(articles, F.col("processing_status") == "skipped", F.array_contains("processing_flags", flag), order=("source_title",))
 
@@ -66,9 +95,11 @@ def find_by_words(files: DataFrame, query: str, name: str = "name") -> DataFrame
     words = [w for w in query.lower().replace("-", " ").replace("_", " ").split() if w]
     every = reduce(lambda a, b: a & b, [F.contains(stem, F.lit(w)) for w in words], F.lit(True))
     marked = files.select(F.col(name).alias("name"), (low == query.lower()).alias("exact"), every.alias("every"))
-    found = marked.agg(F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("name")))).alias("e"), F.count_if("every").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("every"), F.col("name")))), 1, 5).alias("h"))
-    hit = F.when(F.size("e") > 0, F.slice("e", 1, 1)).otherwise(F.col("h"))
-    return found.select(F.when((F.size("e") > 0) | (F.col("n") == 1), "FOUND").when(F.col("n") == 0, "NOT_FOUND").otherwise("AMBIGUOUS").alias("outcome"), hit.alias("hits"))
+    counts = marked.agg(F.min(F.when(F.col("exact"), F.col("name"))).alias("e"), F.count_if("every").alias("n"))
+    first = marked.where("every").orderBy("name").limit(5).agg(F.array_sort(F.collect_list("name")).alias("h"))  # five names at most
+    found = counts.join(first, F.lit(True))  # one row each
+    exact = F.col("e").isNotNull()
+    return found.select(F.when(exact | (F.col("n") == 1), "FOUND").when(F.col("n") == 0, "NOT_FOUND").otherwise("AMBIGUOUS").alias("outcome"), F.when(exact, F.array("e")).otherwise(F.col("h")).alias("hits"))
 
 
 def localized(lang: Column, translated: Column, source: Column, most: int = 200) -> Column:
@@ -143,8 +174,17 @@ def next_in_queue(df: DataFrame, status: str, created: str, key: str, first: str
 
 
 def page(df: DataFrame, order: str, number: int, size: int = 10, partition: str | None = None) -> DataFrame:
-    """Rows of page `number` from 0 of each partition, whose positions `order` counts from 0."""
-    return df.where(F.floor(F.col(order) / size) == number)
+    """Rows of page `number` from 0 (of each partition, if one is given), counted in order of `order`;
+    gaps in it don't matter. Without a partition, one task counts all rows: give one for large tables."""
+    from pyspark.sql import Window
+
+    window = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(order)
+    return df.withColumn("__n", F.row_number().over(window) - 1).where(F.floor(F.col("__n") / size) == number).drop("__n")
+
+
+def page_total(df: DataFrame, partition: str, size: int = 10) -> DataFrame:
+    """(partition, total): number of pages."""
+    return df.groupBy(partition).agg(F.ceil(F.count("*") / size).alias("total"))
 
 
 def split_by_presence(df: DataFrame, other: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

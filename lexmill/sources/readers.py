@@ -142,5 +142,3 @@ def document_metadata(docs: DataFrame, key: str = "doc_id", title: str | None =
     return docs.select(key, F.coalesce(stated, E.title_of(F.col(text))).alias("title"), X.doi_of(F.col(text), "page").alias("doi"))
 
 
-def payload(content: Column, content_type: Column, status: Column) -> Column:
-    return E.classify_payload(content, content_type, status)

@@ -15,15 +15,21 @@ from lexmill.functions import text as X
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows of unknown keys are added; the first of repeated ones."""
-    fresh = rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")
-    return table.unionByName(fresh, allowMissingColumns=True)
+    """Rows of unknown keys are added; of repeated ones the least, compared by all columns in order."""
+    return table.unionByName(_one_each(rows, key).join(table.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.min(F.struct(*rows.columns)).alias("__r")).select("__r.*")
 
 
 def insert_status(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """(key, outcome): created, or DUPLICATE for known keys."""
+    """(key, outcome): a row per row: created for one of each unknown key, else DUPLICATE."""
     known = table.select(key).distinct().withColumn("__k", F.lit(True))
-    return rows.select(key).join(known, key, "left").select(key, F.when(F.col("__k").isNull(), "created").otherwise("DUPLICATE").alias("outcome"))
+    n = rows.groupBy(key).agg(F.count("*").alias("__n")).join(known, key, "left")
+    fresh = F.col("__k").isNull()
+    repeats = F.array_repeat(F.lit("DUPLICATE"), (F.col("__n") - F.when(fresh, 1).otherwise(0)).cast("int"))
+    return n.select(key, F.explode(F.concat(F.when(fresh, F.array(F.lit("created"))).otherwise(F.array().cast("array<string>")), repeats)).alias("outcome"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
@@ -79,7 +85,10 @@ def update_from(table: DataFrame, rows: DataFrame, key: str, columns: list[str])
 
 
 def mark_translated(articles: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """articles with those of rows translated: classification, flags, notes, and, where rows and
+    articles have them, source, extraction method and problems, and glossary version."""
     columns = ["method", "voice", "peer_reviewed", "processing_flags", "processing_notes"]
+    columns += [c for c in ("source", "extraction_method", "extraction_problems", "glossary_version") if c in rows.columns and c in articles.columns]
     done = update_from(articles, rows, "id", columns)
     hit = F.col("__hit")
     marked = done.join(rows.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
@@ -125,13 +134,19 @@ def mark_token_used(tokens: DataFrame, token: str) -> DataFrame:
     return update(tokens, F.col("token") == token, used=1)
 
 
+def mark_tokens_used(tokens: DataFrame, used: DataFrame) -> DataFrame:
+    """tokens with those of used(token) marked."""
+    hit = used.select("token").distinct().withColumn("__u", F.lit(True))
+    return update(tokens.join(hit, "token", "left"), F.col("__u"), used=1).select(*tokens.columns)
+
+
 def clean_tokens(tokens: DataFrame, now: Column, hours: int = 1) -> DataFrame:
     """Used and old tokens go."""
     return tokens.where((F.col("used") == 0) & (F.to_timestamp("created_at") >= now - F.expr(f"INTERVAL {hours} HOURS")))
 
 
-def session_increment(state: DataFrame) -> DataFrame:
-    return state.withColumn("articles_processed_count", F.col("articles_processed_count") + 1)
+def session_increment(state: DataFrame, n: int = 1) -> DataFrame:
+    return state.withColumn("articles_processed_count", F.col("articles_processed_count") + F.lit(n))
 
 
 def session_reset(state: DataFrame, now: Column) -> DataFrame:
@@ -163,10 +178,6 @@ def load_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
-def load_ignore(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return insert_new(table, rows, key)
-
-
 def migrate(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with the columns it lacks, by their defaults."""
     return df.withColumns({c: v for c, v in columns.items() if c not in df.columns})
@@ -176,9 +187,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+class Conflict(RuntimeError):
+    """Another writer published first."""
+
+
 class Store:
-    """Versioned snapshots of several tables under one root. A version counts once the pointer
-    file, written last, names it: readers see all of a change or nothing of it."""
+    """Versioned snapshots of several tables under one root. A change counts once the next numbered
+    manifest exists, which one rename brings about: readers take the newest one and see all of a
+    change or nothing of it, after a crash at any point too. Of two writers that start from the same
+    manifest one fails with Conflict."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -188,31 +205,37 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def manifest(self) -> dict[str, str]:
+    def _newest(self) -> int:
+        """Number of the newest manifest, 0 if there is none."""
         fs, jvm = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.json")
-        if not fs.exists(path):
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-*.json")) or []
+        return max((int(x.getPath().getName()[9:-5]) for x in found), default=0)
+
+    def manifest(self, number: int | None = None) -> dict[str, str]:
+        """Paths of tables by name, as of the newest manifest or that of a number."""
+        number = self._newest() if number is None else number
+        if not number:
             return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest-{number:010d}.json").collect()))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.manifest()[name]}")
 
     def publish(self, tables: dict[str, DataFrame], check: Callable[[], None] | None = None) -> dict[str, str]:
         """Write tables to a new version and point to them; an error before that changes nothing."""
-        version = uuid.uuid4().hex
-        current = self.manifest()
+        version, number = uuid.uuid4().hex, self._newest()
+        current = self.manifest(number)
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/{version}")
         if check:
             check()
         current |= {name: f"{name}/{version}" for name in tables}
         fs, jvm = self._fs()
-        temporary, final = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (f".manifest-{version}", "manifest.json"))
+        temporary, final = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (f".manifest-{version}", f"manifest-{number + 1:010d}.json"))
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(current).encode()))
         out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(temporary, final)
+        if fs.exists(final) or not fs.rename(temporary, final):
+            fs.delete(temporary, False)
+            raise Conflict(f"{final} exists")
         return current

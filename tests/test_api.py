@@ -21,7 +21,7 @@ def test_loop(spark):
     out = {r["article_id"]: (r["decision"], r["notes"]) for r in w.save_article(s, pairs).collect()}
     assert out["b"] == ("accepted", "[TBL] one table; [QUALITY] Auto-detected: STATMIS")
     done = w["articles"].where("id = 'b'").first()
-    assert done["processing_status"] == "translated" and done["processing_flags"] == ["TBL"]
+    assert done["processing_status"] == "translated" and done["processing_flags"] == ["TBL", "STATMIS"]
     w.skip_article("a", "PAYWALL")
     assert {r["status"]: r["n"] for r in w.get_progress().collect()}["skipped"] == 1
     assert w.get_next_article().first()["outcome"] in ("COMPLETE", "SESSION_PAUSE")
