@@ -1,23 +1,31 @@
 """Similarity join of documents by the Jaccard similarity of their word n-gram sets.
 
 Signatures of `TREES` x `LEVELS` MinHash bytes form an LSH forest: in each tree a document is a
-sorted key of LEVELS bytes, so documents with a common prefix are neighbours in the trie. The
-join starts at whole keys and shortens the matched prefix by a byte at a time until the recall
-expected of a pair at the threshold reaches the target. At each depth a document is compared with a
-leader of another class that it shares groups with, and classes are merged, which gathers large
-groups of near copies; at the last depth all pairs of different classes in a group are compared, in
-blocks, by their signatures. Every candidate link is verified on the whole n-gram sets. The result
-is one row per document with its class, the connected component of verified links, and its number of
-links: all pairs of a class are compared on their sets, in blocks that pass on sums, not pairs.
+sorted key of LEVELS bytes, so documents with a common prefix are under one node of the trie. The
+join starts at whole keys and shortens the matched prefix by a byte at a time. At each depth every
+document first joins a leader under a common trie node, which gathers large groups of near copies at
+a cost in proportion to them; then the pairs still open (of different classes under one trie node)
+are compared by their signatures, in blocks. What is found tells how many near pairs share only
+shorter prefixes, and prefixes are shortened until this measured recall reaches the target. Inside
+the classes of candidates all pairs are then verified on their whole n-gram sets, in blocks that
+pass on sums and as few links as join a class, never pairs. The result is one row per document with
+its class, the connected component of verified links, and its number of links.
+
+Signatures rule a pair out if they fall `MARGIN` standard errors short of the threshold (2 in 10000
+of pairs right at the threshold); the README has the recall measured against brute force.
 
 Defined cases: null and blank texts have no n-grams and stay alone; a text of fewer than N words
 is one n-gram; rows with equal sets are one node with copies, and each copy counts as a link; rows
 are told apart by their sets only, so rows that repeat a doc_id or have none are documents of their
-own; a class is named by its least doc_id (null if it has none); other columns are ignored.
+own; a class is named by its least doc_id (null if it has none), ties between rows of that id change
+nothing; a similarity right at the threshold is a link; long texts count whole; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexmill.llm.common import Bloom, Words, buckets, mix, pieces, rolling, text_bytes, window_hashes
 from lexmill.session import stash
 
-N, THRESHOLD, RECALL = 5, 0.8, 0.995
+N, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, LEVELS = 20, 8
 BLOCK = 1024  # members of a group compared at once
 GRAMS = 1 << 19  # n-grams of a block of a class
+BAND = 0.05  # the recall measured is that of pairs at most this far above the threshold
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("equal", pa.int64()), ("pairs", pa.float64())])
 MARGIN = 3.5  # standard errors a signature's estimate may fall short of the threshold
 
 _RNG = np.random.default_rng(20240101)
@@ -36,15 +46,11 @@ XORS = _RNG.integers(0, 1 << 32, TREES * LEVELS, np.uint64).astype(np.uint32)
 ODDS = _RNG.integers(0, 1 << 32, TREES * LEVELS, np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def expected_recall(depth: int, similarity: float = THRESHOLD, trees: int = TREES) -> float:
+def expected_recall(depth: int, similarity=THRESHOLD, trees: int = TREES):
+    """Share of pairs of a similarity that have a common prefix of `depth` levels in some tree."""
     return 1 - (1 - similarity**depth) ** trees
 
 
-def final_depth(target: float = RECALL, similarity: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS) -> int:
-    """The longest prefix at which the target recall is met (1 if none does)."""
-    return next((d for d in range(levels, 0, -1) if expected_recall(d, similarity, trees) >= target), 1)
-
-
 def shingles(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n-grams (with repeats) of each row's words, and bounds of rows."""
     words = Words(*text_bytes(column))
@@ -94,13 +100,19 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
     """(id, grams binary): sorted distinct n-gram hashes of nodes(id, p, a, b, size), found in a row
-    of docs(id, text, p, q) with that p. Rows that a Bloom filter of fixed size rules out don't take
-    part in the join, which goes by the whole identity of the set."""
-    held = docs.sparkSession.sparkContext.broadcast(Bloom.build(nodes, "p"))
+    of docs(id, text, p, q) with that p. Only rows of such a p are cut into n-grams: a Bloom filter
+    tells them while it isn't too full to tell (rows let through wrongly drop out of the join, which
+    goes by the whole identity of the set), beyond that a semi-join by p."""
+    rows = docs.select("text", "p")
+    if nodes.count() > Bloom.BITS // 8:
+        held, rows = None, rows.join(nodes.select("p").distinct(), "p", "left_semi").select("text", "p")
+    else:
+        held = docs.sparkSession.sparkContext.broadcast(Bloom.build(nodes, "p"))
 
     def run(batches):
         for batch in pieces(batches):
-            batch = batch.filter(pa.array(Bloom.might_hold(held.value, batch.column(1).to_numpy())))
+            if held is not None:
+                batch = batch.filter(pa.array(Bloom.might_hold(held.value, batch.column(1).to_numpy())))
             if not batch.num_rows:
                 continue
             s, bounds = shingles(batch.column(0), n)
@@ -108,38 +120,15 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
             size, a, b = zip(*map(facts_of, sets), strict=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, size)), pa.array([x.tobytes() for x in sets], pa.binary())], ["a", "b", "size", "grams"])
 
-    found = docs.select("text", "p").mapInArrow(run, "a long, b long, size long, grams binary").groupBy("a", "b", "size").agg(F.min("grams").alias("grams"))
+    found = rows.mapInArrow(run, "a long, b long, size long, grams binary").groupBy("a", "b", "size").agg(F.min("grams").alias("grams"))
     return found.join(nodes.select("id", "a", "b", "size"), ["a", "b", "size"]).select("id", "grams")
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) or not len(y):
-        return 0.0
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    shared = int((large[at] == small).sum())
-    return shared / (len(x) + len(y) - shared)
-
-
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """pairs(u, v) whose sets' exact similarity is at least the threshold, with it."""
-    left = pairs.join(sets.select(F.col("id").alias("v"), F.col("grams").alias("gv")), "v")
-    both = left.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("gu")), "u").select("u", "v", "gu", "gv")
-
-    def run(batches):
-        for batch in pieces(batches, "gv"):
-            j = np.array([jaccard(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(2), batch.column(3), strict=True)])
-            keep = pa.array(j >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], ["u", "v", "similarity"]).filter(keep)
-
-    return both.mapInArrow(run, "u long, v long, similarity double")
-
-
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame, most: int = 100) -> DataFrame:
     """(id, class) of the nodes of links(u, v), class being the least id of the component. Large
-    and small stars alternate until nothing changes; minima are combined before each shuffle, and
-    edges of a hot node are joined to its minimum by a join that Spark may split."""
+    and small stars alternate until nothing changes (an error if that takes more than `most` rounds,
+    far beyond the logarithm of any size); minima are combined before each shuffle, and edges of a
+    hot node are joined to its minimum by a join that Spark may split."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges, before = stash(edges, "edges"), None
     for _ in range(most):
@@ -151,82 +140,140 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = stash(small, "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
+        if now == before or not now["n"]:
             break
         before = now
+    else:
+        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("class"))).distinct()
 
 
-def _grouped(nodes: DataFrame, depth: int, *more: str) -> DataFrame:
-    """(g, id, ...): a row per tree, g being the prefix's group."""
+def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the classes that links(u, v) between classes join made one."""
+    renamed = components(links).select(F.col("id").alias("class"), F.col("class").alias("to"))
+    return nodes.join(renamed, "class", "left").select("id", "keys", F.coalesce("to", "class").alias("class"))
+
+
+def least_equal(threshold: float) -> float:
+    """The number of equal signature bytes below which a pair is ruled out."""
+    width = TREES * LEVELS
+    return width * threshold - MARGIN * (width * threshold * (1 - threshold)) ** 0.5
+
+
+def measured(pairs: dict[int, float], depth: int, threshold: float = THRESHOLD) -> float:
+    """Recall down to a depth, of the pairs hardest to find: those at most BAND above the threshold.
+    `pairs` has the number found by equal signature bytes; as each is found with the probability
+    expected_recall(), it stands for so many that share only shorter prefixes."""
+    width = TREES * LEVELS
+    band = [(n, expected_recall(depth, equal / width)) for equal, n in pairs.items() if threshold <= equal / width <= threshold + BAND]
+    found = sum(n for n, _ in band)
+    return found / sum(n / p for n, p in band) if found else 1.0
+
+
+def _grouped(nodes: DataFrame, depth: int) -> DataFrame:
+    """(g, id, class): a row per tree, g being the trie node of `depth` levels that the key is under."""
     prefix = F.shiftrightunsigned("key", 8 * (LEVELS - depth))
-    return nodes.select("id", *more, F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", prefix).alias("g"), "id", *more)
+    return nodes.select("id", "class", F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", prefix).alias("g"), "id", "class")
 
 
-def leaders(nodes: DataFrame, depth: int = LEVELS) -> DataFrame:
-    """(u, v): each node v with the leader u (least id of a prefix's group) of another class that it
-    meets in most trees."""
-    rows = _grouped(nodes, depth, "class")
+def leaders(nodes: DataFrame, depth: int = LEVELS, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v, equal, pairs): the classes of nodes and of the leader (least id under a trie node, of
+    another class) that each meets in most trees, if their signatures don't rule the threshold out;
+    how many signature bytes are equal, in one pair. One row a node at most, so that large groups of
+    near copies become a class at a cost in proportion."""
+    rows = _grouped(nodes, depth)
     groups = rows.groupBy("g").agg(F.min("id").alias("u"), F.min_by("class", "id").alias("of"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    met = rows.join(groups, "g").where("class <> of").groupBy("id", "u").agg(F.count("*").alias("n"))
-    return met.groupBy("id").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", F.col("id").alias("v"))
+    met = rows.join(groups, "g").where("class <> of").groupBy("id", "u", "class", "of").agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.max_by(F.struct("u", "class", "of"), F.struct("n", -F.col("u"))).alias("best")).select(F.col("id").alias("v"), "best.*")
+    pairs = best.join(nodes.select(F.col("id").alias("v"), F.col("keys").alias("kv")), "v").join(nodes.select(F.col("id").alias("u"), F.col("keys").alias("ku")), "u").select("class", "of", "kv", "ku")
+    least = least_equal(threshold)
+
+    def run(batches):
+        for batch in batches:
+            left, right = (batch.column(k).flatten().to_numpy().view(np.uint8).reshape(batch.num_rows, TREES * LEVELS) for k in (2, 3))
+            equal = (left == right).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(equal), pa.array(np.ones(len(equal)))], PAIRS.names).filter(pa.array(equal >= least))
+
+    return pairs.mapInArrow(run, "u long, v long, equal long, pairs double")
+
+
+def _dealt(rows: DataFrame, groups: DataFrame, by: str, *columns: str) -> DataFrame:
+    """rows(by, id, class, ...) in pairs (i, j) of blocks of each of groups(by, major, small, large):
+    the members of class `major` fall into `large` blocks, all others into `small` ones, and all
+    blocks meet but two of the major class. Each row goes once to every pair with its block (own)."""
+    held = rows.join(groups, by).withColumn("inner", F.coalesce(F.col("class") == F.col("major"), F.lit(False)))
+    own = F.when(F.col("inner"), F.col("small") + F.pmod(F.xxhash64("id"), F.col("large"))).otherwise(F.pmod(F.xxhash64("id"), F.col("small"))).cast("int")
+    last = F.when(F.col("inner"), F.col("small")).otherwise(F.col("small") + F.col("large")) - 1
+    held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return held.select(by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+
+
+def _by_block(batches, width: int):
+    """Column lists of the rows of each (group, i, j) in batches sorted by them; `width` leading
+    columns become arrays and the last one a list of values."""
+    held, last = None, None
+    for batch in batches:
+        head = [batch.column(k).to_numpy() for k in range(3)]
+        change = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in head])) + 1 if batch.num_rows else []
+        for lo, hi in zip([0, *change], [*change, batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            key = tuple(x[lo] for x in head)
+            if key != last:
+                if held is not None:
+                    yield last, [np.concatenate(x) for x in held[:-1]], held[-1]
+                held, last = [[] for _ in range(width + 1)], key
+            for k in range(width):
+                held[k].append(batch.column(3 + k).to_numpy()[lo:hi])
+            held[width].extend(batch.column(3 + width).slice(lo, hi - lo))
+    if held is not None:
+        yield last, [np.concatenate(x) for x in held[:-1]], held[-1]
 
 
 def across(nodes: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v): pairs of different classes that share a prefix of `depth` in some tree and whose
-    signatures don't rule the threshold out. A group is compared in blocks of about BLOCK members,
-    so no task holds more than two of them; no pair is left out."""
-    rows = _grouped(nodes, depth, "class")
-    mixed = rows.groupBy("g").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    members = rows.join(mixed.select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "g").join(nodes.select("id", "keys"), "id")
-    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "class", "keys")
-    width = TREES * LEVELS
-    least = threshold - MARGIN * (threshold * (1 - threshold) / width) ** 0.5
-
-    def compare(parts):
-        block, own, ids, cls, sig = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        i, j = block[0]
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        bytes_ = sig.view(np.uint8).reshape(len(ids), width)
-        found = []
+    """Compares the signatures of all nodes of different classes under one trie node of `depth`
+    levels, in pairs of blocks of about BLOCK members, so that no task holds more than two of them.
+    A pair of blocks passes on (u, v, null, 0), classes with members near enough, as few as join them
+    all (not pairs of nodes), and the number of near pairs by equal bytes (null, null, equal, pairs)."""
+    rows = _grouped(nodes, depth)
+    of = rows.groupBy("g", "class").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("class", "n").alias("major"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = of.select("g", "major", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("small"), F.ceil(F.col("most") / BLOCK).alias("large"))
+    members = rows.join(blocks.select("g"), "g", "left_semi").join(nodes.select("id", "keys"), "id")
+    dealt = _dealt(members, blocks, "g", "class", "keys").repartition(buckets(nodes.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    least, shift = least_equal(threshold), np.uint64(8 * (LEVELS - depth))
+
+    def compare(key, own, label, keys):
+        own_class = label.copy()
+        signature = keys.view(np.uint8).reshape(len(label), -1)
+        prefix = keys >> shift
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        edges, met = [], np.zeros(TREES * LEVELS + 1)
         for at in left:
-            rest = right[right > at] if i == j else right
-            rest = rest[cls[rest] != cls[at]]
-            if len(rest):
-                same = (bytes_[rest] == bytes_[at]).mean(axis=1)
-                near = rest[same >= least]
-                found.append(np.stack([np.minimum(ids[at], ids[near]), np.maximum(ids[at], ids[near])]))
-        return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            rest = right[label[right] != label[at]]
+            if not len(rest):
+                continue
+            equal = (signature[rest] == signature[at]).sum(axis=1)
+            near = rest[equal >= least]
+            if len(near):
+                np.add.at(met, equal[equal >= least], 1 / np.maximum(1, (prefix[near] == prefix[at]).sum(axis=1)))  # they meet in so many trees
+                labels, first = np.unique(label[near], return_index=True)
+                edges += [(own_class[at], own_class[x]) for x in near[first]]
+                label[np.isin(label, labels)] = label[at]
+        rows = [(u, v, None, 0.0) for u, v in edges] + [(None, None, int(k), met[k]) for k in np.flatnonzero(met)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], PAIRS.types[k]) for k in range(4)], schema=PAIRS)
 
     def run(batches):
-        held, last = [], None
-        for batch in batches:
-            g, i, j, own, ids, cls = (batch.column(k).to_numpy() for k in range(6))
-            sig = batch.column(6).flatten().to_numpy().reshape(len(ids), TREES)
-            change = np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip([0, *change], [*change, len(g)], strict=True):
-                key = (g[a], i[a], j[a])
-                if key != last and held:
-                    u, v = compare(held)
-                    held = []
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-                last = key
-                held.append((np.stack([i[a:b], j[a:b]], axis=1), own[a:b], ids[a:b], cls[a:b], sig[a:b]))
-        if held:
-            u, v = compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    dealt = members.repartition(buckets(nodes.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
-
-
-def similar(left: np.ndarray, right: np.ndarray | None, bounds: np.ndarray, columns: np.ndarray, copies: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """By set, the copies of the sets at or above the threshold among the pairs of `left` with
-    `right`, or of `left` with itself if right is None. Set i is columns[bounds[i]:bounds[i + 1]];
-    left and right are runs of sets by ascending size."""
-    found = np.zeros(len(copies), np.int64)
+        for key, (own, label), keys in _by_block(batches, 2):
+            yield compare(key, own, label, np.array([x.as_py() for x in keys], np.int64).view(np.uint64))
+
+    return dealt.mapInArrow(run, "u long, v long, equal long, pairs double")
+
+
+def similar(left: np.ndarray, right: np.ndarray | None, bounds: np.ndarray, columns: np.ndarray, copies: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of the pairs of `left` with `right` (of `left` with itself if right is None): by set, the
+    copies of the sets at or above the threshold, and as few such pairs as join all that are joined.
+    Set i is columns[bounds[i]:bounds[i + 1]]; left and right are runs of sets by ascending size."""
+    found, label, joins = np.zeros(len(copies), np.int64), np.arange(len(copies)), []
     sizes = np.diff(bounds)
     mark = np.zeros(int(columns.max()) + 1, bool)
     others = left if right is None else right
@@ -244,52 +291,37 @@ def similar(left: np.ndarray, right: np.ndarray | None, bounds: np.ndarray, colu
         near = rest[shared / (sizes[at] + sizes[rest] - shared) >= threshold]
         found[at] += copies[near].sum()
         found[near] += copies[at]
-    return found
+        labels, first = np.unique(label[near], return_index=True)
+        if len(fresh := near[first[labels != label[at]]]):
+            joins += [(at, x) for x in fresh]
+            label[np.isin(label, labels)] = label[at]
+    return found, joins
 
 
 def within(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, links): of members(id, class, size, copies), the rows of other nodes of the class whose
-    sets' exact similarity is at least the threshold. Classes are compared in blocks bounded by
-    members and n-grams; each pair of blocks sends one sum a member."""
+    """Exact verification: all pairs of members(id, class, size, copies) of a class are compared on
+    their sets, in pairs of blocks bounded by members and n-grams. A pair of blocks passes on a row
+    (u, null, links) a member, links being the rows of others at or above the threshold, and as few
+    verified links (u, v, 0) as join all that are joined: rows in proportion, not pairs."""
     total = members.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / GRAMS)).cast("int").alias("blocks")
-    dealt = members.join(total.select("class", blocks), "class").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "size", "id", "copies", "grams")
-    dealt = dealt.repartition(buckets(members.sparkSession), "class", "i", "j").sortWithinPartitions("class", "i", "j", "own", "size")
-
-    def compare(key, own, ids, copies, grams):
-        own, ids, copies = (np.concatenate(x) for x in (own, ids, copies))
-        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in grams]
-        _, columns = np.unique(np.concatenate(held), return_inverse=True)
-        bounds = np.cumsum([0, *map(len, held)])
-        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        if not len(left) or not len(right):
-            found = np.zeros(len(ids), np.int64)
-        else:
-            found = similar(left, None if key[1] == key[2] else right, bounds, columns, copies, threshold)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found)], ["id", "links"])
+    blocks = total.select("class", F.lit(None).cast("long").alias("major"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / GRAMS)).alias("small"), F.lit(0).alias("large"))
+    held = members.join(sets, "id").withColumnRenamed("class", "of").withColumn("class", F.lit(0))
+    dealt = _dealt(held, blocks.withColumnRenamed("class", "of"), "of", "size", "id", "copies", "grams")
+    dealt = dealt.repartition(buckets(members.sparkSession), "of", "i", "j").sortWithinPartitions("of", "i", "j", "own", "size")
 
     def run(batches):
-        held, last = ([], [], [], []), None
-        for batch in batches:
-            c, i, j, own, _, ids, copies = (batch.column(k).to_numpy() for k in range(7))
-            change = np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip([0, *change], [*change, len(c)], strict=True):
-                if a == b:
-                    continue
-                key = (c[a], i[a], j[a])
-                if key != last and held[0]:
-                    yield compare(last, *held)
-                    held = ([], [], [], [])
-                last = key
-                for x, y in zip(held, (own[a:b], ids[a:b], copies[a:b]), strict=False):
-                    x.append(y)
-                held[3].extend(batch.column(7).slice(a, b - a))
-        if held[0]:
-            yield compare(last, *held)
-
-    return dealt.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+        for key, (own, _, ids, copies), grams in _by_block(batches, 4):
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in grams]
+            _, columns = np.unique(np.concatenate(held), return_inverse=True)
+            left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+            found, joins = np.zeros(len(ids), np.int64), []
+            if len(left) and len(right):
+                found, joins = similar(left, None if key[1] == key[2] else right, np.cumsum([0, *map(len, held)]), columns, copies, threshold)
+            u = [*ids, *(ids[a] for a, _ in joins)]
+            v = [*[None] * len(ids), *(ids[b] for _, b in joins)]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([*found, *[0] * len(joins)], pa.int64())], ["u", "v", "links"])
+
+    return dealt.mapInArrow(run, "u long, v long, links long")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -302,41 +334,50 @@ def _picks(id, text) -> list:
     return [F.xxhash64(F.lit(seed), id.isNull(), id, text).alias(name) for seed, name in enumerate("pq")]
 
 
-def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (id, text, p, q) of docs, their signatures, and the nodes (id, a, b, size, copies,
-    first, class): each distinct set, with its least row and its class."""
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """nodes(id, keys, class): classes are what signatures join under common prefixes, which shorten
+    from whole keys on until the recall measured reaches the target; also the depths and recalls.
+    At each depth nodes join leaders first, which closes large groups cheaply, then open pairs are
+    compared."""
+    typed, told, pairs = nodes.withColumn("class", F.col("id")), [], collections.Counter()
+    for depth in range(LEVELS, 0, -1):
+        for step in (leaders, across):
+            links = stash(step(typed, depth, threshold), "open")
+            counts = {r["equal"]: r for r in links.groupBy("equal").agg(F.sum("pairs").alias("pairs"), F.count("u").alias("links")).collect()}  # at most one row a byte count
+            pairs.update({equal: r["pairs"] for equal, r in counts.items() if equal is not None})
+            if any(r["links"] for r in counts.values()):
+                typed = stash(merged(typed, links.where("u is not null").select("u", "v")), "typed")
+        told.append((depth, measured(pairs, depth, threshold)))
+        if told[-1][1] >= recall:
+            return typed, told
+    raise RuntimeError(f"recall {told[-1][1]:.4f} at the shortest prefix is short of {recall}")
+
+
+def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows of docs, and the nodes (id, a, b, size, copies, first, class, links):
+    each distinct set, with its least row, its class, and the rows of other sets linked to it."""
     rows = _rows(docs, key, text)
     signed = stash(signatures(rows, n), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "p", "q")).alias("first")
     groups = signed.where("size > 0").groupBy("a", "b", "size").agg(first, F.count("*").alias("copies"), F.min("keys").alias("keys"))
     groups = stash(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
-    nodes = groups.select("id", "keys")
-    named = groups.select("id", F.col("first.p").alias("p"), "a", "b", "size")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        return stash(verify(pairs, sets_of(rows, stash(named.join(ids, "id", "left_semi"), "named"), n), threshold).select("u", "v"), "links")
-
-    depth, links = final_depth(recall, threshold), None
-    typed = nodes.withColumn("class", F.col("id"))
-    for at in [*range(LEVELS, depth - 1, -1), None]:
-        pairs = stash(across(typed, depth, threshold) if at is None else leaders(typed, at), "pairs")
-        links = linked(pairs) if links is None else links.union(linked(pairs))
-        classes = components(links)
-        typed = nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        typed = typed if at is None else stash(typed, "typed")
-    return rows, signed, stash(groups.drop("keys").join(typed.select("id", "class"), "id"), "nodes")
+    typed, _ = candidates(groups.select("id", "keys"), threshold, recall)
+    several = typed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    members = typed.select("id", "class").join(several, "class").join(groups.select("id", "size", "copies", F.col("first.p").alias("p"), "a", "b"), "id")
+    members = stash(members, "members")
+    exact = stash(within(members.select("id", "class", "size", "copies"), sets_of(rows, members, n), threshold), "links")
+    links = exact.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "id")
+    classes = components(exact.where("v is not null").select("u", "v"))
+    nodes = groups.drop("keys").join(classes, "id", "left").join(links, "id", "left")
+    return signed, stash(nodes.withColumns({"class": F.coalesce("class", "id"), "links": F.coalesce("links", F.lit(0))}), "nodes")
 
 
 def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: key, class_id (the least key of its class) and n_links (other rows
     whose n-gram sets have at least the threshold's similarity with its own)."""
-    rows, signed, nodes = classified(docs, key, text, n, threshold, recall)
-    several = nodes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    members = stash(nodes.join(several, "class").select("id", "class", "size", "copies", F.col("first.p").alias("p"), "a", "b"), "members")
-    links = within(members.select("id", "class", "size", "copies"), sets_of(rows, members, n), threshold)
+    signed, nodes = classified(docs, key, text, n, threshold, recall)
     names = nodes.groupBy("class").agg(F.min("first.id").alias("name"))
-    told = nodes.join(names, "class").join(links, "id", "left").select("a", "b", "size", "name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = nodes.join(names, "class").select("a", "b", "size", "name", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = signed.select("id", "a", "b", "size").join(told, ["a", "b", "size"], "left")
     alone = F.col("size") == 0
     return out.select(F.col("id").alias(key), F.when(alone, F.col("id")).otherwise(F.col("name")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
@@ -345,7 +386,7 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Pipeline stage: the row of least key (rows without one last) of each class, with the columns
     of docs. A row is dropped only if a kept row is in its class; rows without n-grams all stay."""
-    _, _, nodes = classified(docs, key, text, **options)
+    _, nodes = classified(docs, key, text, **options)
     kept = nodes.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.p").alias("__p"), F.col("first.q").alias("__q"))
     told = F.coalesce(F.col(text), F.lit(""))
     p, q = _picks(F.col(key).cast("long"), told)

@@ -177,6 +177,6 @@ def test_packs():
     assert (a == ids).all() and (b == uids).all() and (n == counts).all() and (p == pos).all() and (g == h).all()
 
 
-def test_forest_depth():
-    d = nj.final_depth()
-    assert nj.expected_recall(d) >= nj.RECALL and (d == nj.LEVELS or nj.expected_recall(d + 1) < nj.RECALL)
+def test_expected_recall():
+    assert nj.expected_recall(6) > 0.995 > nj.expected_recall(7) > nj.expected_recall(8)
+    assert nj.measured({128: 1000, 150: 5000}, 6) == nj.expected_recall(6) and nj.measured({100: 7, 150: 9}, 8) == 1 == nj.measured({}, 8)

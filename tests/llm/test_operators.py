@@ -126,12 +126,62 @@ def test_links_are_counted(spark, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_links"]) for r in nj.join_similar(d).collect()) == want
 
 
-def test_prefix_is_shortened_stepwise(spark, monkeypatch):
-    """A leader round at each depth down to the one that meets the recall."""
-    seen, own = [], nj.leaders
-    monkeypatch.setattr(nj, "leaders", lambda nodes, depth: seen.append(depth) or own(nodes, depth))
-    nj.classified(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc_id long, text string"))
-    assert seen == list(range(nj.LEVELS, nj.final_depth() - 1, -1)) and len(seen) > 1
+def near_copies(n, changes, seed=5, words=300):
+    """n texts that differ from a base text of their own in so many words at most."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        base = [f"b{i}w{k}" for k in range(words)]
+        copy = list(base)
+        for _ in range(changes):
+            copy[rng.randrange(words)] = f"x{rng.randrange(10**9)}"
+        out += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    return out
+
+
+def nodes_of(spark, data):
+    signed = nj.signatures(nj._rows(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text"))
+    return signed.select("id", "keys")
+
+
+def test_prefix_is_shortened_until_the_recall(spark):
+    """Whole keys suffice where pairs are far above the threshold; pairs close to it ask for more."""
+    _, told = nj.candidates(nodes_of(spark, near_copies(40, 1)))
+    assert [d for d, _ in told] == [nj.LEVELS] and told[-1][1] >= nj.RECALL
+    _, told = nj.candidates(nodes_of(spark, near_copies(300, 6)))
+    assert [d for d, _ in told] == list(range(nj.LEVELS, told[-1][0] - 1, -1)) and told[-1][0] < nj.LEVELS
+    assert told[-1][1] >= nj.RECALL > told[-2][1]
+
+
+def test_recall_is_measured(spark):
+    """Thousands of planted pairs right above the threshold: hardly a link is lost."""
+    data = near_copies(1500, 6)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in data)}
+    linked = {i for i in range(0, len(data), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in nj.join_similar(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    caught = {i for i in range(0, len(data), 2) if got[i + 1][0] == i}
+    assert len(linked) > 1000 and caught <= linked and len(caught) >= 0.995 * len(linked)
+    assert all(got[i] == (i, 1) for i in caught) and all(got[i] == (i, 0) for i in range(0, len(data), 2) if i not in caught)
+
+
+def test_large_groups_pass_on_rows_not_pairs(spark, monkeypatch):
+    """Near copies of one text, most pairs of which are below the threshold: rows stay in proportion,
+    and classes and links are those of brute force."""
+    monkeypatch.setattr(nj, "BLOCK", 50)
+    rng, base, data = random.Random(8), [f"w{k}" for k in range(120)], []
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+        data.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in data)]
+    near = [[j for j in range(240) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(240)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in nj.join_similar(d).collect()}
+    assert [got[i]["n_links"] for i in range(240)] == [len(x) for x in near] and 1000 < sum(map(len, near)) < 240 * 200
+    for i, x in enumerate(near):
+        assert {got[j]["class_id"] for j in x} <= {got[i]["class_id"]}
+    nodes = nodes_of(spark, data).withColumn("class", F.col("id"))
+    assert nj.across(nodes, 6).where("u is not null").count() < 240 * 6 * nj.TREES
 
 
 def test_keep_one_loses_no_text(spark):
