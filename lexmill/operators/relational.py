@@ -201,6 +201,15 @@ def session_state(df: DataFrame) -> DataFrame:
     return df.where("id = 1").select(F.coalesce("articles_processed_count", F.lit(0)).alias("articles_processed_count"), F.coalesce("human_review_interval", F.lit(5)).alias("human_review_interval"), "last_reset_at", "last_reset_date")
 
 
+def unique_ids(df: DataFrame, id: str, order: str) -> DataFrame:
+    """df with repeated ids told apart: the first by `order` stays, the others get -2, -3, ... A group
+    of one id is numbered in one task: ids name single articles, and few of them collide."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(id).orderBy(order))
+    return df.withColumn("__n", n).withColumn(id, F.when(F.col("__n") > 1, F.concat_ws("-", id, F.col("__n").cast("string"))).otherwise(F.col(id))).drop("__n")
+
+
 def page_paths(articles: DataFrame, langs=("fr", "en")) -> DataFrame:
     """A path per article and language."""
     return articles.select("id", F.explode(F.array(*map(F.lit, langs))).alias("lang"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.plans import tables, texts
+from lexmill.plans import layout, records, tables, texts
 
 FLAGSHIP = "pair_quality_flags"
-ALL = {**texts.QUERIES, **tables.QUERIES}
+ALL = {**texts.QUERIES, **tables.QUERIES, **records.QUERIES, **layout.QUERIES}
 
 
 def queries() -> dict:

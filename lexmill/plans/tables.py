@@ -139,19 +139,6 @@ l AS (SELECT *, lag(block_type) OVER w AS pt, lag(pos) OVER w AS pp FROM b WHERE
 SELECT doc_id, pos, block_type, CASE WHEN pt = 'Caption' THEN pp::VARCHAR END AS caption FROM l WHERE block_type <> 'Caption'"""
 
 
-def section_forward_fill(spark, sf):
-    """The last signup or purchase before each event of a user, as a section is carried on."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type"))
-    return e.select("event_id", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit("preamble")).alias("section"))
-
-
-FILL = """SELECT event_id, coalesce(last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'preamble') AS section FROM events"""
-
-
 def job_events(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     kind = F.create_map(*[F.lit(x) for kv in {"view": "start", "click": "complete", "error": "error", "purchase": "batch_complete", "signup": "cancel"}.items() for x in kv])[F.col("event_type")]
@@ -170,21 +157,25 @@ JOB_STATE = """SELECT user_id AS job_id, count(*) FILTER (event_type = 'click')
 
 def session_pause_days(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'purchase'")
-    return J.session_pauses(e, "user_id", "ts", "event_id").where("pause").select("user_id", "event_id", "number_today")
+    return J.session_pauses(e, "user_id", "ts", "event_id", interval=2).where("pause").select("user_id", "event_id", "number_today")
 
 
-PAUSES = """SELECT user_id, event_id, n AS number_today FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') WHERE n % 5 = 0"""
+PAUSES = """SELECT user_id, event_id, n AS number_today FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') WHERE n % 2 = 0"""
 
 
 def upsert_translations(spark, sf):
-    """Later turns over first ones: first turns are the table, second ones the upsert."""
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("article_id"), "role", F.md5("text").alias("title"), "turn")
-    old = c.where("turn < 2").withColumn("status", F.lit("old")).select("article_id", F.col("role").alias("target_language"), "title", "status", F.col("turn").alias("created"))
-    new = c.where("turn = 2 or turn = 3").withColumn("status", F.lit("new")).select("article_id", F.col("role").alias("target_language"), "title", "status", F.col("turn").alias("created"))
+    """Turns of a conversation by role: the latest of turns 0, 1, 4, 5, 8, ... are the table, that of
+    the other turns the upsert."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("article_id"), F.col("role").alias("target_language"), F.md5("text").alias("title"), "turn")
+    last = lambda rows, status: rows.groupBy("article_id", "target_language").agg(F.max_by("title", "turn").alias("title"), F.max("turn").alias("created")).withColumn("status", F.lit(status))
+    columns = ["article_id", "target_language", "title", "status", "created"]
+    old, new = last(c.where("turn % 4 < 2"), "old").select(*columns), last(c.where("turn % 4 >= 2"), "new").select(*columns)
     return S.upsert(old, new, ["article_id", "target_language"], ["title", "status"])
 
 
-UPSERT = """WITH c AS (SELECT conv_id AS article_id, role AS target_language, md5(text) AS title, turn FROM conversations), o AS (SELECT * FROM c WHERE turn < 2), n AS (SELECT * FROM c WHERE turn IN (2, 3))
+UPSERT = """WITH c AS (SELECT conv_id AS article_id, role AS target_language, md5(text) AS title, turn FROM conversations),
+o AS (SELECT article_id, target_language, arg_max(title, turn) AS title, max(turn) AS turn FROM c WHERE turn % 4 < 2 GROUP BY 1, 2),
+n AS (SELECT article_id, target_language, arg_max(title, turn) AS title, max(turn) AS turn FROM c WHERE turn % 4 >= 2 GROUP BY 1, 2)
 SELECT article_id, target_language, coalesce(n.title, o.title) AS title, CASE WHEN n.turn IS NOT NULL THEN 'new' ELSE 'old' END AS status, coalesce(o.turn, n.turn) AS created FROM o FULL JOIN n USING (article_id, target_language)"""
 
 
@@ -198,16 +189,6 @@ REPLACE = """SELECT doc_id AS article_id, source AS category_id, (doc_id % 2)::I
 UNION ALL SELECT doc_id, quality::VARCHAR, 1 FROM labels UNION ALL SELECT doc_id, toxic::VARCHAR, 0 FROM labels"""
 
 
-def mark_reviewed(spark, sf):
-    a = articles(spark, sf).withColumn("processing_notes", F.when(F.col("id") % 2 == 0, "seen"))
-    out = S.update(a, F.col("id") % 5 == 0, processing_flags=F.array().cast("array<string>"), processing_notes=F.when(F.coalesce("processing_notes", F.lit("")) == "", F.lit("ok")).otherwise(F.concat_ws("; ", "processing_notes", F.lit("ok"))))
-    return out.select("id", F.size("processing_flags").cast("long").alias("n_flags"), "processing_notes")
-
-
-REVIEWED = f"""WITH {ARTICLES} SELECT id, CASE WHEN id % 5 <> 0 AND toxic = 1 THEN 1 ELSE 0 END::BIGINT AS n_flags,
-  CASE WHEN id % 5 = 0 THEN CASE WHEN id % 2 = 0 THEN 'seen; ok' ELSE 'ok' END WHEN id % 2 = 0 THEN 'seen' END AS processing_notes FROM articles"""
-
-
 def insert_new_articles(spark, sf):
     a = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
     rows = table(spark, sf, "labels").select((F.col("doc_id") * 2).alias("id"), F.lit("new").alias("source"))
@@ -266,12 +247,10 @@ QUERIES = {
     "page_paths": (page_paths, "SELECT unnest(['fr', 'en']) AS lang, count(*) AS n FROM documents GROUP BY 1"),
     "line_page": (line_page, "SELECT doc_id, pos, md5(line) AS digest FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE pos // 10 = 1"),
     "caption_asof": (caption_asof, CAPTIONS),
-    "section_forward_fill": (section_forward_fill, FILL),
     "job_state_from_events": (job_state_from_events, JOB_STATE),
     "session_pause_days": (session_pause_days, PAUSES),
     "upsert_translations": (upsert_translations, UPSERT),
     "replace_children": (replace_categories, REPLACE),
-    "mark_reviewed": (mark_reviewed, REVIEWED),
     "insert_new_articles": (insert_new_articles, INSERT),
     "keyword_dictionary": (keyword_dictionary, KEYWORDS),
     "token_cleanup": (token_cleanup, "SELECT event_id::VARCHAR AS token FROM events WHERE user_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-01 23:00:00'"),

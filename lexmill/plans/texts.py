@@ -163,12 +163,11 @@ SELECT doc_id, issue, count(*) AS n FROM i WHERE issue IS NOT NULL GROUP BY 1, 2
 
 
 def doc_slug(spark, sf):
-    head = F.left("text", F.lit(80))
-    return docs(spark, sf).select("doc_id", X.slugify(head).alias("slug"), X.file_slug(head).alias("file_slug"))
+    return docs(spark, sf).select("doc_id", F.md5(X.slugify(F.col("text"))).alias("slug"), F.md5(X.file_slug(F.col("text"))).alias("file_slug"))
 
 
-SLUG = """SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 80)), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug,
-  trim(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '-', 'g'), '-') AS file_slug FROM documents"""
+SLUG = """SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-')) AS slug,
+  md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) AS file_slug FROM documents"""
 
 
 def doc_truncated_preview(spark, sf):
@@ -188,6 +187,17 @@ def doc_summary(spark, sf):
     return docs(spark, sf).select("doc_id", X.summary(F.col("text"), 150, "\n").alias("summary"))
 
 
+#: Paragraphs with ten words and more, no marker at their start and not all upper case, as long as those before have less than 225 words.
+SUMMARY = rf"""
+WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS ps FROM documents WHERE length(trim(text, ' ')) >= 100),
+g AS (SELECT *, list_filter(ps, lambda x: {words_sql('x')} >= 10 AND NOT ({' OR '.join(f"contains(left(lower(x), 50), '{m}')" for m in V.SUMMARY_MARKERS)}) AND NOT (regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) AS good FROM p),
+w AS (SELECT *, list_transform(good, lambda x: {words_sql('x')}) AS ws FROM g),
+k AS (SELECT *, CASE WHEN len(good) > 0 THEN list_filter(good, lambda x, i: coalesce(list_sum(ws[1:i - 1]), 0) < 225) ELSE ps[1:3] END AS kept FROM w),
+c AS (SELECT doc_id, array_to_string(kept, ' ') AS c, list_filter(string_split_regex(array_to_string(kept, ' '), {BLANKS}), lambda x: x <> '') AS cw FROM k),
+t AS (SELECT doc_id, c, len(cw) AS n, array_to_string(cw[1:150], ' ') AS cut FROM c), s AS (SELECT *, length(cut) - strpos(reverse(cut), '.') + 1 AS stop FROM t)
+SELECT d.doc_id, CASE WHEN n > 150 THEN CASE WHEN contains(cut, '.') AND stop - 1 > 0.6 * length(cut) THEN left(cut, stop) ELSE cut END ELSE c END AS summary FROM documents d LEFT JOIN s USING (doc_id)"""
+
+
 def doc_sentence_counts(spark, sf):
     return docs(spark, sf).select("doc_id", X.count_sentences(F.col("text")).alias("n_sentences"))
 
@@ -253,37 +263,6 @@ def doc_languages_accepted(spark, sf):
 ACCEPTED = """SELECT DISTINCT source, CASE regexp_extract(source, '(\\d+)$', 1)::INT % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'fr' END AS lang FROM documents"""
 
 
-def sections_found(spark, sf):
-    return H.element_rows(table(spark, sf, "pages"), "page_id").where("tag rlike '^h[1-6]$'").select("page_id", "pos", "tag", X.section_of(F.col("text")).alias("section"))
-
-
-def page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.page_text_column(F.col("html")).alias("text"))
-
-
-def page_problems(spark, sf):
-    return page_text(spark, sf).select("page_id", F.array_join(E.extraction_problems(F.col("text")), "|").alias("problems"), E.title_of(F.col("text")).alias("title"))
-
-
-def page_body_issues(spark, sf):
-    rows = H.element_rows(table(spark, sf, "pages"), "page_id").withColumnRenamed("page_id", "doc_id")
-    return B.review(rows).where(F.size("issues") > 0).select("doc_id", "pos", "tag", F.array_join("issues", "|").alias("issues"))
-
-
-def page_articles(spark, sf):
-    a = H.parse_articles(table(spark, sf, "pages"), "page_id")
-    return a.select("page_id", "article.title", "article.abstract", F.size("article.body").alias("n_body"), F.size("article.references").alias("n_references"), F.size("article.stripped_cruft").alias("n_cruft"))
-
-
-def page_documents(spark, sf):
-    p = B.parse_documents(B.page_blocks(table(spark, sf, "pages")))
-    return p.select("doc_id", "title", "abstract", F.size("references").alias("n_references"), F.length("body_html").alias("body_length"), "input_blocks", "after_join", F.array_join("warnings", "|").alias("warnings"))
-
-
-def page_joined_blocks(spark, sf):
-    return B.join_split_sentences(B.page_blocks(table(spark, sf, "pages"))).select("doc_id", "pos", "block_type", "joined")
-
-
 def doc_body_fixes(spark, sf):
     """Line fixes: lines that go on join the line before, lines of one word go."""
     lines = doc_lines(spark, sf).select("doc_id", "pos", F.lit("p").alias("tag"), F.trim("line").alias("text")).where("text <> ''")
@@ -300,13 +279,6 @@ j AS (SELECT doc_id, island, string_agg(t, ' ' ORDER BY pos) AS t FROM i WHERE a
 SELECT doc_id, count(*) AS n_lines, sum(length(t))::BIGINT AS n_chars FROM j GROUP BY 1"""
 
 
-def doc_formulas(spark, sf):
-    return docs(spark, sf).select("doc_id", F.explode(X.formulas(F.col("text"))).alias("formula")).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
-FORMULAS = rf"""SELECT doc_id, len(m) AS n FROM (SELECT doc_id, regexp_extract_all(text, '{'|'.join(f'(?:{p})' for p in V.FORMULAS)}', 0) AS m FROM documents) WHERE len(m) > 0"""
-
-
 def doc_payloads(spark, sf):
     t = F.col("text")
     content = F.encode(F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("%PDF"), t)).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("<html>Please subscribe"), t)).otherwise(t), "UTF-8")
@@ -352,19 +324,11 @@ QUERIES = {
     "doc_slug": (doc_slug, SLUG),
     "doc_truncated_preview": (doc_truncated_preview, "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents"),
     "doc_key_findings": (doc_key_findings, FINDINGS),
-    "doc_summary": (doc_summary, None),
+    "doc_summary": (doc_summary, SUMMARY),
     "doc_facts": (doc_facts, FACTS),
-    "doc_formulas": (doc_formulas, FORMULAS),
     "doc_payloads": (doc_payloads, PAYLOADS),
     "languages_accepted": (doc_languages_accepted, ACCEPTED),
     "term_hits": (term_hits, TERM_HITS),
     "term_missing": (term_missing, TERM_MISSING),
     "validate_rows": (validate_rows, VALIDATE),
-    "page_text": (page_text, None),
-    "page_problems": (page_problems, None),
-    "page_sections": (sections_found, None),
-    "page_body_issues": (page_body_issues, None),
-    "page_articles": (page_articles, None),
-    "page_documents": (page_documents, None),
-    "page_joined_blocks": (page_joined_blocks, None),
 }

@@ -35,7 +35,8 @@ def taxonomy_rows(spark: SparkSession, data: dict) -> dict[str, DataFrame]:
     out = {}
     for section, entries in data.items():
         if isinstance(entries, dict):
-            rows = [(k, str((v or {}).get("label", k)) if isinstance(v, dict) else str(v), (v or {}).get("definition") if isinstance(v, dict) else None, i) for i, (k, v) in enumerate(entries.items())]
+            described = {k: v if isinstance(v, dict) else {"label": v if v is not None else k} for k, v in entries.items()}
+            rows = [(k, str(v.get("label", k)), v.get("definition"), i) for i, (k, v) in enumerate(described.items())]
             out[section] = spark.createDataFrame(rows, "code string, label string, definition string, ord int")
     return out
 

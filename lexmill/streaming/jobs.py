@@ -35,6 +35,16 @@ def job_state(events: DataFrame, job: str = "job_id", kind: str = "event_type",
     )
 
 
+def job_rows(moves: DataFrame) -> DataFrame:
+    """Rows of jobs after moves(id, seq, ts, move): insert, run, progress, complete, fail, cancel.
+    `run` sets started_at once, a final move completed_at, and each progress counts one more."""
+    move, final = F.col("move"), F.col("move").isin("complete", "fail", "cancel")
+    ends = F.when(move == "complete", "completed").when(move == "fail", "failed").when(move == "cancel", "cancelled")
+    status = F.coalesce(F.max_by(ends, F.when(final, F.col("seq"))), F.when(F.count_if(move == "run") > 0, "running"), F.lit("pending"))
+    times = [F.min(F.when(move == "run", F.col("ts"))).alias("started_at"), F.max(F.when(final, F.col("ts"))).alias("completed_at")]
+    return moves.groupBy("id").agg(status.alias("status"), F.count_if(move == "progress").alias("processed_count"), *times)
+
+
 def start_errors(jobs: DataFrame, count: Column) -> DataFrame:
     """(error): why a job may not start now, or null: one runs, or the count is not from 1 to 50."""
     return jobs.agg(F.count_if(F.col("status") == "running").alias("n")).select(F.when((count < 1) | (count > 50), "INVALID_COUNT").when(F.col("n") > 0, "ALREADY_RUNNING").alias("error"))
