@@ -153,8 +153,10 @@ def test_tokenizer_parity(data):
     if spm.parse(data).kind == spm.UNIGRAM:  # see the docstring of spm
         texts.remove("</s> <0x41> <unk>")
     theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
-    assert spm.encode_texts(data, texts) == theirs.encode(texts)
-    back = spm.decode_ids(data, spm.encode_texts(data, texts))
+    ids = spm.encode_texts(data, texts).lists()
+    assert ids == theirs.encode(texts)
+    back = spm.decode_ids(data, ids)
+    assert back == spm.backend(data).whole.decode_batch(ids, skip_special_tokens=False)
     assert [b == t.replace("▁", " ") for b, t in zip(back, texts, strict=True)].count(False) == 0
 
 
@@ -180,3 +182,17 @@ def test_packs():
 def test_expected_recall():
     assert nj.expected_recall(6) > 0.995 > nj.expected_recall(7) > nj.expected_recall(8)
     assert nj.measured({128: 1000, 150: 5000}, 6) == nj.expected_recall(6) and nj.measured({100: 7, 150: 9}, 8) == 1 == nj.measured({}, 8)
+
+
+def test_words_are_learnt_and_forgotten(monkeypatch):
+    """Ids put together from words equal those of whole texts, whatever of the words is kept."""
+    data, rng = spm.model_bytes(), random.Random(4)
+    texts = ["", " ", "  ", "x" * 500, "a" * 70 + " b", "▁ ▁▁a", " a  b   c ", "\x00\n\té 漢字 😀"] + ["".join(rng.choice("ab ▁\n\té漢😀., ") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    want = spm.original(data).encode(texts)
+    for known in (1 << 18, 5):
+        monkeypatch.setattr(spm, "KNOWN", known)
+        own = spm.Backend(spm.parse(data))
+        assert own.by_words
+        got = [x for i in range(0, len(texts), 50) for x in own.encode(texts[i : i + 50]).lists()]
+        assert got == want and all(len(w) <= spm.LONGEST for w in own.known) and len(own.bounds) == len(own.known) + 1
+    assert own.encode([]).lists() == []
