@@ -118,13 +118,13 @@ def parsed(spark, sf) -> DataFrame:
 
 
 def paper_metadata(spark, sf):
-    return parsed(spark, sf).select("doc_id", "title", "authors", "citation", "year", "doi", "author_email", "abstract", "abstract_en", "keywords", "acknowledgements", F.array_join("references", "|").alias("references"), F.array_join("warnings", "|").alias("warnings"), "stage")
+    return parsed(spark, sf).select("doc_id", "title", "authors", "citation", "year", "doi", "author_email", "abstract", "abstract_en", "keywords", "acknowledgements", F.array_join("references", "|").alias("refs"), F.array_join("warnings", "|").alias("warnings"), "stage")
 
 
 METADATA = """SELECT doc_id, 'Paper ' || doc_id || ' on ' || coalesce(source, '-') AS title, CASE WHEN doc_id % 3 > 0 THEN 'J. Smith, A. Doe' END AS authors,
   'J Test (' || doc_id % 30 + 1990 || ') 3, 1-9' AS citation, (doc_id % 30 + 1990)::VARCHAR AS year, CASE WHEN doc_id % 4 <> 1 THEN '10.1234/x.' || doc_id END AS doi, 'a' || doc_id || '@x.org' AS author_email,
   'Summary of paper ' || doc_id || '.' AS abstract, 'Summary of paper ' || doc_id || '.' AS abstract_en, CASE WHEN doc_id % 2 = 0 THEN 'k' || doc_id % 7 || ', k' || doc_id % 5 END AS keywords,
-  'Thanks toall, and x\\alphay.' AS acknowledgements, CASE WHEN doc_id % 5 = 0 THEN 'Ref one of ' || doc_id || '|Ref two' ELSE 'Only ref' END || '|3. Ref three.' AS references,
+  'Thanks toall, and x\\alphay.' AS acknowledgements, CASE WHEN doc_id % 5 = 0 THEN 'Ref one of ' || doc_id || '|Ref two' ELSE 'Only ref' END || '|3. Ref three.' AS refs,
   concat_ws('|', CASE WHEN doc_id % 4 = 1 THEN '[MISSING] No doi found' END, CASE WHEN doc_id % 3 > 0 THEN '[UNCLASSIFIED] 1 blocks in preamble not categorized' END) AS warnings, 'cache' AS stage FROM documents"""
 
 
@@ -324,7 +324,7 @@ def more_references(spark, sf):
     i = F.col("doc_id")
     own = F.when(i % 3 > 0, F.array(F.lit("a")))
     more = F.when(i % 2 == 0, F.array(F.lit("b"), F.lit("c")))
-    return docs(spark, sf).select("doc_id", F.array_join(B.append_references(own, more), "|").alias("references"))
+    return docs(spark, sf).select("doc_id", F.array_join(B.append_references(own, more), "|").alias("refs"))
 
 
 # Pairs of texts, chunks and extraction.
@@ -622,7 +622,7 @@ QUERIES = {
     "confirmed_fields": (confirmed_fields, CONFIRMED),
     "review_warnings": (review_warnings, WARNINGS),
     "body_starts": (body_starts, BODY_STARTS),
-    "more_references": (more_references, "SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 3 > 0 THEN 'a' END, CASE WHEN doc_id % 2 = 0 THEN 'b|c' END) AS references FROM documents"),
+    "more_references": (more_references, "SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 3 > 0 THEN 'a' END, CASE WHEN doc_id % 2 = 0 THEN 'b|c' END) AS refs FROM documents"),
     "checked_pairs": (checked_pairs, CHECKED),
     "term_recall": (term_recall, RECALL),
     "flag_severity": (flag_severity, _severity_sql()),

@@ -123,7 +123,7 @@ def page_paths(spark, sf):
 
 def line_page(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return R.page(lines, "pos", 1).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("line").alias("digest"))
+    return R.page(lines, "pos", 1, partition="doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("line").alias("digest"))
 
 
 def caption_asof(spark, sf):
