@@ -1,23 +1,28 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Documents fall into cells of source, language and topic. Iterative proportional fitting rakes
+Documents fall into cells of source, language and topic; the topic is that of a column, or else
+the first of a few rules on the form of the text. Iterative proportional fitting rakes
 the cells' token counts until each marginal has its target share; the raked weights set each
 cell's inclusion probability for a token budget, and a hash of the document decides. Targets are
-shares given by value, or by default the tempered shares (tokens to the power `temper`).
+shares given by value, or by default the tempered shares (tokens to the power `temper`). Texts are
+read once: what is known of each row is written before cells are counted.
 
 Defined cases: null source or language is the value ''; a null or empty text has no tokens; a
 cell without tokens is always included (it costs nothing); values a given target leaves out share
 what it leaves over in proportion to their tokens; a cell that lacks the tokens its weight asks
 for is taken whole and the others make up for it; equal rows share one fate; empty tables give
-no rows; columns of any name pass through unchanged.
+no rows; columns of any name pass through unchanged. Marginals that the cells can't meet together
+end as close as `ROUNDS` rounds bring them, with a warning; if a given target is missed by more than
+`MISS`, that is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.session import stash
 
@@ -29,7 +34,7 @@ TOPICS = {
     "list": r"(?m)^\s*[-*] ",
 }
 DIMS = ("source", "lang", "topic")
-ROUNDS, STEP, CLOSE = 24, 4, 1e-4
+ROUNDS, CLOSE, MISS = 24, 1e-4, 0.05
 RATE, TEMPER, SEED = 0.6, 0.7, 11
 
 
@@ -44,10 +49,14 @@ def topic_of(text: Column, topics: Mapping[str, str] = TOPICS) -> Column:
     return F.coalesce(chain.otherwise("prose"), F.lit("prose"))
 
 
-def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topics: Mapping[str, str] = TOPICS) -> DataFrame:
-    """docs with a struct __mix(source, lang, topic, n_tokens)."""
+def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, topics: Mapping[str, str] = TOPICS, seed: int = SEED) -> DataFrame:
+    """docs with a struct __mix(source, lang, topic, n_tokens, chance): the cell and size of each row,
+    and a number from 0 to 1 that is a hash of the whole row."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.withColumn("__mix", F.struct(value(source).alias("source"), value(lang).alias("lang"), topic_of(F.col(text), topics).alias("topic"), n_tokens(F.col(text)).alias("n_tokens")))
+    fate = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c != text], F.col(text))
+    chance = F.shiftrightunsigned(fate, 11) / F.lit(float(1 << 53))
+    of = value(topic) if topic else topic_of(F.col(text), topics)
+    return docs.withColumn("__mix", F.struct(value(source).alias("source"), value(lang).alias("lang"), of.alias("topic"), n_tokens(F.col(text)).alias("n_tokens"), chance.alias("chance")))
 
 
 def _with_targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None, temper: float) -> DataFrame:
@@ -63,22 +72,23 @@ def _with_targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None,
     return cells.join(marginal.select(dim, share.alias(f"t_{dim}")), dim)
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
-    """cells(source, lang, topic, tokens, t_*) with `weight`, the raked shares. Each step fits
-    the three marginals in turn; steps go on until the marginals deviate by less than `close`."""
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for done in range(STEP, rounds + 1, STEP):
-        for _ in range(STEP):
-            for dim in DIMS:
-                total = F.sum("weight").over(Window.partitionBy(dim))
-                out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"t_{dim}") / total).otherwise(0.0))
+def rake(cells: DataFrame, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, dict[str, float]]:
+    """cells(source, lang, topic, tokens, t_*) with `weight`, the raked shares, and the worst gap of
+    each marginal. A round fits the three marginals in turn; rounds go on until none deviates by
+    `close`. Sums are grouped, so that a value with most of the cells is summed by all tasks, and
+    Spark broadcasts them only if they are small."""
+    out, gaps = cells.withColumn("weight", F.col("tokens").cast("double")), {}
+    for _ in range(rounds):
+        for dim in DIMS:
+            total = out.groupBy(dim).agg(F.sum("weight").alias("total"))
+            fitted = F.when(F.col("total") > 0, F.col("weight") * F.col(f"t_{dim}") / F.col("total")).otherwise(0.0)
+            out = out.join(total, dim).withColumn("weight", fitted).drop("total")
         out = stash(out, "raked")
-        if done < rounds:
-            gaps = out.select(*[F.abs(F.sum("weight").over(Window.partitionBy(dim)) - F.col(f"t_{dim}")).alias(f"g_{dim}") for dim in DIMS[:-1]])
-            worst = gaps.agg(F.max(F.greatest(*gaps.columns))).first()[0]
-            if worst is None or worst < close:
-                break
-    return out
+        sums = [out.groupBy(dim).agg(F.abs(F.sum("weight") - F.max(f"t_{dim}")).alias("gap")).select(F.lit(dim).alias("dim"), "gap") for dim in DIMS]
+        gaps = {r["dim"]: r["gap"] for r in reduce(DataFrame.union, sums).groupBy("dim").agg(F.max("gap").alias("gap")).collect()}  # a row a marginal
+        if max(gaps.values(), default=0.0) < close:
+            break
+    return out, gaps
 
 
 def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
@@ -88,7 +98,7 @@ def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
     if not sums["t"] or not sums["w"]:
         return raked.withColumn("probability", F.lit(1.0))
     wanted = factor = rate * sums["t"] / sums["w"]
-    for _ in range(20):
+    for _ in range(200):
         whole = F.col("weight") * factor >= F.col("tokens")
         got = raked.agg(F.coalesce(F.sum(F.when(whole, F.col("tokens"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(~whole, F.col("weight"))), F.lit(0.0)).alias("w")).first()
         if not got["w"]:
@@ -96,24 +106,34 @@ def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
         wanted, factor = factor, (rate * sums["t"] - got["t"]) / got["w"]
         if abs(factor - wanted) <= 1e-12 * wanted:
             break
+    else:
+        raise RuntimeError("calibration did not settle")
     return raked.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("weight") * factor / F.col("tokens"))))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, temper: float = TEMPER, topics: Mapping[str, str] = TOPICS, seed: int = SEED) -> DataFrame:
-    """docs with a struct __mix(source, lang, topic, n_tokens, weight, probability, sampled)."""
-    described = describe(docs, text, source, lang, topics)
+def weigh(described: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, temper: float = TEMPER) -> DataFrame:
+    """Described rows with the struct __mix(source, lang, topic, n_tokens, weight, probability, sampled)."""
     cells = described.groupBy(*[F.col(f"__mix.{d}").alias(d) for d in DIMS]).agg(F.sum("__mix.n_tokens").alias("tokens"))
-    cells = stash(cells, "cells")
+    cells, targets = stash(cells, "cells"), targets or {}
     for dim in DIMS:
-        cells = _with_targets(cells, dim, (targets or {}).get(dim), temper)
-    fitted = stash(calibrate(rake(stash(cells, "targets")), rate), "fitted")
+        cells = _with_targets(cells, dim, targets.get(dim), temper)
+    raked, gaps = rake(stash(cells, "targets"))
+    if missed := {d: g for d, g in gaps.items() if g > MISS and d in targets}:
+        raise ValueError(f"target shares can't be met: off by {missed}")
+    if max(gaps.values(), default=0.0) >= CLOSE:
+        warnings.warn(f"marginals are off by up to {gaps}", stacklevel=2)
+    fitted = stash(calibrate(raked, rate), "fitted")
     fitted = fitted.select(F.struct(*DIMS).alias("__cell"), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).alias("__w"), F.col("probability").alias("__p"))
     # Spark broadcasts the cells only if their written size is under its threshold.
     joined = described.withColumn("__cell", F.struct(*[F.col(f"__mix.{d}").alias(d) for d in DIMS])).join(fitted, "__cell")
-    fate = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c != text], F.col(text))
-    chance = F.shiftrightunsigned(fate, 11) / F.lit(float(1 << 53))
-    result = F.struct("__mix.*", F.col("__w").alias("weight"), F.col("__p").alias("probability"), (chance < F.col("__p")).alias("sampled"))
-    return joined.select(*[F.col(c) for c in docs.columns], result.alias("__mix"))
+    known = [F.col(f"__mix.{c}").alias(c) for c in (*DIMS, "n_tokens")]
+    result = F.struct(*known, F.col("__w").alias("weight"), F.col("__p").alias("probability"), (F.col("__mix.chance") < F.col("__p")).alias("sampled"))
+    return joined.select(*[F.col(c) for c in described.columns if c != "__mix"], result.alias("__mix"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, temper: float = TEMPER, topics: Mapping[str, str] = TOPICS, seed: int = SEED) -> DataFrame:
+    """docs with a struct __mix(source, lang, topic, n_tokens, weight, probability, sampled)."""
+    return weigh(stash(describe(docs, text, source, lang, topic, topics, seed), "described"), targets, rate, temper)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
@@ -122,4 +142,5 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "text", "source", "lang")).select("doc_id", "__mix.*")
+    described = describe(docs.select("doc_id", "text", "source", "lang")).select("doc_id", "__mix")
+    return weigh(stash(described, "described")).select("doc_id", "__mix.*")

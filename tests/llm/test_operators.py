@@ -280,8 +280,22 @@ def test_mixing(docs, rows):
     expected = sum(n * {(r["source"], r["lang"], r["topic"]): r["probability"] for r in got}[c] for c, n in cells.items())
     assert abs(expected / sum(cells.values()) - 0.3) < 1e-6
     assert mixing.sample(docs).columns == docs.columns
-    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas|CartesianProduct", plan)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (mixing.mix(docs), mixing.describe(docs))]
+    assert not any(re.search("Python|Arrow|Pandas|CartesianProduct|Window", p) for p in plans)
+
+
+def test_mixing_by_a_topic_column(docs):
+    got = mixing.mix(docs.withColumn("kind", F.when(F.col("doc_id") % 2 == 0, "even")), topic="kind").select("__mix.topic").distinct().collect()
+    assert {r["topic"] for r in got} == {"even", ""}
+
+
+def test_mixing_says_what_it_misses(spark):
+    """A source of one language only can't have other shares than it."""
+    data = [(i, f"word {i}", f"s{i % 2}", "en" if i % 2 else "fr") for i in range(20)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
+    with pytest.raises(ValueError, match="off by"):
+        mixing.mix(d, targets={"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.9, "fr": 0.1}})
+    assert mixing.mix(d, targets={"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.1, "fr": 0.9}}).count() == 20
 
 
 def test_pii(docs, rows):
