@@ -5,12 +5,19 @@ the longest character n-grams of it that are known, from five characters down to
 
 Defined cases: a null text or a text without a letter is ``und`` with score 0; rows whose
 language label is null are never learned from; with no labelled row at all every text is
-``und``; ties go to the alphabetically first language; repeated rows are predicted alike.
+``und``; ties go to the alphabetically first language; repeated rows are predicted alike; very
+long texts count whole; an empty table gives no rows; other columns pass through, and those of the
+names that are added are replaced.
+
+Bounds of what is learnt, all parameters: `DOCS_PER_LANG` labelled rows of a language (about, by a
+hash of the text; the others say no more than these of how often words occur), `WORDS` words and
+`GRAMS` n-grams of a length for each language (rarer ones back off). Every language with a label is
+learnt: a model of more than `MOST_LANGS` languages is refused, not cut.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -19,79 +26,98 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 from lexmill.llm.common import Words, codes_of, letters, pieces, rolling, span_hashes
 
 UNKNOWN = "und"
+DOCS_PER_LANG, WORDS, GRAMS, MOST_LANGS = 4000, 30_000, 20_000, 1000
+LEAST = 0.5  # score from which on the pipeline keeps a document
 MARK = 0x2581  # begins and ends a word in n-grams
 
 
 class Table:
-    """Centred log frequencies of strings by language, found by hash."""
+    """Log frequencies of strings by language, found by hash. Only pairs that were counted are held:
+    a string's score in a language is that of an uncounted one, plus what its count adds."""
 
     SMOOTH = 0.5
 
-    def __init__(self, per: list[dict[str, int]]) -> None:
-        keys = sorted(set().union(*per)) if per else []
-        codes, bounds = codes_of(keys)
-        hashes = span_hashes(codes, bounds[:-1], bounds[1:] - 1)
-        counts = np.array([[c.get(k, 0) for c in per] for k in keys], np.float64).reshape(len(keys), len(per))
-        logs = np.log((counts + self.SMOOTH) / (counts.sum(axis=0) + self.SMOOTH * max(1, len(keys))))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.rows = np.vstack([logs - logs.mean(axis=1, keepdims=True) if per else logs, np.zeros((1, len(per)))])[[*order, -1]].astype(np.float32)
+    def __init__(self, hashes: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int) -> None:
+        self.hashes, at = np.unique(hashes, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.hashes)))]).astype(np.int64)
+        self.langs, self.adds = langs[order].astype(np.int32), np.log((counts[order] + self.SMOOTH) / self.SMOOTH)
+        totals = np.bincount(langs, counts, n_langs)
+        self.base = np.log(self.SMOOTH / (totals + self.SMOOTH * max(1, len(self.hashes))))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of each hash, the last (of zeros) for unknown ones."""
+        """Row of each hash, -1 for unknown ones."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
+            return np.full(len(hashes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def sums(self, rows: np.ndarray, of: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+        """Sum of the scores of rows by language for each of n groups, `of` being the group of a row."""
+        weights = np.ones(len(rows)) if weights is None else weights
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        each = np.repeat(np.arange(len(rows)), sizes)
+        at = np.arange(len(each)) + np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes)
+        cells = of[each] * len(self.base) + self.langs[at]
+        added = np.bincount(cells, self.adds[at] * weights[each], n * len(self.base)).reshape(n, len(self.base))
+        return added + np.outer(np.bincount(of, weights, n), self.base)
+
+
+def grams_of(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the `size`-grams of words with a mark before and after, and the word of each."""
+    firsts = np.concatenate([[0], np.cumsum(lengths + 2)])
+    padded = np.full(firsts[-1], MARK, np.uint32)
+    inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    padded[inner + np.repeat(firsts[:-1] + 1, lengths)] = codes[inner + np.repeat(starts, lengths)]
+    a, b, of = rolling(firsts, size)
+    return span_hashes(padded, a, b), np.repeat(np.arange(len(lengths)), np.diff(of))
 
 
 class Model:
-    """Bounded tables: words, and at most `grams` n-grams of a length for each language."""
+    """Bounded tables: the words given, and at most `grams` n-grams of a length for each language, the
+    most frequent ones (rarer ones back off to shorter ones, as unknown ones do)."""
 
     LONGEST = 5
 
-    def __init__(self, counts: dict[str, dict[str, int]], grams: int = 20_000) -> None:
+    def __init__(self, counts: dict[str, dict[str, int]], grams: int = GRAMS) -> None:
         self.langs = sorted(counts)
-        self.words = Table([counts[x] for x in self.langs])
+        n = len(self.langs)
+        words = [w for x in self.langs for w in counts[x]]
+        langs = np.repeat(np.arange(n), [len(counts[x]) for x in self.langs]).astype(np.int64)
+        times = np.array([k for x in self.langs for k in counts[x].values()], np.float64)
+        codes, bounds = codes_of(words)
+        starts, lengths = bounds[:-1], np.diff(bounds) - 1
+        self.words = Table(span_hashes(codes, starts, starts + lengths), langs, times, n)
         self.grams = {}
         for size in range(1, self.LONGEST + 1):
-            per = []
-            for lang in self.langs:
-                c: Counter = Counter()
-                for word, k in counts[lang].items():
-                    w = f"{chr(MARK)}{word}{chr(MARK)}"
-                    for i in range(len(w) - size + 1):
-                        c[w[i : i + size]] += k
-                per.append(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:grams]))
-            self.grams[size] = Table(per)
+            hashes, word = grams_of(codes, starts, lengths, size)
+            parts = []
+            for i in range(n):
+                own = langs[word] == i
+                found, at = np.unique(hashes[own], return_inverse=True)
+                total = np.bincount(at, times[word[own]], len(found))
+                kept = np.lexsort((found, -total))[:grams]
+                parts.append((found[kept], np.full(len(kept), i), total[kept]))
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)]
+            self.grams[size] = Table(*columns, n)
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of word scores by text and language, and the number of words of each text."""
         codes, bounds = codes_of([t.lower() for t in texts])
         found = Words(codes, bounds, ~letters())
         n = len(texts)
-        out = np.zeros((n, len(self.langs)))
         rows = self.words.find(found.hashes())
-        for i in range(len(self.langs)):
-            out[:, i] = np.bincount(found.doc, self.words.rows[rows, i], n)
-        unseen = np.flatnonzero(rows == len(self.words.hashes))
+        known, unseen = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        out = self.words.sums(rows[known], found.doc[known], n)
         starts, lengths, doc = found.starts[unseen], (found.ends - found.starts)[unseen], found.doc[unseen]
         for size in range(self.LONGEST, 0, -1):
             if not len(doc):
                 break
-            firsts = np.concatenate([[0], np.cumsum(lengths + 2)])
-            padded = np.full(firsts[-1], MARK, np.uint32)
-            inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            padded[inner + np.repeat(firsts[:-1] + 1, lengths)] = codes[inner + np.repeat(starts, lengths)]
-            a, b, of = rolling(firsts, size)
-            table = self.grams[size]
-            row = table.find(span_hashes(padded, a, b))
-            hit = np.flatnonzero(row < len(table.hashes))
-            word = np.repeat(np.arange(len(doc)), np.diff(of))[hit]
+            hashes, word = grams_of(codes, starts, lengths, size)
+            row = self.grams[size].find(hashes)
+            word, row = word[row >= 0], row[row >= 0]
             hits = np.bincount(word, minlength=len(doc))
-            for i in range(len(self.langs)):
-                mean = np.bincount(word, table.rows[row[hit], i], len(doc)) / np.maximum(hits, 1)
-                out[:, i] += np.bincount(doc, mean, n)
+            out += self.grams[size].sums(row, doc[word], n, 1 / hits[word])
             rest = hits == 0
             starts, lengths, doc = starts[rest], lengths[rest], doc[rest]
         return out, found.counts
@@ -108,11 +134,13 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 4000, words: int = 30_000, max_langs: int = 400) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, words: int = WORDS, most_langs: int = MOST_LANGS) -> Model:
     """Learn from at most about `docs_per_lang` labelled rows of each language, chosen by a hash
     of the text; counts are aggregated on executors and only bounded tables come to the driver."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     if not sizes:
         return Model({})
     share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, docs_per_lang / n))])[F.col("l")]
@@ -121,8 +149,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
     counted = tokens.groupBy("l", "w").agg(F.count("*").alias("n"))
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= words)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top.select("l", "w", "n").toLocalIterator(prefetchPartitions=True):
-        counts[r["l"]][r["w"]] = r["n"]
+    found = top.select("l", "w", "n").toArrow()  # at most `words` rows a language
+    for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("l", "w", "n")), strict=True):
+        counts[lang][word] = n
     return Model(dict(counts))
 
 
@@ -153,7 +182,7 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return predict(held, model, keep=["doc_id", "held_out"])
 
 
-def filter_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def filter_languages(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Pipeline stage: drop documents without an identifiable language (`und` or a score under
     `least`); the columns of docs are returned unchanged."""
     model = fit(docs.where(~is_held_out(F.col("doc_id"))))
