@@ -8,7 +8,8 @@ over the smaller fingerprint's. Boundaries depend on content alone, so shifted t
 Defined cases: a null text is an empty one; an empty text has the empty fingerprint, which is
 like another empty one by 1 and like any other by 0; rows with equal or null doc_id keep a fixed
 order (nulls first, then by text); the last document's next one is the first, which with a single
-row is the row itself; other columns are ignored.
+row is the row itself; an empty table gives no rows; very long texts are cut whole; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm.common import PIECE_BYTES, buckets, mix, span_hashes
+from lexmill.llm.common import PIECE_BYTES, buckets, mix, pieces, span_hashes
 
 LEAST, USUAL, MOST = 16, 64, 256
 STRICT, LOOSE = 7, 5  # leading zero bits asked of the hash below and above the usual size
@@ -104,7 +105,7 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     at = kept.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             found = fingerprints([(x or "").encode() for x in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([show(x) for x in found])], [*kept, name])
 
@@ -113,21 +114,29 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
 
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, text, tail) range partitioned and sorted by key. Bounds are keys of rows, and a
-    bound's rows also end the partition before, as its tail: each row's next one is beside it
-    without a global window. The first rows of all end the last partition. Keys are nearly
-    distinct, so a tail is a row or few."""
+    bound's first row also ends the partition before, as its tail: each row's next one is beside it
+    without a global window. The first row of all ends the last partition. A task sends one row a
+    piece and tail, whatever the number of rows of that key."""
     n = buckets(docs.sparkSession)
     keyed = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text), F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("__k"))
     row = keyed.agg(F.min("__k").alias("least"), F.percentile_approx("__k", [i / n for i in range(1, n)], 100 * n).alias("q")).first()
     bounds = np.array(sorted({q for q in row["q"] or [] if q > row["least"]}), np.int64)  # as many as partitions
     least, last = row["least"], len(bounds)
 
+    def foremost(batch, k, rows):
+        """Of rows of one key, that of the least text."""
+        found: dict[int, tuple[bytes, int]] = {}
+        for row in rows.tolist():
+            own = (batch.column(1)[row].as_py().encode(), row)
+            found[k[row]] = min(own, found.get(k[row], own))
+        return np.array([row for _, row in found.values()], np.int64)
+
     def deal(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             k = batch.column(2).to_numpy(zero_copy_only=False)
             part = np.searchsorted(bounds, k, "right")
-            again = np.flatnonzero((part > 0) & (k == bounds[np.maximum(part, 1) - 1])) if last else np.zeros(0, np.int64)
-            first = np.flatnonzero(k == least)
+            again = foremost(batch, k, np.flatnonzero((part > 0) & (k == bounds[np.maximum(part, 1) - 1]))) if last else np.zeros(0, np.int64)
+            first = foremost(batch, k, np.flatnonzero(k == least))
             rows = np.concatenate([np.arange(len(k)), again, first])
             tail = np.concatenate([np.zeros(len(k), np.int32), np.ones(len(again) + len(first), np.int32)])
             to = np.concatenate([part, part[again] - 1, np.full(len(first), last)]).astype(np.int32)
