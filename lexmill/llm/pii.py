@@ -10,7 +10,9 @@ they occur: anywhere in a document, with the entity or without it.
 Defined cases: a null text is an empty one, without spans; rows are judged one by one, so repeated
 rows count as documents of their own; words inside base spans are no terms, and are not counted; an entity or pair found
 in fewer than `SUPPORT` documents discloses nothing (one document is no co-occurrence estimate);
-offsets are code points, ends exclusive; other columns pass through or are ignored.
+offsets are code points, ends exclusive; very long texts count whole; of a word tied with several
+entities the highest score counts; an empty table gives no rows; other columns pass through or are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -290,8 +292,8 @@ def rewrite(text: str, terms: list[tuple[int, int, float]], remove: float = REMO
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `text` sanitised (null stays null)."""
     row = docs.withColumn("__row", F.lit(0)).select("__row", text)
-    extra = disclosing(row, "__row", text)[1].withColumnRenamed("terms", "__terms")
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(extra, F.col("__sha") == F.col("text_sha"), "left")
+    extra = disclosing(row, "__row", text)[1].withColumnsRenamed({"text_sha": "__sha", "terms": "__terms"})
+    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(extra, "__sha", "left")
     given = keyed.select(*[F.col(c) for c in docs.columns], "__terms")
     at = docs.columns.index(text)
 
