@@ -15,7 +15,9 @@ Texts move only if a Bloom filter of fixed size says that the document may have
 
 Defined cases: a null or blank text has no words; a null doc_id is smaller than all others; rows
 with equal doc_id never remove each other's words; documents of fewer than `WINDOW` words keep
-all; windows are judged on the input, not on what is left; other columns are ignored.
+all; windows are judged on the input, not on what is left; very long texts are probed whole; of
+tied first documents the smallest doc_id keeps the window; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -371,7 +373,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     schema = docs.select(key).schema.add("n_words", "long").add("n_removed", "long").add(value, "string")
     clean = rows.mapInArrow(split(False), schema)
     maybe = rows.mapInArrow(split(True), rows.schema).join(hits, "id", "left")
-    flagged = stash(maybe.withColumn("uid", F.xxhash64("id", "text")), "flagged")
+    flagged = stash(maybe.withColumn("uid", F.monotonically_increasing_id()), "flagged")  # written once, so fixed
     cuts = repeats(windows(flagged.where("pos is not null")))
 
     def finish(batches):
@@ -383,3 +385,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return remove_repeats(docs, digest=True)
+
+
+#: Every window of 50 words by its text.
+ORACLE = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY 1), c AS (SELECT doc_id, list(i) AS starts FROM w JOIN f USING (h) WHERE first < doc_id GROUP BY 1),
+p AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS x FROM d),
+u AS (SELECT DISTINCT doc_id, s + unnest(range(50)) AS i FROM (SELECT doc_id, unnest(starts) AS s FROM c)),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN u USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
