@@ -6,7 +6,9 @@ coded with one or more partitions. All frames of a batch advance together: the d
 over sample positions and works on every frame at once, so numpy does the bit work.
 
 Defined cases: a null text is an empty one; an empty payload still yields one padded block;
-corrupt frames raise FlacError; equal payloads give equal streams.
+corrupt frames raise FlacError; equal payloads give equal streams, so repeated rows are equal; very
+long texts are stored whole, in pieces of bounded size; an empty table gives no rows; other columns
+are ignored, whatever their names. The query reads back what it has encoded without storing it.
 """
 
 from __future__ import annotations

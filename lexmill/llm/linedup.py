@@ -6,7 +6,8 @@ boilerplate and lines clearly below are not. Boilerplate lines leave every docum
 
 Defined cases: a null text stays null; an empty text stays empty; a null site counts as the
 site ''; lines are compared without outer blanks; blank lines are never removed; repeated rows
-and ties are treated alike; columns of any name pass through unchanged.
+and ties are treated alike; very long texts count whole; an empty table gives no rows; columns of
+any name pass through unchanged.
 """
 
 from __future__ import annotations

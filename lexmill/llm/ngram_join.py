@@ -398,3 +398,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return join_similar(docs)
+
+
+#: Brute force: pairs of distinct sets that share an n-gram, their exact similarity, and classes as
+#: the least document reached over links.
+ORACLE = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= {N} THEN list_transform(range(len(ws) - {N - 1}), lambda i: array_to_string(ws[i + 1:i + {N}], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS grams FROM d WHERE len(ws) > 0),
+n AS (SELECT grams, min(doc_id) AS id, count(*) AS copies, len(grams) AS size FROM s GROUP BY 1), g AS (SELECT id, unnest(grams) AS gram FROM n),
+c AS (SELECT a.id AS u, b.id AS v, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.id <> b.id GROUP BY 1, 2),
+l AS (SELECT u, v, y.copies AS copies FROM c JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE shared / (x.size + y.size - shared) >= {THRESHOLD}),
+r AS (SELECT id, id AS class FROM n UNION SELECT l.v, r.class FROM r JOIN l ON l.u = r.id),
+k AS (SELECT id, min(class) AS class_id FROM r GROUP BY 1), t AS (SELECT u AS id, sum(copies) AS n FROM l GROUP BY 1),
+o AS (SELECT s.doc_id, k.class_id, coalesce(t.n, 0) + n.copies - 1 AS n_links FROM s JOIN n USING (grams) JOIN k USING (id) LEFT JOIN t USING (id))
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM documents LEFT JOIN o USING (doc_id)"""

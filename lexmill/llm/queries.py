@@ -26,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linedup.ORACLE}
+    return {"op1_warc_archive": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_line_dedup": linedup.ORACLE}

@@ -6,8 +6,9 @@ the dictionary, walks frame headers and block headers to find each frame, decode
 record, and validates version line, required headers, lengths, trailer and digests.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty target; rows of
-null page_id are responses that none refers to; rows that repeat page_id and payload of a response are responses too; an empty table
-gives no archive; other columns are ignored.
+null page_id are responses that none refers to; rows that repeat page_id and payload of a response
+are responses too; very long payloads are records of their own archive; an empty table gives no
+archive; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -252,4 +253,11 @@ def read_files(spark: SparkSession, path: str, payload: bool = True) -> DataFram
 
 
 def op1(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return read(stash(write(pages), "warc", compression="none"), payload=False)
+    return read(stash(write(pages), "warc", compression="none"), payload=False).drop("frame_offset")
+
+
+#: Base 32 of a digest by its hexadecimal digits: five bits at a time lie in two digits.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h || '0', i * 5 // 4 + 1, 2))::INT >> (3 - i * 5 % 4)) & 31) + 1, 1)), '')"
+ORACLE = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to, url FROM p JOIN f USING (h)"""
