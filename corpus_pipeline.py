@@ -1,4 +1,11 @@
-"""A corpus pipeline over documents: language, lines, near copies, mixture, tokens."""
+"""A corpus pipeline over documents: language, lines, near copies, mixture, tokens.
+
+Each stage works on all rows of the one before. Defined cases: a row without an id, or with one that
+others have, is a document of its own in all stages; a null, blank or letterless text has no language
+and goes in the first stage; rows without source or language belong to the value '' of the mixture;
+repeated rows are copies, of which the third stage keeps one; texts of any length are taken whole;
+an empty table passes through all stages; extra columns are kept, whatever their names (but those
+the last stage adds replace columns of their names)."""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from lexmill.session import ship, stash, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told, with a score of langid.LEAST at least."""
     ship(spark)
     return langid.filter_languages(docs)
 
