@@ -47,7 +47,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, which has no other
+    machines, may do without it and gets a temporary folder."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if path:
@@ -56,16 +57,21 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     known = sc._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get()
 
 
 def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. What
+    was written goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexmill-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
