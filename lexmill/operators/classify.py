@@ -92,7 +92,7 @@ def method_of(article_type: Column, mapping=V.TYPE_METHODS) -> Column:
     return chain
 
 
-def peer_review_signals(citation: Column, doi: Column, references: Column) -> Column:
+def peer_review_signals(citation: Column, doi: Column, references: Column, journals=V.JOURNAL_WORDS) -> Column:
     """Signals in favour of peer review; two or more mean yes, unless a registry says otherwise."""
     cited, refs = F.coalesce(citation, F.lit("")), F.coalesce(references, F.array().cast("array<string>"))
     ten = F.slice(refs, 1, 10)
@@ -101,7 +101,7 @@ def peer_review_signals(citation: Column, doi: Column, references: Column) -> Co
         F.when(has_doi, "doi found"), F.when(cited.rlike(V.JOURNAL_CITATION), "journal format in citation"),
         F.when(has_doi | F.contains(F.lower(cited), F.lit("doi")), "doi present"), F.when(F.size(refs) >= 10, "ten references"),
         F.when(F.size(F.filter(ten, lambda r: r.rlike(V.JOURNAL_REFERENCE))) >= 5, "references in journal format"),
-        F.when(F.size(F.filter(ten, lambda r: X.contains_any(r, V.JOURNAL_WORDS))) >= 5, "references name journals"),
+        F.when(F.size(F.filter(ten, lambda r: X.contains_any(r, journals))) >= 5, "references name journals"),
     ))
 
 

@@ -62,6 +62,16 @@ def pattern_rows(spark: SparkSession, data: dict) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, section string, lang string, pattern string")
 
 
+def type_methods(data: dict) -> dict[str, tuple[str, ...]]:
+    """Patterns of article types by method, lower case, in file order: the mapping that
+    classify.method_of takes. Entries are lists, or lists by language."""
+    out = {}
+    for method, patterns in data.items():
+        listed = [p for ps in patterns.values() for p in ps] if isinstance(patterns, dict) else list(patterns or [])
+        out[method] = tuple(str(p).lower() for p in listed)
+    return out
+
+
 def first_pattern(texts: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFrame:
     """(key, section) of the first pattern contained in each text. Patterns come from small files,
     and Spark broadcasts them only under its size threshold."""

@@ -109,3 +109,13 @@ def test_html():
     assert found[0]["doi"] == "10.1/z" and found[0]["keywords"] == ["a", "b"] and found[0]["title"] == "T" and found[0]["year"] == "2020"
     a = H.article("<h1>Title</h1><h2>Abstract</h2><p>About.</p><h2>Introduction</h2><p>It goes</p><p>on here.</p><p>Received 3 May</p><h2>References</h2><p>1. Ref</p>")
     assert a["title"] == "Title" and a["abstract"] == "About." and a["body"][1]["text"] == "It goes on here." and a["references"] == ["1. Ref"] and a["stripped_cruft"] == ["Received 3 May"]
+
+
+def test_article_types_are_loaded(one):
+    from lexmill.operators import classify as C
+    from lexmill.sources import readers
+
+    mapping = readers.type_methods({"empirical": {"en": ["Survey"], "fr": ["Enquête"]}, "synthesis": ["Review"], "other": None})
+    assert mapping == {"empirical": ("survey", "enquête"), "synthesis": ("review",), "other": ()}
+    kinds = [C.method_of(F.lit(x), {k: v for k, v in mapping.items() if v}) for x in ("An ENQUÊTE", "a review of surveys", "none")]
+    assert one(*kinds) == ("empirical", "empirical", None)
