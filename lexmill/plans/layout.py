@@ -558,6 +558,33 @@ SELECT page_id, h AS title, CASE WHEN length(p) > 500 THEN md5(p) END AS abstrac
   (p IS NOT NULL AND ({refs}))::BIGINT AS n_references, cruft::BIGINT AS n_cruft FROM c"""
 
 
+def article_bodies(spark, sf):
+    """Article pages made of the lines of documents: paragraphs broken by a page are joined in pairs,
+    and what is no body is left out."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    body = F.array_join(F.transform(lines, lambda s: tag("p", escaped(s))), "")
+    html = F.concat(F.lit("<nav><p>Menu</p></nav><h1>A title</h1><h2>Introduction</h2>"), body, F.lit("<h2>References</h2><p>Ref one.</p><p>Ref two.</p><h3>Acknowledgements</h3><p>Thanks.</p>"))
+    a = H.parse_articles(docs(spark, sf).select("doc_id", html.alias("html")), "doc_id")
+    texts = F.array_join(F.transform("article.body", lambda b: b.text), "\n")
+    size = lambda c: F.size(f"article.{c}").cast("long")
+    return a.select("doc_id", "article.title", "article.acknowledgements", size("body").alias("n_body"), size("references").alias("n_references"), size("stripped_cruft").alias("n_cruft"), F.md5(texts).alias("digest"))
+
+
+def _bodies_sql() -> str:
+    from lexmill.functions import vocabulary as V
+
+    cruft = "'" + "|".join(f"(?:{x})" for x in V.CRUFT).replace("'", "''") + "'"
+    return f"""WITH l AS (SELECT doc_id, pos, t, regexp_matches(lower(t), {cruft}) OR (length(t) < 30 AND t LIKE '%:' AND NOT regexp_matches(t, '^\\d')) AS cruft FROM {PARAGRAPHS}),
+p AS (SELECT doc_id, t, row_number() OVER w AS i, lead(t) OVER w AS after FROM l WHERE NOT cruft WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+j AS (SELECT *, after IS NOT NULL AND right(t, 1) NOT IN ('.', '!', '?', ':', ';', '"') AND regexp_matches(after, '^\\p{{Ll}}') AS open FROM p),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, open ORDER BY i) AS run FROM j),
+k AS (SELECT *, open AND row_number() OVER (PARTITION BY doc_id, open, run ORDER BY i) % 2 = 1 AS joins FROM r),
+o AS (SELECT doc_id, i, CASE WHEN joins THEN t || ' ' || after ELSE t END AS t, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM k),
+b AS (SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY i) AS body FROM o WHERE NOT gone GROUP BY 1), c AS (SELECT doc_id, count(*) AS n FROM l WHERE cruft GROUP BY 1)
+SELECT doc_id, 'A title' AS title, 'Thanks.' AS acknowledgements, coalesce(b.n, 0) + 1 AS n_body, 2::BIGINT AS n_references, coalesce(c.n, 0) AS n_cruft,
+  md5(concat_ws(chr(10), 'Introduction', body)) AS digest FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 def page_documents(spark, sf):
     p = B.parse_documents(B.page_blocks(table(spark, sf, "pages")))
     return p.select("doc_id", "title", "abstract", F.size("references").cast("long").alias("n_references"), F.length("body_html").cast("long").alias("body_length"), "input_blocks", "after_join", F.array_join("warnings", "|").alias("warnings"))
@@ -642,6 +669,7 @@ QUERIES = {
     "page_sections": (page_sections, f"SELECT page_id, pos, tag, {section_sql('t')} AS section, false AS label FROM {ELEMENTS} WHERE tag = 'h1'"),
     "page_body_issues": (page_body_issues, PAGE_ISSUES),
     "page_articles": (page_articles, _articles_sql()),
+    "article_bodies": (article_bodies, _bodies_sql()),
     "page_documents": (page_documents, PAGE_DOCUMENTS),
     "page_joined_blocks": (page_joined_blocks, PAGE_JOINED),
 }
