@@ -295,3 +295,17 @@ def test_filters_beyond_their_size(spark, monkeypatch):
     want = sorted(map(tuple, nj.join_similar(d).collect()))
     monkeypatch.setattr(common.Bloom, "BITS", 1 << 4)
     assert sorted(map(tuple, nj.join_similar(d).collect())) == want and want[0] == (0, 0, 5)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
+def test_sql(spark, data, folder, name):
+    """Queries against their SQL over the same folder."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{folder.removeprefix('file://')}/{t}.parquet/*.parquet'")
+    out = entry.queries()[name](spark, folder)
+    columns = sorted(out.columns)
+    got = [tuple(r) for r in out.select(*columns).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, con.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall()))
