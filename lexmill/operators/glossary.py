@@ -32,23 +32,25 @@ def pattern(term: Column, lenient: bool = False) -> Column:
 def find_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", lenient: bool = False, most_words: int = 6) -> DataFrame:
     """(key, en, fr): terms found in each text, one row per en.
 
-    A term is looked up at each token of a text that equals its first one, by a join that needs no
-    shuffle of texts while the glossary is small, and the few tokens that follow decide; then the
-    exact pattern does. Terms without a token, or of more than most_words, take a plain pattern join
-    against that remainder. Of entries with one en the first gives fr."""
+    Texts meet terms by equality of word n-grams, not by a scan of all terms per text: a term of k
+    tokens is looked up among the text's k-token runs, then the exact pattern decides. Terms without
+    a token, or of more than most_words, take a plain pattern join against that remainder. Of entries with one en the first gives fr."""
     tokens = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     normal = texts.select(F.col(key).alias("__k"), X.normalize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    listed = terms.select("term_key", "en", "fr", "ord", tokens(F.col("term_key")).alias("tw"))
-    short = listed.where((F.size("tw") > 0) & (F.size("tw") <= most_words)).withColumn("head", F.element_at("tw", 1))
-    rest = listed.where((F.size("tw") == 0) | (F.size("tw") > most_words))
-    longest = short.agg(F.max(F.size("tw"))).first()[0] or 1
-    at = normal.select("__k", tokens(F.col("t")).alias("w")).select("__k", "w", F.posexplode("w").alias("at", "head"))
-    if longest > 1:
-        at = at.withColumn("run", F.slice("w", F.col("at") + 1, F.lit(longest)))
-        looked = at.drop("w").join(short, "head").where(F.slice("run", F.lit(1), F.size("tw")) == F.col("tw"))
-    else:
-        looked = at.select("__k", "head").join(short, "head")
-    # Candidates are gathered without their text, which joins again per document that has some.
+    listed = terms.select("term_key", "en", "fr", "ord", tokens(F.col("term_key")).alias("w"))
+    short = listed.where((F.size("w") > 0) & (F.size("w") <= most_words)).withColumn("gram", F.array_join("w", " "))
+    rest = listed.where((F.size("w") == 0) | (F.size("w") > most_words))
+    sizes = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())  # at most most_words values
+
+    def of_size(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    runs = lambda w: F.flatten(F.array(*[of_size(w, n) for n in sizes]))
+    # Bound as a variable, the tokens are made once per text and not once per run.
+    grams = F.flatten(F.transform(F.array(tokens(F.col("t"))), runs)) if sizes else F.array().cast("array<string>")
+    # Runs meet terms without their text, which joins again per document that has candidates.
+    looked = normal.select("__k", F.explode(F.array_distinct(grams)).alias("gram")).join(short, "gram")
     likely = looked.groupBy("__k").agg(F.collect_set(F.struct("term_key", "en", "fr", "ord")).alias("c"))
     each = normal.join(likely, "__k").select("__k", "t", F.explode("c").alias("c")).select("__k", "t", "c.*")
     found = each.where(F.regexp_like("t", pattern(F.col("term_key"), lenient))).select("__k", "en", "fr", "ord")
