@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions import text as X, vocabulary as V
+from lexmill.operators.numbering import numbered
+from lexmill.session import free
 
 
 def by_key(df: DataFrame, key: str, value) -> DataFrame:
@@ -175,11 +177,10 @@ def next_in_queue(df: DataFrame, status: str, created: str, key: str, first: str
 
 def page(df: DataFrame, order: str, number: int, size: int = 10, partition: str | None = None) -> DataFrame:
     """Rows of page `number` from 0 (of each partition, if one is given), counted in order of `order`;
-    gaps in it don't matter. Without a partition, one task counts all rows: give one for large tables."""
-    from pyspark.sql import Window
-
-    window = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(window) - 1).where(F.floor(F.col("__n") / size) == number).drop("__n")
+    gaps in it don't matter, rows that tie keep the order of the input. Rows are numbered by all tasks."""
+    (at,) = free(df, "at")
+    counted = numbered(df, [order], [partition] if partition else [], at)
+    return counted.where((F.col(at) >= number * size) & (F.col(at) < (number + 1) * size)).drop(at)
 
 
 def page_total(df: DataFrame, partition: str, size: int = 10) -> DataFrame:
@@ -202,12 +203,11 @@ def session_state(df: DataFrame) -> DataFrame:
 
 
 def unique_ids(df: DataFrame, id: str, order: str) -> DataFrame:
-    """df with repeated ids told apart: the first by `order` stays, the others get -2, -3, ... A group
-    of one id is numbered in one task: ids name single articles, and few of them collide."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(id).orderBy(order))
-    return df.withColumn("__n", n).withColumn(id, F.when(F.col("__n") > 1, F.concat_ws("-", id, F.col("__n").cast("string"))).otherwise(F.col(id))).drop("__n")
+    """df with repeated ids told apart: the first by `order` stays, the others get -2, -3, ... An id
+    with any number of rows is numbered by all tasks."""
+    (at,) = free(df, "at")
+    n = F.col(at) + 1
+    return numbered(df, [order], [id], at).withColumn(id, F.when(n > 1, F.concat_ws("-", id, n.cast("string"))).otherwise(F.col(id))).drop(at)
 
 
 def page_paths(articles: DataFrame, langs=("fr", "en")) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions import text as X, vocabulary as V
-from lexmill.operators import relational as R
+from lexmill.operators import numbering as N, relational as R
 from lexmill.sources import store as S
 from lexmill.session import table
 from lexmill.streaming import jobs as J
@@ -126,6 +126,24 @@ def line_page(spark, sf):
     return R.page(lines, "pos", 1, partition="doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("line").alias("digest"))
 
 
+def documents_page(spark, sf):
+    """The fourth page of a hundred documents, the longest first, numbered over the whole table."""
+    d = table(spark, sf, "documents").select("doc_id", (-F.col("n_chars")).alias("shorter"))
+    return N.numbered(d, ["shorter", "doc_id"], name="n", total="total").where("n between 300 and 399")
+
+
+def documents_in_source(spark, sf):
+    """Each document's number in its source, the longest first, and the source's documents."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return N.numbered(d, [F.col("n_chars").desc(), "doc_id"], ["source"], "n", "total").select("doc_id", "n", "total")
+
+
+def characters_before(spark, sf):
+    """Characters of all documents up to and with each, in order of ids."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return N.running_sum(d, "n_chars", ["doc_id"], "characters").select("doc_id", "characters")
+
+
 def caption_asof(spark, sf):
     """Events as blocks: views are captions, purchases tables, signups figures."""
     e = table(spark, sf, "events")
@@ -246,6 +264,9 @@ QUERIES = {
     "site_stats": (site_stats, f"WITH {TRANSLATIONS} SELECT d.n AS total, t.n AS translated, d.n - t.n AS pending FROM (SELECT count(*) AS n FROM documents) d, (SELECT count(*) AS n FROM translations) t"),
     "page_paths": (page_paths, "SELECT unnest(['fr', 'en']) AS lang, count(*) AS n FROM documents GROUP BY 1"),
     "line_page": (line_page, "SELECT doc_id, pos, md5(line) AS digest FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE pos // 10 = 1"),
+    "documents_page": (documents_page, "SELECT doc_id, -n_chars AS shorter, row_number() OVER (ORDER BY -n_chars, doc_id) - 1 AS n, count(*) OVER () AS total FROM documents QUALIFY n BETWEEN 300 AND 399"),
+    "documents_in_source": (documents_in_source, "SELECT doc_id, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY source) AS total FROM documents WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id)"),
+    "characters_before": (characters_before, "SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS characters FROM documents"),
     "caption_asof": (caption_asof, CAPTIONS),
     "job_state_from_events": (job_state_from_events, JOB_STATE),
     "session_pause_days": (session_pause_days, PAUSES),

@@ -75,5 +75,37 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write df to the shared folder in sorted buckets of `key` and read it back: tables of as many
+    buckets join on the key without a shuffle. What was written goes when the driver ends."""
+    spark = df.sparkSession
+    known = f"lexmill_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{known}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.bucketBy(buckets, key).sortBy(key).options(path=path, compression="zstd").saveAsTable(known)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    found = spark.table(known)
+    _ = found.schema  # resolved to its files; the name can go
+    spark.sql(f"DROP TABLE {known}")
+    return found
+
+
+def partitions(spark: SparkSession) -> int:
+    """Number of partitions for what is dealt by key: that of shuffles, which the cluster sizes for the data."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted for helper columns, none of which df has in any case."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

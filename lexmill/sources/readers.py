@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions import html as H, text as X
 from lexmill.operators import blocks as B, extraction as E, glossary as G
+from lexmill.operators.numbering import numbered
 
 RAW_BLOCKS = f"doc_id string, blocks array<{B.BLOCK}>, children array<struct<block_type:string,children:array<{B.BLOCK}>>>"
 RESPONSE = f"doc_id string, json struct<children:array<struct<block_type:string,children:array<{B.BLOCK}>>>>, chunks struct<blocks:array<{B.BLOCK}>>, blocks array<{B.BLOCK}>"
@@ -136,11 +137,10 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def to_do(found: DataFrame, done: DataFrame, key: str = "slug", size: int = 5) -> DataFrame:
-    """found that is not in done, with batch numbers of `size` in order of key."""
-    from pyspark.sql import Window
-
+    """found that is not in done, with batch numbers of `size` in order of key; rows that tie keep the
+    order of the input. Rows are numbered by all tasks."""
     left = found.join(done.select(key), key, "left_anti")
-    return left.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("long"))  # a listing of files, not data
+    return numbered(left, [key], name="batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def log_tail(lines: DataFrame, order: str, n: int = 50) -> DataFrame:
