@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import codes, fingerprints, flac, langid, linedup, mixing, ngram_join, pii, spm, substring, warc, whitening
+from lexmill.llm import codes, fingerprints, flac, langid, linedup, mixing, ngram_join, pii, sharding, spm, substring, warc, whitening
 from lexmill.session import table
 
 
@@ -24,8 +24,9 @@ def queries() -> dict:
         "op10_fingerprints": _on("documents", fingerprints.op10),
         "op11_embedding_whitening": _on("embeddings", whitening.op11),
         "op12_vector_codes": _on("embeddings", codes.op12),
+        "op13_sharding": _on("documents", sharding.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_archive": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_line_dedup": linedup.ORACLE, "op12_vector_codes": codes.ORACLE}
+    return {"op1_warc_archive": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_line_dedup": linedup.ORACLE, "op12_vector_codes": codes.ORACLE, "op13_sharding": sharding.ORACLE}
