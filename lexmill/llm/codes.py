@@ -70,7 +70,7 @@ class Codebooks:
         return hashlib.sha256(",".join(str(v) for b in self.books for e in b for v in e).encode()).hexdigest()
 
 
-STATE = "row long, codes binary, part int, entry int, position int, high long, low long"
+STATE = "row long, codes binary, part int, entry int, high array<long>, low array<long>"
 
 
 def packed(values: np.ndarray) -> pa.Array:
@@ -80,9 +80,9 @@ def packed(values: np.ndarray) -> pa.Array:
 
 
 def reassign(vectors: DataFrame, before: DataFrame | None, books: Codebooks, buckets: int) -> DataFrame:
-    """The written state of a round: rows (row, codes), and rows (part, entry, position, high, low) of
-    what the changed parts of a task's vectors add to sums, less what they take away; at position -1
-    of their counts. A sum is high * 2**32 + low, so none can overflow."""
+    """The written state of a round: rows (row, codes), and rows (part, entry, high, low) of what the
+    changed parts of a task's vectors add to an entry's sums, less what they take away; the last of
+    the sums is the count. A sum is high * 2**32 + low, so none can overflow."""
     parts, width, entries, fresh = len(books.books), len(books.books[0][0]), max(map(len, books.books)), before is None
     joined = vectors.select("row", "x", F.lit(None).cast("binary").alias("codes")) if before is None else vectors.select("row", "x").join(before, "row")
 
@@ -104,12 +104,12 @@ def reassign(vectors: DataFrame, before: DataFrame | None, books: Codebooks, buc
                             np.add.at(high[p], to[moved, p], sign * (v >> 32))
                             np.add.at(low[p], to[moved, p], sign * (v & LOW))
                 last = rows[-1].as_py()
-                yield pa.RecordBatch.from_arrays([rows, packed(codes), *[pa.nulls(len(rows), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]], NAMES)
-        p, e, w = np.nonzero((high != 0) | (low != 0))
+                sums = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, packed(codes), *[pa.nulls(len(rows), t) for t in (pa.int32(), pa.int32(), sums, sums)]], NAMES)
+        p, e = np.nonzero(((high != 0) | (low != 0)).any(axis=2))
         if len(p):
             # The row number is one of this task's, so that the sums go to a bucket it writes anyway.
-            where = np.where(w == width, -1, w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), last, np.int64)), pa.nulls(len(p), pa.binary()), *(pa.array(a.astype(np.int32)) for a in (p, e, where)), pa.array(high[p, e, w]), pa.array(low[p, e, w])], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), last, np.int64)), pa.nulls(len(p), pa.binary()), *(pa.array(a.astype(np.int32)) for a in (p, e)), *(pa.array(list(a[p, e])) for a in (high, low))], NAMES)
 
     return bucketed(joined.mapInArrow(run, STATE), "row", buckets, "codes")
 
@@ -126,11 +126,14 @@ def train(vectors: DataFrame, books: Codebooks, rounds: int = ROUNDS) -> Codeboo
     for _ in range(rounds):
         state = reassign(vectors, before, books, buckets)
         before = state.where("codes is not null").select("row", "codes")
-        deltas = state.where("codes is null").groupBy("part", "entry", "position").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect()
+        width = len(books.books[0][0]) + 1
+        added = [F.sum(F.get(side, F.lit(w))) for side in ("high", "low") for w in range(width)]
+        deltas = state.where("codes is null").groupBy("part", "entry").agg(*added).collect()
         if not deltas:
             break  # nothing moved, and nothing will
-        for d in deltas:
-            sums[d["part"]][d["entry"]][d["position"]] += (d["high"] << 32) + d["low"]
+        for part, entry, *d in deltas:
+            own = sums[part][entry]
+            sums[part][entry] = [s + (high << 32) + low for s, high, low in zip(own, d[:width], d[width:], strict=True)]
         books = Codebooks([[[v // s[-1] for v in s[:-1]] if s[-1] else e for e, s in zip(b, own, strict=True)] for b, own in zip(books.books, sums, strict=True)])
     return books
 
