@@ -8,7 +8,8 @@ over sample positions and works on every frame at once, so numpy does the bit wo
 Defined cases: a null text is an empty one; an empty payload still yields one padded block;
 corrupt frames raise FlacError; equal payloads give equal streams, so repeated rows are equal; very
 long texts are stored whole, in pieces of bounded size; an empty table gives no rows; other columns
-are ignored, whatever their names. The query reads back what it has encoded without storing it.
+are ignored, whatever their names. The query writes the media column to the shared folder, reads it
+back and describes the PCM blocks that it decodes to.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm.common import text_bytes
+from lexmill.session import stash
 
 BLOCK, BITS, RATE = 576, 8, 8000
 ESCAPE_K, ORDERS = 15, 5
@@ -555,6 +557,13 @@ def _slices(batch: pa.RecordBatch, limit: int = FRAMES_AT_ONCE * BLOCK):
         at = end
 
 
+def blocks_of(pcm: bytes, per_row: int) -> tuple[list[int], list[bytes]]:
+    """First samples of the PCM blocks of `per_row` frames each, and the blocks."""
+    step = per_row * BLOCK
+    at = list(range(0, len(pcm), step))
+    return at, [pcm[a : a + step] for a in at]
+
+
 def pcm_blocks(media: DataFrame, key: str = "doc_id", per_row: int = SEEK_EVERY) -> DataFrame:
     """Rows (key, first_sample, samples, pcm): decoded blocks with seekable sample offsets."""
     schema = media.select(key).schema.add("first_sample", "long").add("samples", "long").add("pcm", "binary")
@@ -562,16 +571,27 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", per_row: int = SEEK_EVERY)
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                pcm = decode([batch.column(1)[row].as_py()])[0]
-                step = per_row * BLOCK
-                at = list(range(0, len(pcm), step))
+                at, parts = blocks_of(decode([batch.column(1)[row].as_py()])[0], per_row)
                 own = batch.column(0).take(pa.array([row] * len(at)))
-                parts = [pcm[a : a + step] for a in at]
                 yield pa.RecordBatch.from_arrays([own, pa.array(at, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())], [key, "first_sample", "samples", "pcm"])
 
     return media.select(key, "media").mapInArrow(run, schema)
 
 
+def write_pcm_blocks(media: DataFrame, path: str, key: str = "doc_id", per_row: int = SEEK_EVERY) -> DataFrame:
+    """Write the PCM blocks of a media column as Parquet, and read them back: a sample is found by a
+    filter on key and first_sample, which is pushed to the files."""
+    pcm_blocks(media, key, per_row).write.options(compression="zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
+def samples_at(blocks: DataFrame, key: str, value, first: int, count: int) -> bytes:
+    """`count` samples of one stream from `first` on, out of the written blocks that hold them."""
+    near = (F.col("first_sample") < first + count) & (F.col("first_sample") + F.col("samples") > first)
+    held = sorted((r["first_sample"], bytes(r["pcm"])) for r in blocks.where((F.col(key) == value) & near).distinct().collect())
+    return b"".join(pcm for _, pcm in held)[first - held[0][0] :][:count] if held else b""
+
+
 def seek(data: bytes, sample: int) -> tuple[int, bytes]:
     """First sample and PCM of the block that holds `sample`, through the seek table."""
     s = parse(data)
@@ -589,11 +609,12 @@ def seek(data: bytes, sample: int) -> tuple[int, bytes]:
     return number * s.block, got[0].astype(np.int8).tobytes()
 
 
-DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, last_block_at long"
 
 
 def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Decode each stream and describe what was read back."""
+    """Decode each stream to PCM blocks and describe what was read back: the payload that the blocks
+    join to, the stored form, features, the number of blocks and the last one's sample offset."""
     names = [key, *(x.split()[0] for x in DIGESTS.split(", "))]
     schema = media.select(key).schema
     for x in DIGESTS.split(", "):
@@ -608,7 +629,8 @@ def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 while end < len(streams) and (end == at or held + len(streams[end]) < FRAMES_AT_ONCE * BLOCK // 2):
                     held += len(streams[end])
                     end += 1
-                own = [payload(p) for p in decode(streams[at:end])]
+                blocks = [blocks_of(p, SEEK_EVERY) for p in decode(streams[at:end])]
+                own = [payload(b"".join(parts)) for _, parts in blocks]
                 columns = [
                     batch.column(0).slice(at, end - at),
                     batch.column(1).slice(at, end - at),
@@ -618,6 +640,8 @@ def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
                     pa.array([len(x) for x in streams[at:end]], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in streams[at:end]]),
                     pa.array([feature(p) for p in own]),
+                    pa.array([len(offsets) for offsets, _ in blocks], pa.int64()),
+                    pa.array([offsets[-1] for offsets, _ in blocks], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at = end
@@ -625,5 +649,9 @@ def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
     return media.select(key, "n_bytes", "media").mapInArrow(run, schema)
 
 
+#: Rice codes of text still have patterns, which a slower setting of the files' codec finds.
+STORED = {"parquet.compression.codec.zstd.level": "9"}
+
+
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return digests(store(docs))
+    return digests(stash(store(docs), "media", **STORED))

@@ -9,24 +9,23 @@ language label is null are never learned from; with no labelled row at all every
 long texts count whole; an empty table gives no rows; other columns pass through, and those of the
 names that are added are replaced.
 
-Bounds of what is learnt, all parameters: `DOCS_PER_LANG` labelled rows of a language (about, by a
-hash of the text; the others say no more than these of how often words occur), `WORDS` words and
-`GRAMS` n-grams of a length for each language (rarer ones back off). Every language with a label is
-learnt: a model of more than `MOST_LANGS` languages is refused, not cut.
+What is learnt is bounded by one parameter: about `DOCS_PER_LANG` distinct labelled texts of a
+language (all of them where there are no more, else by a hash of the text; copies of a text that is
+taken all count). All words and n-grams of these are kept. Every language with a label is learnt: a model of
+more than `MOST_LANGS` languages is refused, not cut.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm.common import Words, codes_of, letters, pieces, rolling, span_hashes
+from lexmill.session import free
 
 UNKNOWN = "und"
-DOCS_PER_LANG, WORDS, GRAMS, MOST_LANGS = 4000, 30_000, 20_000, 1000
+DOCS_PER_LANG, MOST_LANGS = 4000, 1000
 LEAST = 0.5  # score from which on the pipeline keeps a document
 MARK = 0x2581  # begins and ends a word in n-grams
 
@@ -74,32 +73,23 @@ def grams_of(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: i
 
 
 class Model:
-    """Bounded tables: the words given, and at most `grams` n-grams of a length for each language, the
-    most frequent ones (rarer ones back off to shorter ones, as unknown ones do)."""
+    """Tables of words by language and count, and of their n-grams."""
 
     LONGEST = 5
 
-    def __init__(self, counts: dict[str, dict[str, int]], grams: int = GRAMS) -> None:
-        self.langs = sorted(counts)
-        n = len(self.langs)
-        words = [w for x in self.langs for w in counts[x]]
-        langs = np.repeat(np.arange(n), [len(counts[x]) for x in self.langs]).astype(np.int64)
-        times = np.array([k for x in self.langs for k in counts[x].values()], np.float64)
+    def __init__(self, langs: list[str], words: list[str], of: np.ndarray, times: np.ndarray) -> None:
+        """Word i occurs times[i] times in texts of langs[of[i]]; langs are sorted."""
+        self.langs, n = langs, len(langs)
         codes, bounds = codes_of(words)
         starts, lengths = bounds[:-1], np.diff(bounds) - 1
-        self.words = Table(span_hashes(codes, starts, starts + lengths), langs, times, n)
+        self.words = Table(span_hashes(codes, starts, starts + lengths), of, times, n)
         self.grams = {}
         for size in range(1, self.LONGEST + 1):
             hashes, word = grams_of(codes, starts, lengths, size)
-            parts = []
-            for i in range(n):
-                own = langs[word] == i
-                found, at = np.unique(hashes[own], return_inverse=True)
-                total = np.bincount(at, times[word[own]], len(found))
-                kept = np.lexsort((found, -total))[:grams]
-                parts.append((found[kept], np.full(len(kept), i), total[kept]))
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)]
-            self.grams[size] = Table(*columns, n)
+            found, at = np.unique(hashes, return_inverse=True)
+            cells, cell = np.unique(at * max(1, n) + of[word], return_inverse=True)
+            total = np.bincount(cell, times[word], len(cells))
+            self.grams[size] = Table(found[cells // max(1, n)], cells % max(1, n), total, n)
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of word scores by text and language, and the number of words of each text."""
@@ -134,37 +124,36 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, words: int = WORDS, most_langs: int = MOST_LANGS) -> Model:
-    """Learn from at most about `docs_per_lang` labelled rows of each language, chosen by a hash
-    of the text; counts are aggregated on executors and only bounded tables come to the driver."""
-    labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, most_langs: int = MOST_LANGS) -> Model:
+    """Learn from about `docs_per_lang` distinct labelled texts of each language, chosen by a hash of
+    the text, all of them where there are no more; words are counted on executors, and what comes to
+    the driver is the words of that sample."""
+    labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h"))
+    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(most_langs + 1).collect()}
     if len(sizes) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
     if not sizes:
-        return Model({})
-    share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, docs_per_lang / n))])[F.col("l")]
-    sampled = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000)
-    tokens = sampled.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    counted = tokens.groupBy("l", "w").agg(F.count("*").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= words)
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    found = top.select("l", "w", "n").toArrow()  # at most `words` rows a language
-    for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("l", "w", "n")), strict=True):
-        counts[lang][word] = n
-    return Model(dict(counts))
+        return Model([], [], np.zeros(0, np.int64), np.zeros(0))
+    share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, docs_per_lang / max(1, n)))])[F.col("l")]
+    sampled = labelled.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).groupBy("l", "h").agg(F.min("t").alias("t"), F.count("*").alias("copies"))
+    tokens = sampled.select("l", "copies", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    found = tokens.groupBy("l", "w").agg(F.sum("copies").alias("n")).toArrow()
+    langs = sorted(sizes)
+    of = np.searchsorted(np.array(langs), np.array(found.column("l").to_pylist(), dtype=str)) if found.num_rows else np.zeros(0, np.int64)
+    return Model(langs, found.column("w").to_pylist(), of, found.column("n").to_numpy().astype(np.float64))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs' `keep` columns (all by default) with a predicted language and a score in [0, 1]."""
     keep = docs.columns if keep is None else keep
     taken = [c for c in keep if c not in (pred, score)]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s parameters
-    given = docs.select(*[F.col(c) for c in taken], F.col(text).alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words of a sample bounded by fit()'s parameters
+    (given_text,) = free(docs, "text")
+    given = docs.select(*taken, F.col(text).alias(given_text))
     names = [*taken, pred, score]
 
     def run(batches):
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, given_text):
             langs, scores = shared.value.predict([x or "" for x in batch.columns[-1].to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names)
 
@@ -186,6 +175,7 @@ def filter_languages(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Pipeline stage: drop documents without an identifiable language (`und` or a score under
     `least`); the columns of docs are returned unchanged."""
     model = fit(docs.where(~is_held_out(F.col("doc_id"))))
-    scored = predict(docs, model, pred="__lang_pred", score="__lang_score")
-    kept = scored.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least))
+    pred, score = free(docs, "pred", "score")
+    scored = predict(docs, model, pred=pred, score=score)
+    kept = scored.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least))
     return kept.select(*docs.columns)

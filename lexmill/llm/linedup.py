@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexmill.session import stash
+from lexmill.session import free, stash
 
 MIN_SITES = 8
 #: log2 of the sketch's registers, and the relative error band treated as near.
@@ -55,18 +55,18 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     tasks; the set of lines itself is joined by hash and may be of any size.
     """
     keys = stash(boilerplate(docs, text, site, min_sites), "boilerplate")
-    id_ = "__lm_row"
+    id_, cut, left, key = free(docs, "row", "cut", "kept", "key")
     fingerprint = F.struct(*[F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c != text], F.col(text)).alias(f"f{seed}") for seed in (1, 2)])
     keyed = docs.withColumn(id_, fingerprint)  # equal rows share a key: their lines are equal too
-    at = keyed.select(id_, F.posexplode(F.transform(_lines(F.col(text)), _key)).alias("pos", "key")).where("key is not null")
-    hits = at.join(keys, "key", "left_semi").groupBy(id_).agg(F.collect_set("pos").alias("__lm_cut"))
+    at = keyed.select(id_, F.posexplode(F.transform(_lines(F.col(text)), _key)).alias("pos", key)).where(F.col(key).isNotNull())
+    hits = at.join(keys.withColumnRenamed("key", key), key, "left_semi").groupBy(id_).agg(F.collect_set("pos").alias(cut))
     joined = keyed.join(hits, id_, "left")
     lines = _lines(F.col(text))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__lm_cut"), i)), "\n")
-    out = joined.withColumn("__lm_kept", F.when(F.col("__lm_cut").isNull(), F.col(text)).otherwise(kept))
-    columns = [F.col("__lm_kept").alias(c) if c == text else F.col(c) for c in docs.columns]
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(cut), i)), "\n")
+    out = joined.withColumn(left, F.when(F.col(cut).isNull(), F.col(text)).otherwise(kept))
+    columns = [F.col(left).alias(c) if c == text else F.col(c) for c in docs.columns]
     if counts:
-        columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__lm_cut"), F.lit(0)).cast("long").alias("n_removed")]
+        columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed")]
     return out.select(*columns)
 
 

@@ -11,7 +11,7 @@ Defined cases: null source or language is the value ''; a null or empty text has
 cell without tokens is always included (it costs nothing); values a given target leaves out share
 what it leaves over in proportion to their tokens; a cell that lacks the tokens its weight asks
 for is taken whole and the others make up for it; equal rows share one fate; empty tables give
-no rows; columns of any name pass through unchanged. Marginals that the cells can't meet together
+no rows; columns of any name pass through unchanged (but one of the name given to the result). Marginals that the cells can't meet together
 end as close as `ROUNDS` rounds bring them, with a warning; if a given target is missed by more than
 `MISS`, that is an error.
 """
@@ -24,7 +24,7 @@ import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexmill.session import stash
+from lexmill.session import free, stash
 
 #: Topics by the first pattern found in the text; texts without any are prose.
 TOPICS = {
@@ -49,14 +49,15 @@ def topic_of(text: Column, topics: Mapping[str, str] = TOPICS) -> Column:
     return F.coalesce(chain.otherwise("prose"), F.lit("prose"))
 
 
-def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, topics: Mapping[str, str] = TOPICS, seed: int = SEED) -> DataFrame:
-    """docs with a struct __mix(source, lang, topic, n_tokens, chance): the cell and size of each row,
-    and a number from 0 to 1 that is a hash of the whole row."""
+def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, topics: Mapping[str, str] = TOPICS, seed: int = SEED, name: str = "__mix") -> DataFrame:
+    """docs with a struct `name` (source, lang, topic, n_tokens, chance): the cell and size of each row,
+    and a number from 0 to 1 that is a hash of the whole row. A column of that name is replaced."""
+    docs = docs.drop(name)
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     fate = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c != text], F.col(text))
     chance = F.shiftrightunsigned(fate, 11) / F.lit(float(1 << 53))
     of = value(topic) if topic else topic_of(F.col(text), topics)
-    return docs.withColumn("__mix", F.struct(value(source).alias("source"), value(lang).alias("lang"), of.alias("topic"), n_tokens(F.col(text)).alias("n_tokens"), chance.alias("chance")))
+    return docs.withColumn(name, F.struct(value(source).alias("source"), value(lang).alias("lang"), of.alias("topic"), n_tokens(F.col(text)).alias("n_tokens"), chance.alias("chance")))
 
 
 def _with_targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None, temper: float) -> DataFrame:
@@ -111,9 +112,9 @@ def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
     return raked.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("weight") * factor / F.col("tokens"))))
 
 
-def weigh(described: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, temper: float = TEMPER) -> DataFrame:
-    """Described rows with the struct __mix(source, lang, topic, n_tokens, weight, probability, sampled)."""
-    cells = described.groupBy(*[F.col(f"__mix.{d}").alias(d) for d in DIMS]).agg(F.sum("__mix.n_tokens").alias("tokens"))
+def weigh(described: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, temper: float = TEMPER, name: str = "__mix") -> DataFrame:
+    """Described rows with the struct `name` (source, lang, topic, n_tokens, weight, probability, sampled)."""
+    cells = described.groupBy(*[F.col(f"{name}.{d}").alias(d) for d in DIMS]).agg(F.sum(f"{name}.n_tokens").alias("tokens"))
     cells, targets = stash(cells, "cells"), targets or {}
     for dim in DIMS:
         cells = _with_targets(cells, dim, targets.get(dim), temper)
@@ -123,22 +124,24 @@ def weigh(described: DataFrame, targets: Mapping[str, Mapping[str, float]] | Non
     if max(gaps.values(), default=0.0) >= CLOSE:
         warnings.warn(f"marginals are off by up to {gaps}", stacklevel=2)
     fitted = stash(calibrate(raked, rate), "fitted")
-    fitted = fitted.select(F.struct(*DIMS).alias("__cell"), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).alias("__w"), F.col("probability").alias("__p"))
+    cell, each, chance = free(described, "cell", "weight", "probability")
+    fitted = fitted.select(F.struct(*DIMS).alias(cell), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).alias(each), F.col("probability").alias(chance))
     # Spark broadcasts the cells only if their written size is under its threshold.
-    joined = described.withColumn("__cell", F.struct(*[F.col(f"__mix.{d}").alias(d) for d in DIMS])).join(fitted, "__cell")
-    known = [F.col(f"__mix.{c}").alias(c) for c in (*DIMS, "n_tokens")]
-    result = F.struct(*known, F.col("__w").alias("weight"), F.col("__p").alias("probability"), (F.col("__mix.chance") < F.col("__p")).alias("sampled"))
-    return joined.select(*[F.col(c) for c in described.columns if c != "__mix"], result.alias("__mix"))
+    joined = described.withColumn(cell, F.struct(*[F.col(f"{name}.{d}").alias(d) for d in DIMS])).join(fitted, cell)
+    known = [F.col(f"{name}.{c}").alias(c) for c in (*DIMS, "n_tokens")]
+    result = F.struct(*known, F.col(each).alias("weight"), F.col(chance).alias("probability"), (F.col(f"{name}.chance") < F.col(chance)).alias("sampled"))
+    return joined.select(*[F.col(c) for c in described.columns if c != name], result.alias(name))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, temper: float = TEMPER, topics: Mapping[str, str] = TOPICS, seed: int = SEED) -> DataFrame:
-    """docs with a struct __mix(source, lang, topic, n_tokens, weight, probability, sampled)."""
-    return weigh(stash(describe(docs, text, source, lang, topic, topics, seed), "described"), targets, rate, temper)
+def mix(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, temper: float = TEMPER, topics: Mapping[str, str] = TOPICS, seed: int = SEED, name: str = "__mix") -> DataFrame:
+    """docs with a struct `name` (source, lang, topic, n_tokens, weight, probability, sampled)."""
+    return weigh(stash(describe(docs, text, source, lang, topic, topics, seed, name), "described"), targets, rate, temper, name)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage: the sampled documents, with the columns of docs."""
-    return mix(docs, **options).where("__mix.sampled").select(*docs.columns)
+    (name,) = free(docs, "mix")
+    return mix(docs, **options, name=name).where(F.col(f"{name}.sampled")).select(*docs.columns)
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:

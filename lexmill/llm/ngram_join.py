@@ -6,7 +6,8 @@ join starts at whole keys and shortens the matched prefix by a byte at a time. A
 document first joins a leader under a common trie node, which gathers large groups of near copies at
 a cost in proportion to them; then the pairs still open (of different classes under one trie node)
 are compared by their signatures, in blocks. What is found tells how many near pairs share only
-shorter prefixes, and prefixes are shortened until this measured recall reaches the target. Inside
+shorter prefixes, and prefixes are shortened until this measured recall reaches the target; where
+too few are found to measure it, until the recall expected of pairs at the threshold does. Inside
 the classes of candidates all pairs are then verified on their whole n-gram sets, in blocks that
 pass on sums and as few links as join a class, never pairs. The result is one row per document with
 its class, the connected component of verified links, and its number of links.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm.common import Bloom, Words, buckets, mix, pieces, rolling, text_bytes, window_hashes
-from lexmill.session import stash
+from lexmill.session import free, stash
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, LEVELS = 20, 8
@@ -160,14 +161,16 @@ def least_equal(threshold: float) -> float:
     return width * threshold - MARGIN * (width * threshold * (1 - threshold)) ** 0.5
 
 
-def measured(pairs: dict[int, float], depth: int, threshold: float = THRESHOLD) -> float:
+def measured(pairs: dict[int, float], depth: int, threshold: float = THRESHOLD, recall: float = RECALL) -> float:
     """Recall down to a depth, of the pairs hardest to find: those at most BAND above the threshold.
     `pairs` has the number found by equal signature bytes; as each is found with the probability
-    expected_recall(), it stands for so many that share only shorter prefixes."""
+    expected_recall(), it stands for so many that share only shorter prefixes. Fewer pairs than
+    1 / (1 - recall) are no evidence: then recall is that expected of pairs at the threshold, as it
+    is for a depth that expects more of them than was measured."""
     width = TREES * LEVELS
     band = [(n, expected_recall(depth, equal / width)) for equal, n in pairs.items() if threshold <= equal / width <= threshold + BAND]
-    found = sum(n for n, _ in band)
-    return found / sum(n / p for n, p in band) if found else 1.0
+    found, least = sum(n for n, _ in band), expected_recall(depth, threshold)
+    return max(least, found / sum(n / p for n, p in band)) if found * (1 - recall) >= 1 else least
 
 
 def _grouped(nodes: DataFrame, depth: int) -> DataFrame:
@@ -197,14 +200,18 @@ def leaders(nodes: DataFrame, depth: int = LEVELS, threshold: float = THRESHOLD)
     return pairs.mapInArrow(run, "u long, v long, equal long, pairs double")
 
 
-def _dealt(rows: DataFrame, groups: DataFrame, by: str, *columns: str) -> DataFrame:
+def _dealt(rows: DataFrame, groups: DataFrame, by: str, *columns: str, star: bool = False) -> DataFrame:
     """rows(by, id, class, ...) in pairs (i, j) of blocks of each of groups(by, major, small, large):
     the members of class `major` fall into `large` blocks, all others into `small` ones, and all
-    blocks meet but two of the major class. Each row goes once to every pair with its block (own)."""
+    blocks meet but two of the major class. Each row goes once to every pair with its block (own).
+    With star, blocks meet themselves and the first one alone: pairs in proportion to blocks."""
     held = rows.join(groups, by).withColumn("inner", F.coalesce(F.col("class") == F.col("major"), F.lit(False)))
     own = F.when(F.col("inner"), F.col("small") + F.pmod(F.xxhash64("id"), F.col("large"))).otherwise(F.pmod(F.xxhash64("id"), F.col("small"))).cast("int")
-    last = F.when(F.col("inner"), F.col("small")).otherwise(F.col("small") + F.col("large")) - 1
-    held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    last = (F.when(F.col("inner"), F.col("small")).otherwise(F.col("small") + F.col("large")) - 1).cast("int")
+    others = F.sequence(F.lit(0), last)
+    if star:
+        others = F.when(F.col("own") == 0, others).otherwise(F.array_distinct(F.array(F.lit(0), F.col("own"))))
+    held = held.withColumn("own", own).withColumn("other", F.explode(others))
     return held.select(by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
 
 
@@ -303,11 +310,19 @@ def within(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     their sets, in pairs of blocks bounded by members and n-grams. A pair of blocks passes on a row
     (u, null, links) a member, links being the rows of others at or above the threshold, and as few
     verified links (u, v, 0) as join all that are joined: rows in proportion, not pairs."""
-    total = members.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
-    blocks = total.select("class", F.lit(None).cast("long").alias("major"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / GRAMS)).alias("small"), F.lit(0).alias("large"))
     held = members.join(sets, "id").withColumnRenamed("class", "of").withColumn("class", F.lit(0))
-    dealt = _dealt(held, blocks.withColumnRenamed("class", "of"), "of", "size", "id", "copies", "grams")
-    dealt = dealt.repartition(buckets(members.sparkSession), "of", "i", "j").sortWithinPartitions("of", "i", "j", "own", "size")
+    return _verified(held, _blocks(members), threshold)
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    total = members.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
+    return total.select(F.col("class").alias("of"), F.lit(None).cast("long").alias("major"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / GRAMS)).alias("small"), F.lit(0).alias("large"))
+
+
+def _verified(held: DataFrame, blocks: DataFrame, threshold: float, star: bool = False) -> DataFrame:
+    """(u, v, links), as of within, of held(of, class, id, size, copies, grams) in pairs of blocks."""
+    dealt = _dealt(held, blocks, "of", "size", "id", "copies", "grams", star=star)
+    dealt = dealt.repartition(buckets(held.sparkSession), "of", "i", "j").sortWithinPartitions("of", "i", "j", "own", "size")
 
     def run(batches):
         for key, (own, _, ids, copies), grams in _by_block(batches, 4):
@@ -324,6 +339,24 @@ def within(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return dealt.mapInArrow(run, "u long, v long, links long")
 
 
+def joining(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links (u, v) that join all members of a class that verified links join, without
+    comparing all pairs: blocks are compared with themselves and with one block of their class, and
+    then what that leaves outside the largest component of a class with everything else in it. A
+    class of near copies, all like one another, costs in proportion to its members."""
+    sets = stash(sets, "sets")
+    held = members.join(sets, "id").withColumnRenamed("class", "of").withColumn("class", F.lit(0))
+    first = stash(_verified(held, _blocks(members), threshold, star=True).where("v is not null").select("u", "v"), "joins")
+    classes = components(first).withColumnRenamed("class", "part")
+    parted = stash(members.join(classes, "id", "left").withColumn("part", F.coalesce("part", "id")), "parted")
+    parts = parted.groupBy("class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    total = parts.groupBy("class").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.max(F.struct("n", "part", "all")).alias("most"), F.sum("n").alias("n"), F.sum("all").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    size = lambda n, grams: F.ceil(F.greatest(n / BLOCK, grams / GRAMS))
+    blocks = total.select(F.col("class").alias("of"), "major", size(F.col("n") - F.col("most.n"), F.col("all") - F.col("most.all")).alias("small"), size(F.col("most.n"), F.col("most.all")).alias("large"))
+    rest = parted.join(sets, "id").withColumnsRenamed({"class": "of", "part": "class"})
+    return first.union(_verified(rest, blocks, threshold).where("v is not null").select("u", "v"))
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text, p, q): p and q are 128 bits of key and text."""
     id, told = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
@@ -347,15 +380,16 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
             pairs.update({equal: r["pairs"] for equal, r in counts.items() if equal is not None})
             if any(r["links"] for r in counts.values()):
                 typed = stash(merged(typed, links.where("u is not null").select("u", "v")), "typed")
-        told.append((depth, measured(pairs, depth, threshold)))
+        told.append((depth, measured(pairs, depth, threshold, recall)))
         if told[-1][1] >= recall:
             return typed, told
     raise RuntimeError(f"recall {told[-1][1]:.4f} at the shortest prefix is short of {recall}")
 
 
-def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True) -> tuple[DataFrame, DataFrame]:
     """Signatures of the rows of docs, and the nodes (id, a, b, size, copies, first, class, links):
-    each distinct set, with its least row, its class, and the rows of other sets linked to it."""
+    each distinct set, with its least row, its class, and the rows of other sets linked to it. Without
+    count, links are null and only as many pairs are compared as it takes to tell the classes."""
     rows = _rows(docs, key, text)
     signed = stash(signatures(rows, n), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "p", "q")).alias("first")
@@ -365,7 +399,12 @@ def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     several = typed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
     members = typed.select("id", "class").join(several, "class").join(groups.select("id", "size", "copies", F.col("first.p").alias("p"), "a", "b"), "id")
     members = stash(members, "members")
-    exact = stash(within(members.select("id", "class", "size", "copies"), sets_of(rows, members, n), threshold), "links")
+    told, sets = members.select("id", "class", "size", "copies"), sets_of(rows, members, n)
+    if not count:
+        classes = components(stash(joining(told, sets, threshold), "links"))
+        nodes = groups.drop("keys").join(classes, "id", "left").withColumns({"class": F.coalesce("class", "id"), "links": F.lit(None).cast("long")})
+        return signed, stash(nodes, "nodes")
+    exact = stash(within(told, sets, threshold), "links")
     links = exact.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "id")
     classes = components(exact.where("v is not null").select("u", "v"))
     nodes = groups.drop("keys").join(classes, "id", "left").join(links, "id", "left")
@@ -386,13 +425,13 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Pipeline stage: the row of least key (rows without one last) of each class, with the columns
     of docs. A row is dropped only if a kept row is in its class; rows without n-grams all stay."""
-    _, nodes = classified(docs, key, text, **options)
-    kept = nodes.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.p").alias("__p"), F.col("first.q").alias("__q"))
+    _, nodes = classified(docs, key, text, **options, count=False)
+    p, q = free(docs, "p", "q")
+    kept = nodes.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.p").alias(p), F.col("first.q").alias(q))
     told = F.coalesce(F.col(text), F.lit(""))
-    p, q = _picks(F.col(key).cast("long"), told)
-    marked = docs.withColumns({"__p": p, "__q": q})
+    marked = docs.withColumns(dict(zip((p, q), _picks(F.col(key).cast("long"), told), strict=True)))
     some = told.rlike(r"[^\x20\x09-\x0D]")
-    one = marked.where(some).join(kept, ["__p", "__q"], "left_semi").dropDuplicates(["__p", "__q"])
+    one = marked.where(some).join(kept, [p, q], "left_semi").dropDuplicates([p, q])
     return one.unionByName(marked.where(~some)).select(*docs.columns)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm.common import Bloom, Words, codes_of, letters, pieces, span_hashes
-from lexmill.session import stash
+from lexmill.session import free, stash
 
 KINDS = ("email", "ip", "card", "phone")
 SHORTEST, SUPPORT = 3, 2
@@ -86,6 +86,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -120,10 +124,11 @@ NEAR = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64(
 
 def detect_base(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, base, entities, terms): terms are the distinct
-    words of texts with an entity. Given `terms`, in place of the last two text_sha and candidates:
-    where a text has a word of them (or one that a Bloom filter of fixed size lets through)."""
-    ours = "text_sha string, candidates array<struct<term:long,start:long,end:long>>" if terms is not None else "entities array<long>, terms array<long>"
-    names = [key, *(f"n_{k}" for k in KINDS), "base_sha256", "base", *(("entities", "terms") if terms is None else ("text_sha", "candidates"))]
+    words of texts with an entity. Given `terms`, in place of the last two text_sha, candidates and the
+    text itself where a text has a word of them (or one that a Bloom filter of fixed size lets through),
+    and sanitised_sha256, the digest of the sanitised text, where it has none."""
+    ours = "text_sha string, candidates array<struct<term:long,start:long,end:long>>, held string, sanitised_sha256 string" if terms is not None else "entities array<long>, terms array<long>"
+    names = [key, *(f"n_{k}" for k in KINDS), "base_sha256", "base", *(("entities", "terms") if terms is None else ("text_sha", "candidates", "held", "sanitised_sha256"))]
     held = None if terms is None else docs.sparkSession.sparkContext.broadcast(Bloom.build(terms, "term"))
 
     def listed(count: int, doc: np.ndarray, values: pa.Array) -> pa.Array:
@@ -146,7 +151,9 @@ def detect_base(docs: DataFrame, key: str = "doc_id", text: str = "text", terms:
                 found, doc, starts, ends = (x[some] for x in every)
                 near = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (found, starts, ends)], fields=list(NEAR))
                 hit = set(doc.tolist())
-                columns += [pa.array([hashlib.sha256(t.encode()).hexdigest() if i in hit else None for i, t in enumerate(texts)], pa.string()), listed(len(texts), doc, near)]
+                columns += [pa.array([digest(t) if i in hit else None for i, t in enumerate(texts)], pa.string()), listed(len(texts), doc, near)]
+                columns += [pa.array([t if i in hit else None for i, t in enumerate(texts)], pa.string())]
+                columns += [pa.array([None if i in hit else digest(rewrite(t, [], x)) for i, (t, x) in enumerate(zip(texts, spans, strict=True))], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     kept = docs.select(key, text)
@@ -259,16 +266,28 @@ def disclosing(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return base, term_spans(base, found)
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Base columns of each row with `spans`: base spans, then the method's (kind term)."""
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = REMOVE) -> DataFrame:
+    """Base columns of each row with `spans`: base spans, then the method's (kind term); the number of
+    terms, of those removed (the others are generalised), and the digest of the sanitised text."""
     base, extra = disclosing(docs, key, text)
     shown = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t.start, F.lit(":"), t.end)), ",")
-    spans = F.concat_ws(",", F.nullif("base", F.lit("")), shown)
-    # Most rows have no term and so no key: they stay out of the join, which would deal them as one.
-    base = base.drop("candidates")
-    found = base.where("text_sha is not null").join(extra, "text_sha", "left")
+    columns = [key, *(f"n_{k}" for k in KINDS), "base_sha256", F.concat_ws(",", F.nullif("base", F.lit("")), shown).alias("spans")]
+    # Most rows have no candidate and so no key: they stay out of the join, which would deal them as one.
     bare = base.where("text_sha is null").withColumn("terms", F.lit(None).cast(extra.schema["terms"].dataType))
-    return found.unionByName(bare).select(key, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("__n")).withColumn("n_term", F.greatest("__n", F.lit(0).cast("long"))).drop("__n")
+    bare = bare.select(*columns, F.lit(0).cast("long").alias("n_term"), F.lit(0).cast("long").alias("n_removed"), "sanitised_sha256")
+    found = base.where("text_sha is not null").join(extra, "text_sha", "left").select(*columns, "held", "terms")
+    names = bare.columns
+
+    def run(batches):
+        for batch in pieces(batches, "held"):
+            told = []
+            for t, terms in zip(batch.column(len(names) - 3).to_pylist(), batch.column(len(names) - 2).to_pylist(), strict=True):
+                terms = [(x["start"], x["end"], x["disclosure"]) for x in terms or []]
+                told.append((len(terms), sum(d >= remove for *_, d in terms), digest(rewrite(t, terms, remove=remove))))
+            n, removed, sha = zip(*told, strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 3], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], names)
+
+    return found.mapInArrow(run, bare.schema).unionByName(bare)
 
 
 def shape(word: str) -> str:
@@ -276,9 +295,9 @@ def shape(word: str) -> str:
     return ("X" if word[:1].isupper() else "x") + ("" if len(word) < 6 else "+")
 
 
-def rewrite(text: str, terms: list[tuple[int, int, float]], remove: float = REMOVE) -> str:
+def rewrite(text: str, terms: list[tuple[int, int, float]], spans: list[tuple[str, int, int]] | None = None, remove: float = REMOVE) -> str:
     """The text with base spans replaced by their kinds, and terms removed or generalised."""
-    cuts = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
+    cuts = [(a, b, f"[{k.upper()}]") for k, a, b in (base_spans(text) if spans is None else spans)]
     cuts += [(a, b, "[…]" if d >= remove else f"[{shape(text[a:b])}]") for a, b, d in terms]
     out, at = [], 0
     for a, b, by in sorted(cuts):
@@ -291,10 +310,10 @@ def rewrite(text: str, terms: list[tuple[int, int, float]], remove: float = REMO
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `text` sanitised (null stays null)."""
-    row = docs.withColumn("__row", F.lit(0)).select("__row", text)
-    extra = disclosing(row, "__row", text)[1].withColumnsRenamed({"text_sha": "__sha", "terms": "__terms"})
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(extra, "__sha", "left")
-    given = keyed.select(*[F.col(c) for c in docs.columns], "__terms")
+    row, sha, terms_ = free(docs, "row", "sha", "terms")
+    extra = disclosing(docs.select(F.lit(0).alias(row), text), row, text)[1].withColumnsRenamed({"text_sha": sha, "terms": terms_})
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(extra, sha, "left")
+    given = keyed.select(*docs.columns, terms_)
     at = docs.columns.index(text)
 
     def run(batches):

@@ -138,6 +138,13 @@ def test_pii(spark, folder, data):
         assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
         more = [f"term:{a}:{b}" for w, a, b in own if w in telling]
         assert r["spans"] == ",".join([*([shown] if shown else []), *more])
+        assert r["n_term"] == len(more) and r["n_removed"] == sum(telling[w] >= pii.REMOVE for w, *_ in own if w in telling)
+        cuts = [(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(a, b, "[…]" if telling[w] >= pii.REMOVE else f"[{pii.shape(text[a:b])}]") for w, a, b in own if w in telling]
+        clean, at = "", 0
+        for a, b, by in sorted(cuts):
+            if b > at:
+                clean, at = clean + text[at : max(a, at)] + by, b
+        assert r["sanitised_sha256"] == hashlib.sha256((clean + text[at:]).encode()).hexdigest()
 
 
 def test_sanitised_texts(spark):
@@ -165,6 +172,8 @@ def test_media(spark, folder, data):
         assert r["tail_crc32"] == zlib.crc32(payload[-32:]) & 0xFFFFFFFF
         assert media[i][:4] == b"fLaC" and (r["media_bytes"], r["media_sha256"]) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
         assert r["feature"] == flac.feature(payload)
+        step = flac.SEEK_EVERY * flac.BLOCK
+        assert (r["n_blocks"], r["last_block_at"]) == (-(-len(payload) // step), (len(payload) - 1) // step * step)
     assert got[2004]["feature"] == got[2005]["feature"] and len({r["feature"] for r in got.values()}) > 50
 
 
