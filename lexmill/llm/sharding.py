@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.operators.numbering import numbered, running_sum
@@ -30,7 +31,7 @@ from lexmill.session import free, stash
 SHARDS = 8
 #: Groups of at least one SIZEABLE-th of an even share come first, by size.
 SIZEABLE = 16
-DOUBLINGS = 14
+DOUBLINGS = 8
 
 
 def size_of(text: Column) -> Column:
@@ -50,33 +51,29 @@ class Runs:
 
     def around(self, wanted: list[int]) -> list[tuple[int, int]]:
         """For each wanted sum (ascending), the largest bound up to it (0 if none) and the least one
-        beyond it (the total if none). The driver gets two numbers a wanted one, whatever the groups."""
+        beyond it (the total if none). A task answers those within its own range of bounds and tells
+        that range: the driver gets about a row a wanted sum and a row a task, whatever the groups."""
         at = np.array(wanted, np.int64)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            below, above = np.full(len(at), -1, np.int64), np.full(len(at), np.iinfo(np.int64).max)
-            for batch in batches:
-                bounds = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
-                if not len(bounds):
-                    continue
-                k = np.searchsorted(bounds, at, "right")
-                below = np.maximum(below, np.where(k > 0, bounds[np.maximum(k, 1) - 1], -1))
-                above = np.minimum(above, np.where(k < len(bounds), bounds[np.minimum(k, len(bounds) - 1)], above))
-            if not len(at) or below.max() < 0 and above.min() == np.iinfo(np.int64).max:
-                return  # this task had no bounds
-            # Wanted sums in a row that have the same two bounds are one row.
-            first = np.flatnonzero(np.r_[True, (below[1:] != below[:-1]) | (above[1:] != above[:-1])])
-            last = np.r_[first[1:], len(at)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.array(below[first]), pa.array(above[first])], ["first", "last", "below", "above"])
-
-        low, high = min(wanted, default=0), max(wanted, default=0)
+            bounds = np.sort(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy(zero_copy_only=False) for b in batches)]))
+            if len(bounds):
+                own = np.flatnonzero((at >= bounds[0]) & (at < bounds[-1]))
+                k = np.searchsorted(bounds, at[own], "right")
+                i = np.r_[-1 - TaskContext.get().partitionId(), own]
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.r_[bounds[-1], bounds[k - 1]]), pa.array(np.r_[bounds[0], bounds[k]])], ["i", "below", "above"])
+
         # Only bounds up to one group's size away can be answers: the others are not read.
-        near = self.bounds.where(F.col("bound").between(low - self.largest, high + self.largest)).select("bound")
-        runs = near.mapInArrow(part, "first long, last long, below long, above long")
-        each = runs.select(F.explode(F.sequence("first", "last")).alias("i"), "below", "above")
-        found = {r["i"]: (r["below"], r["above"]) for r in each.groupBy("i").agg(F.max("below").alias("below"), F.min("above").alias("above")).collect()}
-        out = [found.get(i, (-1, np.iinfo(np.int64).max)) for i in range(len(wanted))]
-        return [(max(0, int(b)), min(self.total, int(a))) for b, a in out]
+        near = self.bounds.where(F.col("bound").between(min(wanted) - self.largest, max(wanted) + self.largest)).select("bound")
+        found = near.mapInArrow(part, "i long, below long, above long").groupBy("i").agg(F.max("below").alias("below"), F.min("above").alias("above")).collect()
+        within = {r["i"]: (r["below"], r["above"]) for r in found if r["i"] >= 0}
+        lasts, firsts = np.sort([0, *(r["below"] for r in found if r["i"] < 0)]), np.sort([*(r["above"] for r in found if r["i"] < 0), self.total])
+        out = []
+        for i, t in enumerate(wanted):
+            below, above = within.get(i, (0, self.total))
+            k, j = np.searchsorted(lasts, t, "right"), np.searchsorted(firsts, t, "right")
+            out.append((max(below, int(lasts[k - 1])), min(above, int(firsts[j])) if j < len(firsts) else above))
+        return out
 
     def holds(self, capacities: list[int]) -> list[bool]:
         """Whether greedy runs of each capacity (ascending, none under the largest group) end within
