@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+import uuid
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions import text as X
@@ -29,18 +34,91 @@ def pattern(term: Column, lenient: bool = False) -> Column:
     return F.concat(F.lit("(?U)"), side(F.left(term, F.lit(1))), escape(term), side(F.right(term, F.lit(1))))
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", lenient: bool = False, most_words: int = 6) -> DataFrame:
-    """(key, en, fr): terms found in each text, one row per en.
+#: Bytes of term keys that tasks hold as one automaton; a larger glossary meets texts by joins.
+TERM_BYTES = 8 << 20
+
+
+def find_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", lenient: bool = False, most_bytes: int = TERM_BYTES) -> DataFrame:
+    """(key, en, fr): terms found in each text, one row per text and en; of entries with one en the first
+    found gives fr. A term matches on word bounds (letters, numbers and '_' are of words), as pattern().
+
+    A glossary of at most `most_bytes` is held by every task as one automaton, which reads each text
+    once whatever the number of terms, and nothing is shuffled. A larger one meets the texts by
+    equality of word runs, and the exact pattern decides. Null texts are empty; a null key counts as
+    a key; several rows of one key are one text's in the second way and texts of their own in the first."""
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term_key")), F.lit(0))).first()[0]
+    normal = texts.select(F.col(key), X.normalize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    return _by_automaton(normal, terms, key, lenient) if size <= most_bytes else _by_runs(normal, terms, key, lenient)
+
+
+def _of_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def bounded(text: str, start: int, end: int, lenient: bool = False) -> bool:
+    """Whether text[start:end] has a word bound on both sides; lenient asks for none on a side whose
+    character is not of a word."""
+    first, last = _of_word(text[start]), _of_word(text[end - 1])
+    before, after = start > 0 and _of_word(text[start - 1]), end < len(text) and _of_word(text[end])
+    return (before != first or lenient and not first) and (after != last or lenient and not last)
+
+
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
-    Texts meet terms by equality of word n-grams, not by a scan of all terms per text: a term of k
-    tokens is looked up among the text's k-token runs, then the exact pattern decides. Terms without
-    a token, or of more than most_words, take a plain pattern join against that remainder. Of entries with one en the first gives fr."""
-    tokens = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    normal = texts.select(F.col(key).alias("__k"), X.normalize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    listed = terms.select("term_key", "en", "fr", "ord", tokens(F.col("term_key")).alias("w"))
-    short = listed.where((F.size("w") > 0) & (F.size("w") <= most_words)).withColumn("gram", F.array_join("w", " "))
-    rest = listed.where((F.size("w") == 0) | (F.size("w") > most_words))
-    sizes = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())  # at most most_words values
+
+def _automaton(known: str, keys: list[str]) -> ahocorasick.Automaton:
+    """The automaton of keys, built once by each worker for a name."""
+    if known not in _AUTOMATA:
+        _AUTOMATA.clear()
+        built = ahocorasick.Automaton()
+        for i, k in enumerate(keys):
+            built.add_word(k, (i, len(k)))
+        built.make_automaton()
+        _AUTOMATA[known] = built
+    return _AUTOMATA[known]
+
+
+def _by_automaton(normal: DataFrame, terms: DataFrame, key: str, lenient: bool) -> DataFrame:
+    listed = terms.where("term_key <> ''").select("term_key", "en", "fr", "ord").collect()  # bounded by find_terms
+    shape = normal.select(key).schema.add("en", "string").add("fr", "string")
+    if not listed:
+        return normal.sparkSession.createDataFrame([], shape)
+    listed.sort(key=lambda r: (r["ord"], r["term_key"]))
+    shared = normal.sparkSession.sparkContext.broadcast([(r["term_key"], r["en"], r["fr"]) for r in listed])
+    known = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = shared.value
+        automaton = _automaton(known, [e[0] for e in entries])
+        for batch in batches:
+            rows, found = [], []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                hits = {i for end, (i, size) in automaton.iter(t) if bounded(t, end + 1 - size, end + 1, lenient)}
+                own: dict[str, str] = {}
+                for i in sorted(hits):
+                    own.setdefault(entries[i][1], entries[i][2])
+                rows += [row] * len(own)
+                found += own.items()
+            en, fr = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(en, pa.string()), pa.array(fr, pa.string())], [key, "en", "fr"])
+
+    return normal.mapInArrow(run, shape)
+
+
+#: Tokens of the longest runs that texts and terms meet by.
+RUN = 6
+
+
+def _by_runs(normal: DataFrame, terms: DataFrame, key: str, lenient: bool) -> DataFrame:
+    """Terms meet texts by their first RUN tokens, and the exact pattern decides. A term without a token
+    is one whole run of what lies between two words, as it has to begin and end at word bounds; lenient
+    asks for no bounds there, and such terms, a matter of marks and signs, go by the automaton."""
+    split = lambda c, p: F.filter(F.split(c, p), lambda w: w != "")
+    tokens = lambda c: split(c, r"[^\p{L}\p{N}_]+")
+    listed = terms.where("term_key <> ''").select("term_key", "en", "fr", "ord", F.slice(tokens(F.col("term_key")), 1, RUN).alias("w"))
+    bare = listed.where(F.size("w") == 0)
+    by_run = listed.where(F.size("w") > 0).withColumn("run", F.array_join("w", " "))
+    sizes = sorted(r[0] for r in by_run.select(F.size("w")).distinct().collect())  # at most RUN values
 
     def of_size(w: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1)))
@@ -48,15 +126,16 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
 
     runs = lambda w: F.flatten(F.array(*[of_size(w, n) for n in sizes]))
     # Bound as a variable, the tokens are made once per text and not once per run.
-    grams = F.flatten(F.transform(F.array(tokens(F.col("t"))), runs)) if sizes else F.array().cast("array<string>")
+    own = F.flatten(F.transform(F.array(tokens(F.col("t"))), runs)) if sizes else F.array().cast("array<string>")
+    if not lenient:
+        by_run = by_run.union(bare.withColumn("run", F.concat(F.lit("\0"), "term_key")))
+        own = F.concat(own, F.transform(split(F.col("t"), r"[\p{L}\p{N}_]+"), lambda w: F.concat(F.lit("\0"), w)))
     # Runs meet terms without their text, which joins again per document that has candidates.
-    looked = normal.select("__k", F.explode(F.array_distinct(grams)).alias("gram")).join(short, "gram")
-    likely = looked.groupBy("__k").agg(F.collect_set(F.struct("term_key", "en", "fr", "ord")).alias("c"))
-    each = normal.join(likely, "__k").select("__k", "t", F.explode("c").alias("c")).select("__k", "t", "c.*")
-    found = each.where(F.regexp_like("t", pattern(F.col("term_key"), lenient))).select("__k", "en", "fr", "ord")
-    if not rest.isEmpty():
-        found = found.union(normal.join(rest, F.regexp_like(F.col("t"), pattern(F.col("term_key"), lenient))).select("__k", "en", "fr", "ord"))
-    return found.groupBy("__k", "en").agg(F.min_by("fr", "ord").alias("fr")).withColumnRenamed("__k", key)
+    looked = normal.select(key, F.explode(F.array_distinct(own)).alias("run")).join(by_run, "run")
+    likely = looked.groupBy(F.col(key).alias("of")).agg(F.collect_set(F.struct("term_key", "en", "fr", "ord")).alias("c"))
+    each = normal.join(likely, F.col(key).eqNullSafe(F.col("of"))).select(key, "t", F.explode("c").alias("c")).select(key, "t", "c.*")
+    found = each.where(F.regexp_like("t", pattern(F.col("term_key"), lenient))).groupBy(key, "en").agg(F.min_by("fr", "ord").alias("fr"))
+    return found.unionByName(_by_automaton(normal, bare, key, lenient)) if lenient else found
 
 
 def missing_terms(found: DataFrame, targets: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

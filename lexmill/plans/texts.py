@@ -233,6 +233,38 @@ def term_hits(spark, sf):
     return G.find_terms(docs(spark, sf), G.index(terms(spark)))
 
 
+def term_hits_by_runs(spark, sf):
+    """The same for a glossary too large for one automaton."""
+    return G.find_terms(docs(spark, sf), G.index(terms(spark)), most_bytes=0)
+
+
+def learned_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A glossary drawn from the data: words and pairs of words of the benchmark's texts."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    own = table(spark, sf, "benchmark").select("item_id", words.alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1)), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    en = own.select("item_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("en")).where("length(en) >= 8")
+    return en.groupBy("en").agg(F.min("item_id").cast("int").alias("ord")).select("ord", "en", F.upper("en").alias("fr"), F.lit(None).cast("array<string>").alias("fr_alt"), F.lit(None).cast("string").alias("abbreviation"), F.lit(None).cast("string").alias("note"))
+
+
+def learned_term_hits(spark, sf):
+    """How many words and pairs of words of the benchmark each document has, by an automaton of all."""
+    found = G.find_terms(docs(spark, sf), G.index(learned_terms(spark, sf)))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum(F.length("fr")).alias("characters"))
+
+
+LEARNED_HITS = rf"""
+WITH w AS (SELECT list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM benchmark),
+g AS (SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS en FROM w),
+t AS (SELECT doc_id, {{NORMAL}} AS n FROM documents),
+k AS (SELECT doc_id, string_split_regex(n, '[^\p{{L}}\p{{N}}_]+') AS w, n FROM t),
+one AS (SELECT DISTINCT doc_id, unnest(w) AS en FROM k),
+p AS (SELECT doc_id, regexp_extract_all(n, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS s FROM t),
+b AS (SELECT DISTINCT doc_id, unnest(list_transform(list_filter(range(1, len(s) - 1), lambda i: s[i + 1] IN (' ', '-')), lambda i: s[i] || ' ' || s[i + 2])) AS en FROM p),
+h AS (SELECT doc_id, en FROM one JOIN g USING (en) WHERE length(en) >= 8 UNION SELECT doc_id, en FROM b JOIN g USING (en) WHERE length(en) >= 8)
+SELECT doc_id, count(*) AS n_terms, sum(length(en))::BIGINT AS characters FROM h GROUP BY 1"""
+
+
 def term_missing(spark, sf):
     """Terms of each document that the next document of its source lacks in the target language."""
     d = docs(spark, sf)
@@ -329,6 +361,8 @@ QUERIES = {
     "doc_payloads": (doc_payloads, PAYLOADS),
     "languages_accepted": (doc_languages_accepted, ACCEPTED),
     "term_hits": (term_hits, TERM_HITS),
+    "term_hits_by_runs": (term_hits_by_runs, TERM_HITS),
+    "learned_term_hits": (learned_term_hits, LEARNED_HITS.replace("{NORMAL}", NORMAL.format(c="text"))),
     "term_missing": (term_missing, TERM_MISSING),
     "validate_rows": (validate_rows, VALIDATE),
 }
