@@ -111,9 +111,11 @@ def peer_reviewed(signals: Column, registry: Column | None = None) -> Column:
     return F.coalesce(registry, own) if registry is not None else own
 
 
-def voice_of(abstract: Column, acknowledgements: Column, body: Column, terms=V.VOICE_TERMS) -> Column:
+def voice_of(abstract: Column, acknowledgements: Column, body: Column, terms=V.VOICE_TERMS, organizations: tuple[str, ...] = ()) -> Column:
     """The first voice with a term in the abstract, or in the acknowledgements (academic and
-    organization) or the first 2000 characters of the body (practitioner and individual)."""
+    organization) or the first 2000 characters of the body (practitioner and individual). organizations
+    are names, in lower case, that a corpus adds to the terms of its voice."""
+    terms = {**terms, "organization": (*organizations, *terms["organization"])}
     a, k = F.lower(F.coalesce(abstract, F.lit(""))), F.lower(F.coalesce(acknowledgements, F.lit("")))
     b = F.left(F.lower(F.coalesce(body, F.lit(""))), F.lit(2000))
     chain = F.when(F.lit(False), F.lit(""))
