@@ -73,23 +73,16 @@ def grams_of(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: i
 
 
 class Model:
-    """Tables of words by language and count, and of their n-grams."""
+    """Tables of words (size 0) and of their n-grams by size; langs are sorted."""
 
     LONGEST = 5
 
-    def __init__(self, langs: list[str], words: list[str], of: np.ndarray, times: np.ndarray) -> None:
-        """Word i occurs times[i] times in texts of langs[of[i]]; langs are sorted."""
-        self.langs, n = langs, len(langs)
-        codes, bounds = codes_of(words)
-        starts, lengths = bounds[:-1], np.diff(bounds) - 1
-        self.words = Table(span_hashes(codes, starts, starts + lengths), of, times, n)
-        self.grams = {}
-        for size in range(1, self.LONGEST + 1):
-            hashes, word = grams_of(codes, starts, lengths, size)
-            found, at = np.unique(hashes, return_inverse=True)
-            cells, cell = np.unique(at * max(1, n) + of[word], return_inverse=True)
-            total = np.bincount(cell, times[word], len(cells))
-            self.grams[size] = Table(found[cells // max(1, n)], cells % max(1, n), total, n)
+    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """counts: by size, hashes, languages (places in langs) and how often the one occurs in the other."""
+        self.langs = langs
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+        self.words, *grams = (Table(*counts.get(size, none), len(langs)) for size in range(self.LONGEST + 1))
+        self.grams = dict(enumerate(grams, 1))
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of word scores by text and language, and the number of words of each text."""
@@ -126,21 +119,39 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, most_langs: int = MOST_LANGS) -> Model:
     """Learn from about `docs_per_lang` distinct labelled texts of each language, chosen by a hash of
-    the text, all of them where there are no more; words are counted on executors, and what comes to
-    the driver is the words of that sample."""
+    the text, all of them where there are no more. Words and n-grams are counted on executors, and what
+    comes to the driver is their hashes and counts, as many as that sample holds."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h"))
     sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(most_langs + 1).collect()}
     if len(sizes) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
     if not sizes:
-        return Model([], [], np.zeros(0, np.int64), np.zeros(0))
+        return Model([], {})
+    langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, docs_per_lang / max(1, n)))])[F.col("l")]
+    place = F.create_map(*[F.lit(x) for i, l in enumerate(langs) for x in (l, i)])[F.col("l")]
     sampled = labelled.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).groupBy("l", "h").agg(F.min("t").alias("t"), F.count("*").alias("copies"))
-    tokens = sampled.select("l", "copies", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    found = tokens.groupBy("l", "w").agg(F.sum("copies").alias("n")).toArrow()
-    langs = sorted(sizes)
-    of = np.searchsorted(np.array(langs), np.array(found.column("l").to_pylist(), dtype=str)) if found.num_rows else np.zeros(0, np.int64)
-    return Model(langs, found.column("w").to_pylist(), of, found.column("n").to_numpy().astype(np.float64))
+    tokens = sampled.select(place.alias("lang"), "copies", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    words = tokens.groupBy("lang", "w").agg(F.sum("copies").alias("n"))
+    found = words.mapInArrow(gram_counts, "size int, hash long, lang int, n long").groupBy("size", "hash", "lang").agg(F.sum("n").alias("n")).toArrow()
+    size, hashes, of, n = (found.column(c).to_numpy() for c in ("size", "hash", "lang", "n"))
+    return Model(langs, {k: (hashes[own].view(np.uint64), of[own].astype(np.int64), n[own].astype(np.float64)) for k in range(Model.LONGEST + 1) if (own := size == k).any()})
+
+
+def gram_counts(batches):
+    """(size, hash, lang, n) of (lang, w, n): words, as size 0, and their n-grams, summed in each batch."""
+    for batch in batches:
+        lang, times = batch.column(0).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+        codes, bounds = codes_of(batch.column(1).to_pylist())
+        starts, lengths = bounds[:-1], np.diff(bounds) - 1
+        for size in range(Model.LONGEST + 1):
+            hashes, word = grams_of(codes, starts, lengths, size) if size else (span_hashes(codes, starts, starts + lengths), np.arange(len(lengths)))
+            order = np.lexsort((hashes, lang[word]))
+            hashes, word = hashes[order], word[order]
+            of = lang[word]
+            heads = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+            if len(heads):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), size, np.int32)), pa.array(hashes[heads].view(np.int64)), pa.array(of[heads].astype(np.int32)), pa.array(np.add.reduceat(times[word], heads))], ["size", "hash", "lang", "n"])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", keep: list[str] | None = None) -> DataFrame:
