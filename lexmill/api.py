@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions import vocabulary as V
 from lexmill.operators import blocks as B, classify as C, extraction as E, glossary as G, quality as Q, relational as R
+from lexmill.operators.lemmas import Lemmas
 from lexmill.sources import readers, store as S
 from lexmill.streaming import jobs as J
 
 
 class Workbench:
-    def __init__(self, tables: dict[str, DataFrame], glossary: DataFrame | None = None, now: Column | None = None) -> None:
-        self.tables, self.glossary = dict(tables), glossary
+    def __init__(self, tables: dict[str, DataFrame], glossary: DataFrame | None = None, now: Column | None = None, lemmas: Lemmas | None = None) -> None:
+        """glossary is an index of terms (glossary.index), lemmas the model that content words are compared by."""
+        self.tables, self.glossary, self.lemmas = dict(tables), glossary, lemmas
         self._now = now
 
     @property
@@ -78,11 +80,17 @@ class Workbench:
 
     def save_article(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """Decisions for rows (see classify.gate, without its flag columns) whose texts are in
-        pairs(article_id, source_text, target_text). Accepted rows go into all tables at once:
+        pairs(article_id, source_text, target_text); with a glossary, its terms found in a source are looked
+        for in the target, by lemma and as they are, with their alternatives. Accepted rows go into all tables at once:
         article, translation (columns translated_title, -_summary and -_full_text), categories,
         keywords, the token used (column token) and the session's counter, which rises by their
         number. Rejected rows change nothing."""
-        checked = Q.check_pairs(pairs).select("article_id", "blocking_flags", "warning_flags")
+        terms = None
+        if self.glossary is not None:
+            terms = "terms"
+            found = G.terms_by_text(pairs.select("article_id", "source_text"), self.glossary, "article_id", "source_text")
+            pairs = G.with_terms(pairs, found, "article_id")
+        checked = Q.check_pairs(pairs, terms=terms, lemmas=self.lemmas).select("article_id", "blocking_flags", "warning_flags")
         none = F.array().cast("array<string>")
         joined = rows.join(checked, "article_id", "left").withColumns({c: F.coalesce(c, none) for c in ("blocking_flags", "warning_flags")})
         decided, now = C.gate(joined), self.now

@@ -138,6 +138,22 @@ def _by_runs(normal: DataFrame, terms: DataFrame, key: str, lenient: bool) -> Da
     return found.unionByName(_by_automaton(normal, bare, key, lenient)) if lenient else found
 
 
+def terms_by_text(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", lenient: bool = False) -> DataFrame:
+    """(key, terms): the terms found in each text that has any, as an array of structs (en, fr, fr_alt)
+    in order of en; a row a text."""
+    hits = find_terms(texts, terms, key, text, lenient)
+    # Of entries with one en the first one's alternatives, as the join must not repeat a term.
+    known = terms.groupBy("en").agg(F.min_by("fr_alt", "ord").alias("fr_alt"))
+    each = hits.join(known, "en")
+    return each.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("en", "fr", "fr_alt"))).alias("terms"))
+
+
+def with_terms(pairs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """pairs with a column terms of found(key, terms), empty where none were found."""
+    none = F.array().cast(found.schema["terms"].dataType)
+    return pairs.drop("terms").join(found, key, "left").withColumn("terms", F.coalesce("terms", none))
+
+
 def missing_terms(found: DataFrame, targets: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, missing): "en -> fr" of found terms of which neither fr nor an alternative is a part of
     the normalised target text. Empty variants are ignored."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions import text as X, vocabulary as V
+from lexmill.operators.lemmas import Lemmas
+from lexmill.session import free
 
 SENTENCE_BOUNDS, WORD_BOUNDS, RECALL_FLOOR, LEAST_TERMS = (0.85, 1.15), (0.9, 1.5), 0.7, 3
 #: Ranges by target language where one is known to differ.
@@ -32,9 +34,11 @@ def numbers_missing(source: Column, target: Column) -> Column:
     return F.array_sort(F.array_except(source, target))
 
 
-def content_words(c: Column, lang: str = "fr") -> Column:
-    """Stand-in for lemmas of nouns, verbs and adjectives: letter runs over two characters that are
-    no stop words, with plural and gender endings cut."""
+def content_words(c: Column, lang: str = "fr", lemmas: Lemmas | None = None) -> Column:
+    """Lemmas of content words by a learned model; without one, letter runs over two characters that
+    are no stop words, with plural and gender endings cut."""
+    if lemmas is not None:
+        return lemmas.content(c, lang)
     tokens = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+"), lambda w: (F.length(w) > 2) & ~w.isin(*V.STOPWORDS[lang]))
     return F.array_sort(F.array_distinct(F.transform(tokens, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(es|s|e)$", "")).otherwise(w))))
 
@@ -57,19 +61,39 @@ def features(pairs: DataFrame, source: str = "source_text", target: str = "targe
     return out
 
 
-def check_pairs(pairs: DataFrame, source: str = "source_text", target: str = "target_text", terms: str | None = None, lang: str = "fr") -> DataFrame:
-    """pairs with ratios, missing and added numbers, flags by severity, and whether they pass.
-    terms names an array column of expected target terms, if there is one."""
+def verify_terms(target: Column, terms: Column) -> Column:
+    """Of found terms, an array of structs (en, fr, fr_alt), those of which neither fr nor an alternative is
+    a part of the normalised target text, as "en -> fr"; empty variants are ignored, and a term with
+    none but empty ones is missing."""
+    low = X.normalize(F.coalesce(target, F.lit("")))
+    variants = lambda t: F.filter(F.transform(F.concat(F.array(t.fr), F.coalesce(t.fr_alt, F.array().cast("array<string>"))), X.normalize), lambda v: F.coalesce(v != "", F.lit(False)))
+    # Bound as a variable, the normalised text is made once and not once per term.
+    lost = F.transform(F.array(low), lambda n: F.filter(terms, lambda t: ~F.exists(variants(t), lambda v: F.contains(n, v))))
+    return F.transform(F.flatten(lost), lambda t: F.concat_ws(" -> ", t.en, F.coalesce(t.fr, F.lit(""))))
+
+
+def check_pairs(pairs: DataFrame, source: str = "source_text", target: str = "target_text", terms: str | None = None, lang: str = "fr", lemmas: Lemmas | None = None) -> DataFrame:
+    """pairs with ratios, missing and added numbers, flags by severity, and whether they pass. terms
+    names an array column of the terms found in the source, if there is one: strings, the expected
+    target terms, or structs (en, fr, fr_alt), of which an alternative does as well. lemmas is the
+    model that content words are compared by."""
     f = features(pairs, source, target)
-    expected = content_words(F.array_join(F.col(terms), " "), lang) if terms else F.array().cast("array<string>")
-    entries = F.size(terms) if terms else F.lit(0)
-    missing_terms = F.filter(F.col(terms), lambda t: ~F.contains(X.normalize(F.col(target)), X.normalize(t))) if terms else F.array().cast("array<string>")
-    r = recall(F.col("__expected"), F.col("__actual"), entries)
-    f = f.withColumns({"__expected": expected, "__actual": content_words(F.col(target), lang) if terms else F.array().cast("array<string>"), "missing_terms": missing_terms})
+    none = F.array().cast("array<string>")
+    expected = actual = missing_terms = none
+    entries = F.lit(0)
+    if terms:
+        structs = pairs.schema[terms].dataType.elementType.typeName() == "struct"
+        wanted = F.transform(F.col(terms), lambda t: t.fr) if structs else F.col(terms)
+        entries = F.size(terms)
+        expected, actual = content_words(F.array_join(wanted, " "), lang, lemmas), content_words(F.col(target), lang, lemmas)
+        missing_terms = verify_terms(F.col(target), F.col(terms)) if structs else F.filter(F.col(terms), lambda t: ~F.contains(X.normalize(F.col(target)), X.normalize(t)))
+    own_expected, own_actual = free(f, "expected", "actual")
+    f = f.withColumns({own_expected: expected, own_actual: actual, "missing_terms": missing_terms})
     f = f.withColumns({
         "sentence_ratio": ratio(F.col("t_sentences"), F.col("s_sentences")), "word_ratio": ratio(F.col("t_words"), F.col("s_words")),
-        "term_recall": r, "missing_numbers": numbers_missing(F.col("s_numbers"), F.col("t_numbers")), "added_numbers": numbers_missing(F.col("t_numbers"), F.col("s_numbers")),
+        "term_recall": recall(F.col(own_expected), F.col(own_actual), entries), "missing_words": F.array_except(own_expected, own_actual),
+        "missing_numbers": numbers_missing(F.col("s_numbers"), F.col("t_numbers")), "added_numbers": numbers_missing(F.col("t_numbers"), F.col("s_numbers")),
     })
     blocking = F.array_compact(F.array(outside(F.col("sentence_ratio"), SENTENCE_BOUNDS, "SENTMIS"), word_flag(F.col("s_words"), F.col("t_words"), lang)))
     warning = F.array_compact(F.array(F.when(F.col("term_recall") < RECALL_FLOOR, "WORDDRIFT"), F.when(F.size("missing_numbers") > 0, "STATMIS"), F.when(F.size("missing_terms") > 0, "TERMMIS")))
-    return f.withColumns({"blocking_flags": blocking, "warning_flags": warning}).withColumn("passes", F.size("blocking_flags") == 0).drop("__expected", "__actual")
+    return f.withColumns({"blocking_flags": blocking, "warning_flags": warning}).withColumn("passes", F.size("blocking_flags") == 0).drop(own_expected, own_actual)
