@@ -62,14 +62,15 @@ class Lemmas:
     functions: dict[str, list[str]] = field(default_factory=dict)
 
     def pattern(self, lang: str) -> str | None:
-        """The shortest stem, and so all suffixes on end: letters alone, nothing to escape. A form that
-        looks as if it had a suffix itself loses it like its inflected forms do, and they still meet."""
-        own = self.suffixes.get(lang)
-        return rf"^(\p{{L}}{{{LEAST_STEM},}}?)(?:{'|'.join(own)})+$" if own else None
+        """What a reversed word loses: suffixes on end, the longest first, while a stem remains. A form
+        that looks as if it had a suffix itself loses it like its inflected forms do, and they still
+        meet. Nothing that was matched is tried again, so the time is in proportion to the word."""
+        own = sorted(self.suffixes.get(lang, []), key=lambda s: (-len(s), s))
+        return rf"^(?>(?:{'|'.join(s[::-1] for s in own)})(?=\p{{L}}{{{LEAST_STEM}}}))*+" if own else None
 
     def lemma(self, word: Column, lang: str) -> Column:
         pattern = self.pattern(lang)
-        return F.regexp_replace(word, pattern, "$1") if pattern else word
+        return F.reverse(F.regexp_replace(F.reverse(word), pattern, "")) if pattern else word
 
     def content(self, text: Column, lang: str) -> Column:
         """Sorted distinct lemmas of the content words of a text."""

@@ -24,7 +24,7 @@ en AS (SELECT c.lang, suffix, count(*) AS n_words, count(s.word) AS n_stems FROM
 sz AS (SELECT lang, count(*) AS size FROM kn GROUP BY 1),
 rl AS MATERIALIZED (SELECT lang, suffix, n_words, n_stems FROM en JOIN sz USING (lang) WHERE n_stems >= {L.SHARE}::DOUBLE * size AND n_stems >= {L.CONFIDENCE}::DOUBLE * n_words),
 fw AS MATERIALIZED (SELECT lang, word, n FROM wd JOIN (SELECT lang, count(*) AS size FROM documents WHERE lang IS NOT NULL GROUP BY 1) USING (lang) WHERE n >= {L.FUNCTION}::DOUBLE * size),
-pt AS MATERIALIZED (SELECT lang, '^(\p{{L}}{{{L.LEAST_STEM},}}?)(?:' || string_agg(suffix, '|') || ')+$' AS pattern FROM rl GROUP BY 1)"""
+pt AS MATERIALIZED (SELECT lang, '^(?:' || string_agg(reverse(suffix), '|' ORDER BY length(suffix) DESC, suffix) || ')*(.{{{L.LEAST_STEM},}})$' AS pattern FROM rl GROUP BY 1)"""
 
 
 def lemma_rules(spark, sf):
@@ -44,9 +44,11 @@ def content_lemmas(spark, sf):
     return d.select("doc_id", found.alias("l")).select("doc_id", F.size("l").cast("long").alias("n_lemmas"), F.md5(F.array_join("l", " ")).alias("digest"))
 
 
+# Patterns that aren't constant are compiled for every row: lemmas are told once for each word.
 CONTENT = rf"""WITH {MODEL},
+lw AS MATERIALIZED (SELECT lang, word, CASE WHEN pattern IS NULL THEN word ELSE reverse(regexp_replace(reverse(word), pattern, '\1')) END AS lemma FROM wd LEFT JOIN pt USING (lang)),
 t AS (SELECT doc_id, d.lang, unnest({word_list("text")}) AS word FROM documents d),
-l AS (SELECT DISTINCT doc_id, CASE WHEN pattern IS NULL THEN word ELSE regexp_replace(word, pattern, '\1') END AS lemma FROM t LEFT JOIN pt USING (lang) WHERE NOT EXISTS (SELECT 1 FROM fw WHERE fw.lang = t.lang AND fw.word = t.word)),
+l AS (SELECT DISTINCT doc_id, lemma FROM t JOIN lw USING (lang, word) WHERE NOT EXISTS (SELECT 1 FROM fw WHERE fw.lang = t.lang AND fw.word = t.word)),
 g AS (SELECT doc_id, count(*) AS n, md5(string_agg(lemma, ' ' ORDER BY lemma)) AS digest FROM l GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lemmas, coalesce(digest, md5('')) AS digest FROM documents LEFT JOIN g USING (doc_id)"""
 
@@ -88,9 +90,11 @@ g AS (SELECT DISTINCT en FROM (SELECT unnest({word_list("text")}) AS en FROM ben
 b AS (SELECT doc_id, trim(regexp_replace(lower(s), {BLANKS}, ' ', 'g')) AS ns, trim(regexp_replace(lower(t), {BLANKS}, ' ', 'g')) AS nt, t FROM p),
 h AS MATERIALIZED (SELECT DISTINCT doc_id, en FROM (SELECT doc_id, unnest(string_split_regex(ns, '[^\p{{L}}\p{{N}}_]+')) AS en FROM b) JOIN g USING (en)),
 m AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT contains(nt, left(en, length(en) - 1))) AS lost FROM h JOIN b USING (doc_id) GROUP BY 1),
-lem AS (SELECT lang, pattern FROM pt WHERE lang = 'fr'),
-ex AS MATERIALIZED (SELECT DISTINCT doc_id, coalesce((SELECT regexp_replace(en, pattern, '\1') FROM lem), en) AS lemma FROM h WHERE en NOT IN (SELECT word FROM fw WHERE lang = 'fr')),
-ac AS (SELECT DISTINCT doc_id, coalesce((SELECT regexp_replace(word, pattern, '\1') FROM lem), word) AS lemma FROM (SELECT doc_id, unnest({word_list("t")}) AS word FROM b) WHERE word NOT IN (SELECT word FROM fw WHERE lang = 'fr')),
+sw AS MATERIALIZED (SELECT doc_id, unnest({word_list("t")}) AS word FROM b),
+lw AS MATERIALIZED (SELECT w.word, coalesce(reverse(regexp_replace(reverse(w.word), pattern, '\1')), w.word) AS lemma FROM (SELECT en AS word FROM g UNION SELECT word FROM sw) w LEFT JOIN (SELECT pattern FROM pt WHERE lang = 'fr') ON true),
+ff AS MATERIALIZED (SELECT word FROM fw WHERE lang = 'fr'),
+ex AS MATERIALIZED (SELECT DISTINCT doc_id, lemma FROM h JOIN lw ON lw.word = h.en WHERE en NOT IN (SELECT word FROM ff)),
+ac AS MATERIALIZED (SELECT DISTINCT doc_id, lemma FROM sw JOIN lw USING (word) WHERE word NOT IN (SELECT word FROM ff)),
 r AS (SELECT doc_id, count(*) AS n_expected, count(ac.lemma) AS n_there, md5(coalesce(string_agg(ex.lemma, ' ' ORDER BY ex.lemma) FILTER (ac.lemma IS NULL), '')) AS missing FROM ex LEFT JOIN ac USING (doc_id, lemma) GROUP BY 1),
 q AS MATERIALIZED (SELECT doc_id, coalesce(m.n, 0) AS n_terms, coalesce(m.lost, 0) AS n_missing, CASE WHEN coalesce(m.n, 0) >= 3 AND coalesce(n_expected, 0) >= 3 THEN n_there::DOUBLE / n_expected ELSE 1.0 END AS recall, coalesce(missing, md5('')) AS missing FROM p LEFT JOIN m USING (doc_id) LEFT JOIN r USING (doc_id))"""
 DRIFT = f"WITH {PAIRED} SELECT doc_id, round(recall, 6) AS recall, n_terms::BIGINT AS n_terms, n_missing::BIGINT AS n_missing, missing AS missing_words, recall < {Q.RECALL_FLOOR} AS drifts FROM q"

@@ -250,7 +250,7 @@ def learned_terms(spark: SparkSession, sf: str) -> DataFrame:
 def learned_term_hits(spark, sf):
     """How many words and pairs of words of the benchmark each document has, by an automaton of all."""
     found = G.find_terms(docs(spark, sf), G.index(learned_terms(spark, sf)))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum(F.length("fr")).alias("characters"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum(F.length("en")).alias("characters"))
 
 
 LEARNED_HITS = rf"""
