@@ -1,17 +1,24 @@
 """Mutations as transitions DataFrame -> DataFrame, and atomic publication of snapshots.
 
 Parquet tables are not updated in place: each transition returns the table's next state, and
-`publish` writes all tables of a change to a new version before one pointer names it."""
+`publish` writes all tables of a change to a new version before one pointer names it. A table in
+buckets of its keys is changed by `Store.upsert`, which writes the buckets it touches."""
 
 from __future__ import annotations
 
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.functions import text as X
+from lexmill.session import free, stash
+
+#: Buckets of a table that changes by upserts: a change rewrites those it touches.
+BUCKETS = 64
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -219,17 +226,29 @@ class Store:
         return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest-{number:010d}.json").collect()))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.manifest()[name]}")
+        held = self.manifest()[name]
+        if isinstance(held, str):
+            return self.spark.read.parquet(f"{self.root}/{held}")
+        return self._parts(held, held["parts"])
+
+    def _parts(self, held: dict, numbers) -> DataFrame:
+        """Buckets of a bucketed table; rows of none if there are none."""
+        paths = [f"{self.root}/{held['parts'][k]}" for k in numbers]
+        shape = StructType.fromJson(held["schema"])
+        return self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)
 
     def publish(self, tables: dict[str, DataFrame], check: Callable[[], None] | None = None) -> dict[str, str]:
         """Write tables to a new version and point to them; an error before that changes nothing."""
         version, number = uuid.uuid4().hex, self._newest()
-        current = self.manifest(number)
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/{version}")
         if check:
             check()
-        current |= {name: f"{name}/{version}" for name in tables}
+        return self._point({name: f"{name}/{version}" for name in tables}, number, version)
+
+    def _point(self, entries: dict, number: int, version: str) -> dict:
+        """Bring about the manifest after `number`, with new entries."""
+        current = self.manifest(number) | entries
         fs, jvm = self._fs()
         temporary, final = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (f".manifest-{version}", f"manifest-{number + 1:010d}.json"))
         out = fs.create(temporary, True)
@@ -239,3 +258,51 @@ class Store:
             fs.delete(temporary, False)
             raise Conflict(f"{final} exists")
         return current
+
+    def upsert(self, name: str, rows: DataFrame, keys: list[str], updated: list[str] | None = None, also: dict[str, DataFrame] | None = None, newest_by: str | None = None) -> list[int]:
+        """Take `updated` columns (all but the keys by default) of rows into a table in buckets of its keys,
+        which the first call creates; other rows are added. Only buckets that hold a key of rows are read
+        and written; the next manifest names them and keeps the others. Tables of `also` are published
+        with them. With newest_by, a row that is older than the known one by that column changes nothing.
+        Of several rows of one key one is taken, the newest if there is such a column. Null keys are keys.
+        Returns the numbers of the buckets written."""
+        number, version = self._newest(), uuid.uuid4().hex
+        held = self.manifest(number).get(name)
+        if held is None:
+            held = {"keys": keys, "buckets": BUCKETS, "schema": rows.schema.jsonValue(), "parts": {}}
+        elif isinstance(held, str) or held["keys"] != keys:
+            raise ValueError(f"{name} is not in buckets of {keys}")
+        part, fresh, known = free(rows, "part", "fresh", "known")
+        order = F.col(newest_by) if newest_by else F.lit(0)
+        one = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias(fresh)).select(f"{fresh}.*")
+        one = stash(one.withColumn(part, F.pmod(F.xxhash64(*keys), F.lit(held["buckets"])).cast("int")), "upsert")
+        touched = sorted(r[0] for r in one.select(part).distinct().collect())  # at most as many as buckets
+        if not touched and not also:
+            return []
+        shape = StructType.fromJson(held["schema"])
+        old = self._parts(held, [str(k) for k in touched if str(k) in held["parts"]])
+        new = one.select(F.struct(*rows.columns).alias(fresh), *[F.col(k).alias(f"{fresh}{k}") for k in keys])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{fresh}{k}")) for k in keys])
+        joined = old.withColumn(known, F.lit(True)).join(new, same, "full_outer")
+        there, is_old = F.col(fresh).isNotNull(), F.coalesce(F.col(known), F.lit(False))
+        if newest_by:
+            there &= ~is_old | (F.col(f"{fresh}.{newest_by}") >= F.col(newest_by)) | F.col(newest_by).isNull()
+        taken = set(rows.columns) - set(keys) if updated is None else set(updated)
+        columns = []
+        for c in shape.names:
+            if c not in rows.columns:
+                columns.append(F.col(c))
+            else:
+                first = F.col(f"{fresh}.{c}")
+                columns.append(F.when(~is_old, first).when(there & F.lit(c in taken), first).otherwise(F.col(c)).cast(shape[c].dataType).alias(c))
+        merged = joined.select(*columns)
+        merged = merged.withColumn(part, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(held["buckets"])).cast("int"))
+        if touched:
+            merged.repartition(max(1, len(touched)), part).write.partitionBy(part).parquet(f"{self.root}/{name}/{version}")
+        held = {**held, "parts": held["parts"] | {str(k): f"{name}/{version}/{part}={k}" for k in touched}}
+        more = {}
+        for other, df in (also or {}).items():
+            df.write.parquet(f"{self.root}/{other}/{version}")
+            more[other] = f"{other}/{version}"
+        self._point({name: held, **more}, number, version)
+        return touched

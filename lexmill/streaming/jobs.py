@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from lexmill.sources.store import Store
 
 MARKERS = {
     "start": r"^\s*ARTICLE_START:\s*(\S+)\s*$",
@@ -96,38 +101,122 @@ def advance(done: set[str], checked: set[str], event: str, ok: bool) -> str:
     return "ok"
 
 
-def review_gate(events: DataFrame) -> DataFrame:
-    """(doc_id, seq, event, outcome, done) of events(doc_id, seq, event, ok), in order of seq."""
+def review_gate(events: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """(doc_id, seq, event, outcome, done) of events(doc_id, seq, event, ok), in order of seq (or of the
+    columns given). Documents are sorted, and folded row by row: none is held whole."""
+    rows = events.select("doc_id", "seq", "event", "ok", *[c for c in order if c != "seq"])
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", *order).select("doc_id", "seq", "event", "ok")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq", kind="stable")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None
         done: set[str] = set()
         checked: set[str] = set()
+        for frame in frames:
+            out = []
+            for doc, seq, event, ok in zip(frame["doc_id"], frame["seq"], frame["event"], frame["ok"], strict=True):
+                if last != (doc,):
+                    last, done, checked = (doc,), set(), set()
+                outcome = advance(done, checked, event, bool(ok))
+                out.append((doc, seq, event, outcome, ",".join(s for s in STEPS if s in done)))
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "event", "outcome", "done"])
+
+    return rows.mapInPandas(run, OUTCOME)
+
+
+#: How late an event may come, and how long a document without events is remembered.
+LATE, REMEMBERED = "10 minutes", "30 days"
+
+
+class GateProcessor(StatefulProcessor):
+    """The review gate of one document over micro-batches, in event time.
+
+    Events wait until the watermark has passed them, and are then taken in order of time and seq, so
+    that an event which arrives late or out of order within the watermark counts where it belongs. What
+    is kept of a document is its waiting events and the steps done and checked; a document without
+    events for `remembered` milliseconds of event time is forgotten, and begins anew."""
+
+    def __init__(self, remembered: int) -> None:
+        self.remembered = remembered
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, seq long, event string, ok boolean")
+        self.state = handle.getValueState("state", "done string, checked string, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        at = frame["ts"].astype("datetime64[us, UTC]" if getattr(frame["ts"].dtype, "tz", None) is not None else "datetime64[us]").astype("int64") // 1000
+        new = [(int(a), int(s), e, bool(ok)) for a, s, e, ok in zip(at, frame["seq"], frame["event"], frame["ok"], strict=True)]
+        self.waiting.appendList(new)
+        due = max(min(a for a, *_ in new), timerValues.getCurrentWatermarkInMs()) + 1
+        if all(t > due for t in self.handle.listTimers()):
+            self.handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in waiting if r[0] < now], [r for r in waiting if r[0] >= now]
+        done, checked, last = self.state.get() if self.state.exists() else ("", "", 0)
+        done, checked = set(done.split(",")) - {""}, set(checked.split(",")) - {""}
         rows = []
-        for doc, seq, event, ok in zip(frame["doc_id"], frame["seq"], frame["event"], frame["ok"], strict=True):
-            outcome = advance(done, checked, event, bool(ok))
-            rows.append((doc, seq, event, outcome, ",".join(s for s in STEPS if s in done)))
-        return pd.DataFrame(rows, columns=["doc_id", "seq", "event", "outcome", "done"])
-
-    return events.groupBy("doc_id").applyInPandas(run, OUTCOME)
-
-
-def review_gate_stream(events: DataFrame) -> DataFrame:
-    """The same on a stream: state is kept for each document over micro-batches. Events of one
-    micro-batch are taken by seq."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key, frames, state: GroupState):
-        done, checked = (set(x.split(",")) - {""} for x in (state.get if state.exists else ("", "")))
-        rows = []
-        frame = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        for seq, event, ok in zip(frame["seq"], frame["event"], frame["ok"], strict=True):
-            outcome = advance(done, checked, event, bool(ok))
+        for at, seq, event, ok in due:
+            if last and at - last >= self.remembered:
+                done, checked = set(), set()
+            outcome = advance(done, checked, event, ok)
             rows.append((key[0], seq, event, outcome, ",".join(s for s in STEPS if s in done)))
-        state.update((",".join(sorted(done)), ",".join(sorted(checked))))
-        yield pd.DataFrame(rows, columns=["doc_id", "seq", "event", "outcome", "done"])
-
-    return events.groupBy("doc_id").applyInPandasWithState(run, OUTCOME, "done string, checked string", "append", GroupStateTimeout.NoTimeout)
+            last = at
+        if not rest and now - last >= self.remembered:
+            self.waiting.clear()
+            self.state.clear()
+        else:
+            self.state.update((",".join(sorted(done)), ",".join(sorted(checked)), last))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            self.handle.registerTimer(rest[0][0] + 1 if rest else last + self.remembered)
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "event", "outcome", "done"])
+
+    def close(self) -> None:
+        pass
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of streams in RocksDB, which the review gate needs and which need not fit in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def review_gate_stream(events: DataFrame, late: str = LATE, remembered: str = REMEMBERED) -> DataFrame:
+    """The same on a stream of events(doc_id, ts, seq, event, ok), by event time: equal to review_gate by
+    (ts, seq) over all events that are at most `late` behind the newest one seen. An outcome comes when the
+    watermark has passed its event. Needs use_rocksdb."""
+    ms = int(pd.Timedelta(remembered).total_seconds() * 1000)
+    kept = events.select("doc_id", "ts", "seq", "event", "ok").withWatermark("ts", late)
+    return kept.groupBy("doc_id").transformWithStateInPandas(GateProcessor(ms), OUTCOME, "Append", "EventTime")
+
+
+def start_to_end(stream: DataFrame, path: str, checkpoint: str, **options: str) -> StreamingQuery:
+    """Write all that a stream has by now to Parquet, exactly once over restarts, and stop."""
+    return stream.writeStream.format("parquet").options(**options).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def poll(stream: DataFrame, store: Store, name: str, key: list[str], checkpoint: str, every: str | None = None, order: str = "ts") -> StreamingQuery:
+    """Keep the table `name` of a store up to date with the newest row of each key of a stream: each
+    micro-batch is upserted, into the buckets it touches, in one snapshot that also records the batch's
+    number, so a batch that is run again after a crash changes nothing. Without `every` (a trigger interval such as "5 seconds")
+    it takes what there is and stops."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        mark = f"{name}_batch"
+        if mark in store.manifest() and (store.read(mark).agg(F.max("batch")).first()[0] or 0) > number:
+            return  # published before a crash
+        done = batch.sparkSession.createDataFrame([(number + 1,)], "batch long")
+        store.upsert(name, batch, key, also={mark: done}, newest_by=order)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", size: str = "10 minutes", late: str = "20 minutes") -> DataFrame:

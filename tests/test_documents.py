@@ -161,13 +161,3 @@ def test_gate(spark):
     e = spark.createDataFrame([("d", i, x, ok) for i, (x, ok) in enumerate(GATE)], "doc_id string, seq long, event string, ok boolean")
     assert [r["outcome"] for r in J.review_gate(e).orderBy("seq").collect()] == GATE_WANT
 
-
-def test_gate_stream(spark, tmp_path):
-    e = spark.createDataFrame([("d", i, x, ok) for i, (x, ok) in enumerate(GATE)], "doc_id string, seq long, event string, ok boolean")
-    e.where("seq < 4").coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = J.review_gate_stream(J.read_event_stream(spark, f"{tmp_path}/in", e.schema)).writeStream.format("memory").queryName("gate").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    e.where("seq >= 4").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    q.processAllAvailable()
-    q.stop()
-    assert [r["outcome"] for r in spark.table("gate").orderBy("seq").collect()] == GATE_WANT
