@@ -145,3 +145,8 @@ def taxonomy(spark) -> dict[str, DataFrame]:
 def label(df: DataFrame, dim: DataFrame, code: str, text: str, fallback: str) -> DataFrame:
     """df with the dimension's label of `code`, the code itself where there is none."""
     return df.join(dim, code, "left").withColumn(text, F.coalesce(F.col(text), F.col(fallback)))
+
+
+def label_rows(dim: DataFrame) -> DataFrame:
+    """(code, label, definition, ord) of a dimension; codes without a label are their own."""
+    return dim.select("code", F.coalesce("label", "code").alias("label"), "definition", "ord")

@@ -111,3 +111,22 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int
 def deliver_chunk(chunked: DataFrame, doc, number: int) -> DataFrame:
     """One chunk by number from 1 (smaller ones mean the first); no row once all are delivered."""
     return chunked.where((F.col("doc_id") == doc) & (F.col("chunk_no") == max(1, number)))
+
+
+def deliver(docs: DataFrame, chunked: DataFrame, doc, number: int, key: str = "doc_id") -> DataFrame:
+    """The answer for a chunk by number from 1 (smaller ones mean the first): one row (key, error,
+    chunk_no, chunk, total_chunks, complete, extraction_method, extraction_problems, next_step). Beyond
+    the last one it is complete, without a chunk but with how the text was extracted; a document that
+    isn't there, or whose problems make its text unusable, is an error. docs has the columns
+    extraction_method and extraction_problems where they are known."""
+    there = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)
+    method, problems = there("extraction_method", "string"), F.coalesce(there("extraction_problems", "array<string>"), F.array().cast("array<string>"))
+    own = docs.where(F.col(key) == doc).select(F.col(key), method.alias("extraction_method"), problems.alias("extraction_problems"))
+    told = chunked.where(F.col(key) == doc).agg(F.count("*").alias("total_chunks"), F.max(F.when(F.col("chunk_no") == max(1, number), F.col("chunk"))).alias("chunk"))
+    asked = docs.sparkSession.range(1).select(F.lit(doc).cast(docs.schema[key].dataType).alias(key))
+    row = asked.join(own, key, "left").join(told, F.lit(True))  # one row each
+    known, blocked = F.col("extraction_problems").isNotNull(), ~usable(F.col("extraction_problems"))
+    error = F.when(~known, "ARTICLE_NOT_FOUND").when(blocked, "EXTRACTION_FAILED")
+    done = error.isNull() & F.col("chunk").isNull()
+    step = F.when(error == "ARTICLE_NOT_FOUND", "get_next_article").when(error.isNotNull(), "skip_article").when(done, "validate_classification").otherwise("get_chunk")
+    return row.select(key, error.alias("error"), F.when(error.isNull() & ~done, max(1, number)).cast("long").alias("chunk_no"), F.when(error.isNull(), F.col("chunk")).alias("chunk"), "total_chunks", done.alias("complete"), "extraction_method", "extraction_problems", step.alias("next_step"))

@@ -188,6 +188,27 @@ def page_total(df: DataFrame, partition: str, size: int = 10) -> DataFrame:
     return df.groupBy(partition).agg(F.ceil(F.count("*") / size).alias("total"))
 
 
+def translations_for_review(articles: DataFrame, translations: DataFrame, lang: str = "fr", key: str = "id") -> DataFrame:
+    """Articles beside their translation into one language, for those that have one."""
+    own = translations.where(F.col("target_language") == lang)
+    return articles.join(own.withColumnRenamed("article_id", key), key)
+
+
+def running_jobs(jobs: DataFrame) -> DataFrame:
+    return jobs.where(F.col("status") == "running")
+
+
+def recent_jobs(jobs: DataFrame, limit: int = 10) -> DataFrame:
+    """The latest jobs by creation, ties by id."""
+    return jobs.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()).limit(limit)
+
+
+def latest_events(events: DataFrame, key: str = "job_id", order: tuple[str, ...] = ("ts", "event_id"), limit: int = 50) -> DataFrame:
+    """The newest `limit` events of each job; a job with any number of events is numbered by all tasks."""
+    (at,) = free(events, "at")
+    return numbered(events, [F.col(c).desc() for c in order], [key], at).where(F.col(at) < limit).drop(at)
+
+
 def split_by_presence(df: DataFrame, other: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is in other, and rows whose key is not."""
     return df.join(other, key, "left_semi"), df.join(other, key, "left_anti")
@@ -198,6 +219,11 @@ def job_to_show(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.when(F.col("status") == "running", 0).otherwise(1), F.col("created_at").desc_nulls_last(), F.col("id").desc()).limit(1)
 
 
+def session_state_all(df: DataFrame) -> DataFrame:
+    """Every session's row, with defaults for what is null."""
+    return df.withColumns({"articles_processed_count": F.coalesce("articles_processed_count", F.lit(0)), "human_review_interval": F.coalesce("human_review_interval", F.lit(5))})
+
+
 def session_state(df: DataFrame) -> DataFrame:
     return df.where("id = 1").select(F.coalesce("articles_processed_count", F.lit(0)).alias("articles_processed_count"), F.coalesce("human_review_interval", F.lit(5)).alias("human_review_interval"), "last_reset_at", "last_reset_date")
 

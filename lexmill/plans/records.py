@@ -4,12 +4,15 @@ that a change touches or not."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill import schemas
 from lexmill.functions import html as H, text as X, vocabulary as V
-from lexmill.operators import classify as C, relational as R
+from lexmill.operators import classify as C, glossary as G, relational as R
 from lexmill.plans.tables import ARTICLES, articles, links, translations, TRANSLATIONS
+from lexmill.plans.texts import learned_terms
 from lexmill.session import shared_dir, table
 from lexmill.sources import readers, store as S
 from lexmill.streaming import jobs as J
@@ -222,20 +225,21 @@ TOKEN_ERRORS = """SELECT event_id::VARCHAR AS token, CASE WHEN user_id % 5 = 0 T
 
 
 def session_steps(spark, sf):
-    """The session after increments, a new interval and a reset, and its limit on two days."""
-    start = schemas.empty(spark, "session_state")
-    saved = S.session_increment(S.session_interval(start, 3), 3).withColumn("last_reset_date", F.lit("2024-01-01").cast("date"))
-    steps = {"start": R.session_state(start), "saved": R.session_state(saved), "reset": R.session_state(S.session_reset(saved, now()))}
-    steps |= {f"limit {d}": J.session_limit(saved, F.lit(d).cast("date")) for d in ("2024-01-01", "2024-01-02")}
-    out = None
-    for name, s in steps.items():
-        limit = F.col("limit_reached") if "limit_reached" in s.columns else F.lit(None).cast("boolean")
-        one = s.select(F.lit(name).alias("step"), F.col("articles_processed_count").cast("long").alias("n"), F.col("human_review_interval").cast("long").alias("every"), limit.alias("limit_reached"))
-        out = one if out is None else out.union(one)
-    return out
+    """Sessions of users after their events: purchases are saves, signups resets; with a new interval, on
+    the last day and on the one after."""
+    state = J.sessions(table(spark, sf, "events"), interval=2)
+    on = lambda day: J.session_limit(state, day).select("user_id", F.col("articles_processed_count").cast("long").alias("n"), "limit_reached")
+    same, after = on(F.col("last_reset_date")), on(F.date_add(F.col("last_reset_date"), 1))
+    reset = R.session_state_all(S.session_reset(S.session_interval(state, 3), now())).select("user_id", F.col("articles_processed_count").cast("long").alias("n"), (F.col("human_review_interval") <= 0).alias("limit_reached"))
+    steps = {"same day": same, "day after": after, "reset": reset}
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("step"), "*") for name, df in steps.items()])
 
 
-SESSION = f"SELECT step, n::BIGINT AS n, every::BIGINT AS every, l::BOOLEAN AS limit_reached FROM (VALUES {values([('start', 0, 5, None), ('saved', 3, 3, None), ('reset', 0, 3, None)])}, ('limit 2024-01-01', 3, 3, true), ('limit 2024-01-02', 0, 3, false)) AS t(step, n, every, l)"
+SESSION = """WITH l AS (SELECT user_id, max(ts::DATE) FILTER (event_type = 'purchase') AS day, max(ts) FILTER (event_type = 'signup') AS reset FROM events GROUP BY 1),
+c AS (SELECT l.user_id, count(e.ts) AS n FROM l LEFT JOIN events e ON e.user_id = l.user_id AND event_type = 'purchase' AND ts::DATE = day AND (reset IS NULL OR ts > reset) GROUP BY 1)
+SELECT 'same day' AS step, user_id, n, n >= 2 AS limit_reached FROM c JOIN l USING (user_id)
+UNION ALL SELECT 'day after', user_id, CASE WHEN day IS NULL THEN n ELSE 0 END, CASE WHEN day IS NULL THEN n >= 2 ELSE false END FROM c JOIN l USING (user_id)
+UNION ALL SELECT 'reset', user_id, 0, false FROM l"""
 
 
 def mark_reviewed(spark, sf):
@@ -292,8 +296,17 @@ def migrated_columns(spark, sf):
 
 
 def token_rows(spark, sf):
-    t = S.token_row(spark, "t1", "a", {"method": "empirical"}, NOW).union(S.token_row(spark, "t2", "b", {}, NOW))
-    return t.select("token", "article_id", F.get_json_object("classification_data", "$.method").alias("method"), "used")
+    """Tokens of the valid ones among made-up classifications of documents, whose keywords are their words."""
+    i = F.col("doc_id")
+    method = F.element_at(F.array(*map(F.lit, (*V.METHODS, "poetry"))), (i % 5 + 1).cast("int"))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 6))
+    rows = docs(spark, sf).select(i.alias("article_id"), method.alias("method"), F.lit("academic").alias("voice"), F.lit(V.CATEGORIES[0]).alias("primary_category"), F.array().cast("array<string>").alias("secondary_categories"), words.alias("keywords"))
+    t = S.issue_tokens(C.validate(rows), ["method", "voice", "keywords"], F.lit(NOW))
+    return t.select("article_id", F.get_json_object("classification_data", "$.method").alias("method"), F.json_array_length(F.get_json_object("classification_data", "$.keywords")).cast("long").alias("n_keywords"), F.length("token").cast("long").alias("n_token"), F.col("used").cast("long").alias("used"))
+
+
+TOKEN_ROWS = rf"""WITH w AS (SELECT doc_id, len(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}]+'), lambda x: length(x) > 6))) AS n FROM documents)
+SELECT doc_id::VARCHAR AS article_id, ['{"', '".join(V.METHODS)}'][doc_id % 5 + 1] AS method, n AS n_keywords, 64::BIGINT AS n_token, 0::BIGINT AS used FROM w WHERE doc_id % 5 < 4 AND n BETWEEN 5 AND 15"""
 
 
 # Classification and decisions.
@@ -336,12 +349,18 @@ FROM documents LEFT JOIN f ON f.i = doc_id % {len(_FLAGS) + 1}"""
 
 
 def taxonomy_rows(spark, sf):
-    data = {"methods": {"empirical": {"label": "Empirical", "definition": "new data"}, "theory": "Theory"}, "version": 2, "voices": {"academic": None}}
+    """Dimensions made of the languages and sources of documents, as a file's sections make them, with
+    the documents of each code."""
+    d = docs(spark, sf)
+    counts = {c: [(r[0], r[1]) for r in d.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(c).collect()] for c in ("lang", "source")}  # a dimension is small
+    data = {"lang": {k: {"label": k.upper(), "definition": f"{n} documents"} for k, n in counts["lang"]}, "source": {k: None for k, _ in counts["source"]}, "version": 2}
     parts = readers.taxonomy_rows(spark, data)
-    return parts["methods"].withColumn("section", F.lit("methods")).union(parts["voices"].withColumn("section", F.lit("voices"))).withColumn("ord", F.col("ord").cast("long"))
+    held = [d.join(C.label_rows(parts[c]), F.col(c) == F.col("code")).groupBy("code", "label", "definition", "ord").agg(F.count("*").alias("n")).withColumn("section", F.lit(c)) for c in ("lang", "source")]
+    return held[0].union(held[1]).withColumn("ord", F.col("ord").cast("long"))
 
 
-TAXONOMY = f"SELECT code, label, definition, ord::BIGINT AS ord, section FROM (VALUES {values([('empirical', 'Empirical', 'new data', 0, 'methods'), ('theory', 'Theory', None, 1, 'methods'), ('academic', 'academic', None, 0, 'voices')])}) AS t(code, label, definition, ord, section)"
+TAXONOMY = """SELECT lang AS code, upper(lang) AS label, count(*) || ' documents' AS definition, row_number() OVER (ORDER BY lang) - 1 AS ord, count(*) AS n, 'lang' AS section FROM documents WHERE lang IS NOT NULL GROUP BY 1
+UNION ALL SELECT source, source, NULL, row_number() OVER (ORDER BY source) - 1, count(*), 'source' FROM documents WHERE source IS NOT NULL GROUP BY 1"""
 
 
 def article_methods(spark, sf):
@@ -533,16 +552,19 @@ def log_tail(spark, sf):
 
 
 def glossary_index(spark, sf):
-    """Keys of a small glossary, as entries of a file make them."""
-    from lexmill.operators import glossary as G
+    """Keys of a glossary of the benchmark's words and pairs of words, with their hyphen variants, an
+    entry that is looked up, and all terms."""
+    ix = G.stamp(G.index(learned_terms(spark, sf)), "v3")
+    first = ix.agg(F.min("en")).first()[0] or ""
+    one = G.entry(ix, first.upper()).select(F.lit("entry"), "en", "fr", "glossary_version")
+    return ix.select("term_key", "en", "fr", "glossary_version").union(one).union(G.all_terms(ix).select(F.lit("all"), "en", "fr", F.lit(None).cast("string")))
 
-    data = {"version": 3, "general": [{"en": "Demand  Avoidance", "fr": "évitement", "fr_alt": "refus", "abbreviation": "DA"}, {"fr": "no en"}, "text"], "more": [{"en": "self-report", "fr": "auto"}, {"en": "DA", "fr": "other"}]}
-    e = readers.glossary_entries(spark, data)
-    ix = G.stamp(G.index(e), "v3")
-    return ix.select("term_key", "en", "fr", "glossary_version").union(G.entry(ix, "SELF  report").select(F.lit("entry"), "en", "fr", "glossary_version")).union(G.all_terms(ix).select(F.lit("all"), "en", "fr", F.lit(None)))
 
+GLOSSARY_INDEX = r"""WITH w AS (SELECT list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w FROM benchmark),
+g AS (SELECT DISTINCT en FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS en FROM w) WHERE length(en) >= 8),
+k AS (SELECT DISTINCT unnest([en, replace(en, ' ', '-')]) AS term_key, en, reverse(en) AS fr, 'v3' AS glossary_version FROM g)
+SELECT * FROM k UNION ALL SELECT 'entry', en, fr, glossary_version FROM k WHERE term_key = (SELECT min(en) FROM g) UNION ALL SELECT 'all', en, reverse(en), NULL FROM g"""
 
-_GLOSSARY = [("demand avoidance", "Demand  Avoidance", "évitement", "v3"), ("demand-avoidance", "Demand  Avoidance", "évitement", "v3"), ("da", "DA", "other", "v3"), ("self-report", "self-report", "auto", "v3"), ("self report", "self-report", "auto", "v3"), ("entry", "self-report", "auto", "v3"), ("all", "Demand  Avoidance", "évitement", None), ("all", "self-report", "auto", None), ("all", "DA", "other", None)]
 
 P = "CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN 't' END"
 QUERIES = {
@@ -570,7 +592,7 @@ QUERIES = {
     "claim_next": (claim_next, CLAIM),
     "tokens_used": (tokens_used, "SELECT event_id::VARCHAR AS token, CASE WHEN event_id = 999 OR event_id IN (SELECT doc_id FROM documents) THEN 1 ELSE user_id % 2 END::INT AS used FROM events"),
     "token_errors": (token_errors, TOKEN_ERRORS),
-    "token_rows": (token_rows, "SELECT * FROM (VALUES ('t1', 'a', 'empirical', 0), ('t2', 'b', NULL, 0)) AS t(token, article_id, method, used)"),
+    "token_rows": (token_rows, TOKEN_ROWS),
     "session_steps": (session_steps, SESSION),
     "mark_reviewed": (mark_reviewed, REVIEWED),
     "approved_articles": (approved, APPROVED),
@@ -600,5 +622,5 @@ QUERIES = {
     "listed_files": (listed_files, f"SELECT n || '.parquet' AS name, n AS slug, '.parquet' AS extension FROM (SELECT unnest([{', '.join(map(repr, NAMES))}]) AS n)"),
     "batches_to_do": (batches_to_do, "SELECT printf('%08d', doc_id) AS slug, (row_number() OVER (ORDER BY doc_id) - 1) // 5 AS batch FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "log_tail": (log_tail, "SELECT event_id, props AS value FROM events WHERE event_id % 4 <> 0 ORDER BY event_id DESC LIMIT 30"),
-    "glossary_index": (glossary_index, f"SELECT * FROM (VALUES {values(_GLOSSARY)}) AS t(term_key, en, fr, glossary_version)"),
+    "glossary_index": (glossary_index, GLOSSARY_INDEX),
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.plans import language, layout, records, tables, texts
+from lexmill.plans import language, layout, records, stored, tables, texts
 
 FLAGSHIP = "pair_quality_flags"
-ALL = {**texts.QUERIES, **tables.QUERIES, **records.QUERIES, **layout.QUERIES, **language.QUERIES}
+ALL = {**texts.QUERIES, **tables.QUERIES, **records.QUERIES, **layout.QUERIES, **language.QUERIES, **stored.QUERIES}
 
 
 def queries() -> dict:

@@ -244,7 +244,7 @@ def learned_terms(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "benchmark").select("item_id", words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1)), lambda i: F.array_join(F.slice("w", i, 2), " "))
     en = own.select("item_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("en")).where("length(en) >= 8")
-    return en.groupBy("en").agg(F.min("item_id").cast("int").alias("ord")).select("ord", "en", F.upper("en").alias("fr"), F.lit(None).cast("array<string>").alias("fr_alt"), F.lit(None).cast("string").alias("abbreviation"), F.lit(None).cast("string").alias("note"))
+    return en.groupBy("en").agg(F.min("item_id").cast("int").alias("ord")).select("ord", "en", F.reverse("en").alias("fr"), F.lit(None).cast("array<string>").alias("fr_alt"), F.lit(None).cast("string").alias("abbreviation"), F.lit(None).cast("string").alias("note"))
 
 
 def learned_term_hits(spark, sf):

@@ -137,6 +137,13 @@ def token_row(spark: SparkSession, token: str, article_id: str, payload: dict, n
     return spark.createDataFrame([(token, article_id, json.dumps(payload), now, 0)], "token string, article_id string, classification_data string, created_at string, used int")
 
 
+def issue_tokens(validated: DataFrame, payload: list[str], now: Column) -> DataFrame:
+    """(token, article_id, classification_data, created_at, used): a token row for each valid one of
+    validated(article_id, valid, token, ...), with the columns of payload as JSON."""
+    data = F.to_json(F.struct(*payload))
+    return validated.where("valid").select("token", F.col("article_id").cast("string").alias("article_id"), data.alias("classification_data"), now.cast("string").alias("created_at"), F.lit(0).alias("used"))
+
+
 def mark_token_used(tokens: DataFrame, token: str) -> DataFrame:
     return update(tokens, F.col("token") == token, used=1)
 
@@ -269,7 +276,7 @@ class Store:
         number, version = self._newest(), uuid.uuid4().hex
         held = self.manifest(number).get(name)
         if held is None:
-            held = {"keys": keys, "buckets": BUCKETS, "schema": rows.schema.jsonValue(), "parts": {}}
+            held = {"keys": keys, "buckets": BUCKETS, "schema": rows.schema.toNullable().jsonValue(), "parts": {}}
         elif isinstance(held, str) or held["keys"] != keys:
             raise ValueError(f"{name} is not in buckets of {keys}")
         part, fresh, known = free(rows, "part", "fresh", "known")
@@ -306,3 +313,23 @@ class Store:
             more[other] = f"{other}/{version}"
         self._point({name: held, **more}, number, version)
         return touched
+
+    def delete(self, name: str, rows: DataFrame, keys: list[str]) -> list[int]:
+        """Drop the rows of a bucketed table whose keys are in rows; only their buckets are rewritten."""
+        number, version = self._newest(), uuid.uuid4().hex
+        held = self.manifest(number)[name]
+        (part,) = free(rows, "part")
+        bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(held["buckets"])).cast("int")
+        gone = stash(rows.select(*keys).distinct().withColumn(part, bucket), "delete")
+        touched = [str(r[0]) for r in gone.select(part).distinct().orderBy(part).collect() if str(r[0]) in held["parts"]]
+        if not touched:
+            return []
+        old = self._parts(held, touched)
+        other = gone.select(*[F.col(k).alias(f"{part}{k}") for k in keys])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{part}{k}")) for k in keys])
+        left = old.join(other, same, "left_anti").withColumn(part, bucket)
+        left.repartition(len(touched), part).write.partitionBy(part).parquet(f"{self.root}/{name}/{version}")
+        full = {str(r[0]) for r in self.spark.read.schema(left.schema).parquet(f"{self.root}/{name}/{version}").select(part).distinct().collect()}
+        parts = {k: v for k, v in held["parts"].items() if k not in touched} | {k: f"{name}/{version}/{part}={k}" for k in touched if k in full}
+        self._point({name: {**held, "parts": parts}}, number, version)
+        return [int(k) for k in touched]

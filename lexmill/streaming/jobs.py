@@ -75,6 +75,17 @@ def session_limit(state: DataFrame, today: Column) -> DataFrame:
     return out.withColumn("limit_reached", F.col("articles_processed_count") >= F.col("human_review_interval"))
 
 
+def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", kind: str = "event_type", save: str = "purchase", reset: str = "signup", interval: int = 5) -> DataFrame:
+    """(key, articles_processed_count, human_review_interval, last_reset_at, last_reset_date) of each key's
+    session after its events: saves of the last day with any, after the last reset. Days begin anew."""
+    last = events.groupBy(key).agg(F.max(F.when(F.col(kind) == save, F.to_date(ts))).alias("last_reset_date"), F.max(F.when(F.col(kind) == reset, F.col(ts))).alias("last_reset_at"))
+    saves = events.where(F.col(kind) == save).select(F.col(key).alias("of"), F.col(ts).alias("at"))
+    counted = (F.to_date("at") == F.col("last_reset_date")) & (F.col("last_reset_at").isNull() | (F.col("at") > F.col("last_reset_at")))
+    n = saves.join(last, F.col("of").eqNullSafe(F.col(key))).where(counted).groupBy("of").agg(F.count("*").alias("n"))
+    out = last.join(n, F.col(key).eqNullSafe(F.col("of")), "left")
+    return out.select(key, F.coalesce("n", F.lit(0)).cast("int").alias("articles_processed_count"), F.lit(interval).alias("human_review_interval"), "last_reset_at", "last_reset_date")
+
+
 STEPS = ("fields", "warnings", "references", "formulas")
 OUTCOME = "doc_id string, seq long, event string, outcome string, done string"
 
