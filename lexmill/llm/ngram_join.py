@@ -2,12 +2,13 @@
 
 Signatures of `TREES` x `LEVELS` MinHash bytes form an LSH forest: in each tree a document is a
 sorted key of LEVELS bytes, so documents with a common prefix are under one node of the trie. The
-join starts at whole keys and shortens the matched prefix by a byte at a time. At each depth every
+join starts at whole keys and shortens the matched prefix by whole bytes. At each depth every
 document first joins a leader under a common trie node, which gathers large groups of near copies at
 a cost in proportion to them; then the pairs still open (of different classes under one trie node)
 are compared by their signatures, in blocks. What is found tells how many near pairs share only
-shorter prefixes, and prefixes are shortened until this measured recall reaches the target; where
-too few are found to measure it, until the recall expected of pairs at the threshold does. Inside
+shorter prefixes, and prefixes are shortened to the depth at which that reaches the target, where
+it is measured again; where too few are found to measure it, to the depth at which the recall expected of
+pairs at the threshold does. Inside
 the classes of candidates all pairs are then verified on their whole n-gram sets, in blocks that
 pass on sums and as few links as join a class, never pairs. The result is one row per document with
 its class, the connected component of verified links, and its number of links.
@@ -161,16 +162,18 @@ def least_equal(threshold: float) -> float:
     return width * threshold - MARGIN * (width * threshold * (1 - threshold)) ** 0.5
 
 
-def measured(pairs: dict[int, float], depth: int, threshold: float = THRESHOLD, recall: float = RECALL) -> float:
-    """Recall down to a depth, of the pairs hardest to find: those at most BAND above the threshold.
-    `pairs` has the number found by equal signature bytes; as each is found with the probability
-    expected_recall(), it stands for so many that share only shorter prefixes. Fewer pairs than
-    1 / (1 - recall) are no evidence: then recall is that expected of pairs at the threshold, as it
-    is for a depth that expects more of them than was measured."""
-    width = TREES * LEVELS
-    band = [(n, expected_recall(depth, equal / width)) for equal, n in pairs.items() if threshold <= equal / width <= threshold + BAND]
-    found, least = sum(n for n, _ in band), expected_recall(depth, threshold)
-    return max(least, found / sum(n / p for n, p in band)) if found * (1 - recall) >= 1 else least
+def measured(pairs: dict[int, float], at: int, threshold: float = THRESHOLD, recall: float = RECALL, depth: int | None = None) -> float:
+    """Recall of matches down to `depth` (by default `at`), of the pairs hardest to find: those at most
+    BAND above the threshold. `pairs` has the number found by equal signature bytes with prefixes of
+    `at` bytes; as each is found with the probability expected_recall(), it stands for so many that
+    share only shorter prefixes. Fewer pairs than 1 / (1 - recall) are no evidence: then recall is that
+    expected of pairs at the threshold, as it is where that is more than what was measured."""
+    depth, width = at if depth is None else depth, TREES * LEVELS
+    band = [(n / expected_recall(at, equal / width), equal / width) for equal, n in pairs.items() if threshold <= equal / width <= threshold + BAND]
+    found, least = sum(n for equal, n in pairs.items() if threshold <= equal / width <= threshold + BAND), expected_recall(depth, threshold)
+    if found * (1 - recall) < 1:
+        return least
+    return max(least, sum(n * expected_recall(depth, similarity) for n, similarity in band) / sum(n for n, _ in band))
 
 
 def _grouped(nodes: DataFrame, depth: int) -> DataFrame:
@@ -369,11 +372,12 @@ def _picks(id, text) -> list:
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, list[tuple[int, float]]]:
     """nodes(id, keys, class): classes are what signatures join under common prefixes, which shorten
-    from whole keys on until the recall measured reaches the target; also the depths and recalls.
+    from whole keys on as far as what is measured asks for, until the recall reaches the target; also the
+    depths and recalls.
     At each depth nodes join leaders first, which closes large groups cheaply, then open pairs are
     compared."""
-    typed, told, pairs = nodes.withColumn("class", F.col("id")), [], collections.Counter()
-    for depth in range(LEVELS, 0, -1):
+    typed, told, pairs, depth = nodes.withColumn("class", F.col("id")), [], collections.Counter(), LEVELS
+    while True:
         for step in (leaders, across):
             links = stash(step(typed, depth, threshold), "open")
             counts = {r["equal"]: r for r in links.groupBy("equal").agg(F.sum("pairs").alias("pairs"), F.count("u").alias("links")).collect()}  # at most one row a byte count
@@ -383,7 +387,9 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
         told.append((depth, measured(pairs, depth, threshold, recall)))
         if told[-1][1] >= recall:
             return typed, told
-    raise RuntimeError(f"recall {told[-1][1]:.4f} at the shortest prefix is short of {recall}")
+        if depth == 1:
+            raise RuntimeError(f"recall {told[-1][1]:.4f} at the shortest prefix is short of {recall}")
+        depth = next((d for d in range(depth - 1, 1, -1) if measured(pairs, depth, threshold, recall, d) >= recall), 1)
 
 
 def classified(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True) -> tuple[DataFrame, DataFrame]:
