@@ -5,7 +5,8 @@ any file system serves; `read_files` reads real .warc.zst files the same way. Th
 the dictionary, walks frame headers and block headers to find each frame, decodes one frame per
 record, and validates version line, required headers, lengths, trailer and digests.
 
-Defined cases: a null html is an empty payload; a null url is written as an empty target; rows of
+Defined cases: a null html is an empty payload; a null url has no target; a url that a
+header line can't hold is percent-encoded there and read back as it was; rows of
 null page_id are responses that none refers to; rows that repeat page_id and payload of a response
 are responses too; very long payloads are records of their own archive; an empty table gives no
 archive; other columns are ignored, whatever their names.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -54,17 +56,34 @@ def _page(uri: str | None) -> int | None:
     return int(m[1]) if m[1] else None
 
 
+#: Tells that the target is percent-encoded.
+ENCODED = "X-Target-Encoding"
+
+
+def target(url: str | None) -> list[str]:
+    """Header lines of a URL; one that a header can't hold as it is, is percent-encoded, and says so."""
+    if url is None:
+        return []
+    if url == re.sub(r"[\x00-\x1f\x7f]", "", url).strip():
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {quote(url)}", f"{ENCODED}: percent"]
+
+
+def url_of(headers: dict[str, str]) -> str | None:
+    url = headers.get("WARC-Target-URI")
+    return unquote(url) if ENCODED in headers else url
+
+
 def record(page, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, payload_digest: str | None = None, date: str = DATE) -> bytes:
     """One WARC record of an HTTP response; a revisit keeps the HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    target = re.sub(r"[\r\n]", "", url or "")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {_uri(page)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {target}",
+        *target(url),
         f"WARC-Payload-Digest: sha1:{payload_digest or digest(payload)}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
         *([f"WARC-Refers-To: {_uri(refers_to)}", f"WARC-Profile: {REVISIT}"] if revisit else []),
@@ -176,10 +195,10 @@ def describe(content: bytes) -> tuple:
     if kind == "response":
         if size != len(payload) or stated != digest(payload):
             raise WarcError("the payload's length or digest is wrong")
-        return _page(headers["WARC-Record-ID"]), size, stated, kind, None, headers.get("WARC-Target-URI", ""), payload
+        return _page(headers["WARC-Record-ID"]), size, stated, kind, None, url_of(headers), payload
     if payload or not re.fullmatch("[A-Z2-7]{32}", stated) or "WARC-Refers-To" not in headers:
         raise WarcError("a bad revisit")
-    return _page(headers["WARC-Record-ID"]), size, stated, kind, _page(headers["WARC-Refers-To"]), headers.get("WARC-Target-URI", ""), None
+    return _page(headers["WARC-Record-ID"]), size, stated, kind, _page(headers["WARC-Refers-To"]), url_of(headers), None
 
 
 def _sha1():

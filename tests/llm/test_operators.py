@@ -272,6 +272,14 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_targets(spark):
+    """Every URL comes back as it was: none, empty, with line ends or blanks, encoded already."""
+    urls = [None, "", "http://a/%0D?x=1", "u\r\nWARC-Type: x", " blank ", "é\n%41", "a\tb", "%"]
+    pages = spark.createDataFrame([(i, u, "same" if i % 2 else f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], r["record_type"]) for r in warc.op1(spark, pages).collect()}
+    assert got == {i: (u, "revisit" if i % 2 and i > 1 else "response") for i, u in enumerate(urls)}
+
+
 def test_warc_keeps_payloads_of_a_repeated_page(spark):
     """Of a page_id with two payloads, only the one that an earlier page has is a revisit."""
     pages = spark.createDataFrame([(1, "a", "<p>x</p>"), (4, "b", "<p>x</p>"), (4, "b", "<p>own</p>"), (2, "c", "<p>y</p>"), (4, "d", "<p>y</p>")], "page_id long, url string, html string")
