@@ -105,6 +105,37 @@ def _by_automaton(normal: DataFrame, terms: DataFrame, key: str, lenient: bool)
     return normal.mapInArrow(run, shape)
 
 
+def contained(texts: DataFrame, patterns: list[tuple[int, str, str]], key: str) -> DataFrame:
+    """(key, priority, section) of the first of patterns(priority, pattern, section) that each text of
+    texts(key, t) contains anywhere; no row for texts with none. An empty pattern is in every text."""
+    shape = texts.select(key).schema.add("priority", "long").add("section", "string")
+    ordered = sorted(patterns, key=lambda p: p[0])
+    always = next((i for i, p in enumerate(ordered) if not p[1]), None)
+    if not ordered:
+        return texts.sparkSession.createDataFrame([], shape)
+    shared, known = texts.sparkSession.sparkContext.broadcast(ordered), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = shared.value
+        first: dict[str, int] = {}
+        for i, p in enumerate(entries):
+            first.setdefault(p[1], i)
+        words = [w for w in first if w]
+        automaton = _automaton(known, words) if words else None
+        for batch in batches:
+            rows, hits = [], []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                found = [first[words[i]] for _, (i, _) in automaton.iter(t)] if automaton else []
+                if always is not None:
+                    found.append(always)
+                if found:
+                    rows.append(row)
+                    hits.append(entries[min(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([h[0] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.string())], shape.names)
+
+    return texts.mapInArrow(run, shape)
+
+
 #: Tokens of the longest runs that texts and terms meet by.
 RUN = 6
 

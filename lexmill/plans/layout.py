@@ -277,7 +277,7 @@ SELECT doc_id, count(*) AS n, md5(string_agg(v, chr(10) ORDER BY island)) AS dig
 def statistics_text(spark, sf) -> DataFrame:
     i = F.col("doc_id")
     stats = F.concat(F.lit(" F("), (i % 4 + 1).cast("string"), F.lit(", 20) = 3.1 and p < .05, r = "), F.when(i % 2 == 0, "-").otherwise(""), F.lit(".4; χ² (3) = 7 "))
-    return docs(spark, sf).select("doc_id", F.lit(0).alias("pos"), F.lit("p").alias("tag"), F.concat(F.left("text", F.lit(40)), stats).alias("text"))
+    return docs(spark, sf).select("doc_id", F.lit(0).alias("pos"), F.lit("p").alias("tag"), F.concat(F.coalesce("text", F.lit("")), stats).alias("text"))
 
 
 def formulas_found(spark, sf):

@@ -102,13 +102,13 @@ def admin_article(spark, sf):
 
 
 def keywords_of_articles(spark, sf):
-    words = docs(spark, sf).select(F.col("doc_id").alias("article_id"), F.explode(F.array_distinct(F.slice(X.words(F.col("text")), 1, 6))).alias("keyword"))
+    words = docs(spark, sf).select(F.col("doc_id").alias("article_id"), F.explode(F.array_distinct(X.words(F.col("text")))).alias("keyword"))
     dictionary = words.select("keyword").distinct().select(F.xxhash64("keyword").alias("id"), "keyword")
     own = words.select("article_id", F.xxhash64("keyword").alias("keyword_id"))
     return R.keywords_of_articles(own, dictionary).select("article_id", F.array_join("keywords", "|").alias("keywords"))
 
 
-FIRST_WORDS = "list_distinct(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')[1:6])"
+DISTINCT_WORDS = "list_distinct(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
 
 
 def migration_counts(spark, sf):
@@ -502,7 +502,7 @@ def resource_records(spark, sf) -> DataFrame:
     i = F.col("doc_id")
     return docs(spark, sf).select(
         i.cast("string").alias("id"), F.concat(F.lit("T"), i.cast("string")).alias("title_en"), F.when(i % 2 == 0, "Titre").when(i % 4 == 1, "").alias("title_fr"), F.lit("2020").alias("year"),
-        F.array_distinct(F.slice(X.words(F.col("text")), 1, 6)).alias("keywords"), F.lit("s").alias("summary_en"), F.when(i % 3 == 0, "résumé").alias("summary_fr"), F.lit("https://x").alias("url"),
+        F.array_distinct(X.words(F.col("text"))).alias("keywords"), F.lit("s").alias("summary_en"), F.when(i % 3 == 0, "résumé").alias("summary_fr"), F.lit("https://x").alias("url"),
         F.when(i % 5 > 0, F.col("source")).alias("category"), F.element_at(F.array(*map(F.lit, ("completed", "not_started", "in_review"))), (i % 3 + 1).cast("int")).alias("translation_status"),
     )
 
@@ -516,7 +516,7 @@ def resource_tables(spark, sf):
 
 
 RESOURCES = f"""WITH r AS (SELECT doc_id, doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'Titre' WHEN doc_id % 4 = 1 THEN '' END AS t, CASE WHEN doc_id % 3 = 0 THEN 'résumé' END AS s,
-  ['translated', 'pending', 'in_review'][doc_id % 3 + 1] AS st, CASE WHEN doc_id % 5 > 0 THEN source END AS c, {FIRST_WORDS} AS k FROM documents)
+  ['translated', 'pending', 'in_review'][doc_id % 3 + 1] AS st, CASE WHEN doc_id % 5 > 0 THEN source END AS c, {DISTINCT_WORDS} AS k FROM documents)
 SELECT 'article' AS kind, id, st AS v FROM r UNION ALL SELECT 'translation', id, concat_ws('|', st, t, s) FROM r WHERE coalesce(nullif(t, ''), nullif(s, '')) IS NOT NULL
 UNION ALL SELECT 'keyword', id, unnest(k) FROM r UNION ALL SELECT 'category', id, c FROM r WHERE c IS NOT NULL"""
 
@@ -579,7 +579,7 @@ QUERIES = {
     "picked_docs": (picked, "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (5, 2, 9)"),
     "admin_articles": (admin_articles, f"WITH {ARTICLES}, {TRANSLATIONS} SELECT a.id, a.category, md5(t.translated_title) AS title FROM articles a LEFT JOIN translations t ON t.article_id = a.id AND t.target_language = 'fr' WHERE a.status = 'translated' AND a.category = 'src1' AND a.id % 2 = 1"),
     "admin_article": (admin_article, f"WITH {ARTICLES} SELECT id, status, CASE WHEN id % 2 = 1 THEN category END AS category_id FROM articles WHERE id = 13"),
-    "keywords_of_articles": (keywords_of_articles, f"SELECT doc_id AS article_id, array_to_string(list_sort({FIRST_WORDS}), '|') AS keywords FROM documents WHERE len({FIRST_WORDS}) > 0"),
+    "keywords_of_articles": (keywords_of_articles, f"SELECT doc_id AS article_id, array_to_string(list_sort({DISTINCT_WORDS}), '|') AS keywords FROM documents WHERE len({DISTINCT_WORDS}) > 0"),
     "migration_counts": (migration_counts, f"WITH {ARTICLES}, {TRANSLATIONS} SELECT count(*) AS articles, count(*) FILTER (status <> 'pending') AS processed, (SELECT count(*) FROM translations) AS translations, (SELECT count(*) FROM benchmark) AS keywords, (SELECT count(*) FROM documents) AS links FROM articles"),
     "preferred_files": (preferred_files, "SELECT doc_id // 2 AS id, ['.txt', '.pdf', '.html'][min(CASE doc_id * 7 % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END)] AS extension FROM documents GROUP BY 1"),
     "unique_ids": (unique_ids, "WITH n AS (SELECT doc_id, source || '-2019-study-2019-things' AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) SELECT doc_id, s || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug FROM n"),

@@ -217,15 +217,21 @@ INSERT = """SELECT doc_id AS id, source FROM documents UNION ALL SELECT doc_id *
 
 
 def keyword_dictionary(spark, sf):
-    """Keywords (first words of documents) by number of articles after replacement."""
+    """Keywords by number of articles: first those of every document, its first word, and then those of
+    labelled documents are replaced by all their words."""
     d = table(spark, sf, "documents")
-    rows = d.select(F.col("doc_id").alias("article_id"), F.lower(F.get(X.words(F.col("text")), F.lit(0))).alias("keyword")).where("keyword is not null")
+    words = lambda df, c: df.select(F.col("doc_id").alias("article_id"), F.explode(F.array_distinct(c)).alias("keyword"))
+    own = F.transform(F.coalesce(X.words(F.col("text")), F.array().cast("array<string>")), lambda w: F.lower(w))
     empty = spark.createDataFrame([], "id long, keyword string"), spark.createDataFrame([], "article_id long, keyword_id long")
-    known, own = S.replace_keywords(*empty, rows)
-    return own.join(known, own.keyword_id == known.id).groupBy("keyword").agg(F.count("*").alias("n"))
+    known, links = S.replace_keywords(*empty, words(d, F.slice(own, 1, 1)))
+    known, links = S.replace_keywords(known, links, words(R.split_by_presence(d, table(spark, sf, "labels"), "doc_id")[0], own))
+    return links.join(known, links.keyword_id == known.id).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
-KEYWORDS = """SELECT keyword, count(*) AS n FROM (SELECT DISTINCT doc_id, lower(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')[1]) AS keyword FROM documents) WHERE keyword IS NOT NULL GROUP BY 1"""
+KEYWORDS = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, unnest(list_distinct(w)) AS keyword FROM w WHERE doc_id IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT doc_id, w[1] FROM w WHERE (doc_id NOT IN (SELECT doc_id FROM labels) OR len(w) = 0) AND len(w) > 0)
+SELECT keyword, count(*) AS n FROM k GROUP BY 1"""
 
 
 def token_cleanup(spark, sf):

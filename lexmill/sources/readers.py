@@ -73,11 +73,14 @@ def type_methods(data: dict) -> dict[str, tuple[str, ...]]:
     return out
 
 
-def first_pattern(texts: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section) of the first pattern contained in each text. Patterns come from small files,
-    and Spark broadcasts them only under its size threshold."""
-    hits = texts.join(patterns, F.contains(F.lower(F.col(text)), F.col("pattern")))
-    return hits.groupBy(key).agg(F.min_by("section", "priority").alias("section"))
+def first_pattern(texts: DataFrame, patterns: DataFrame, key: str, text: str, most_bytes: int = G.TERM_BYTES) -> DataFrame:
+    """(key, section) of the first pattern, by priority, contained in each text. Patterns of up to
+    most_bytes are one automaton that tasks hold; more are refused, as they come from small files."""
+    size = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"patterns of {size} bytes: at most {most_bytes}")
+    found = G.contained(texts.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")), [(r["priority"], r["pattern"], r["section"]) for r in patterns.select("priority", "pattern", "section").collect()], key)
+    return found.groupBy(key).agg(F.min_by("section", "priority").alias("section"))
 
 
 def resource_tables(resources: DataFrame) -> dict[str, DataFrame]:

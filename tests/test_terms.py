@@ -57,3 +57,15 @@ def test_automaton_of_many_terms(spark):
     data = [(i, " ".join(rng.choice(words) + rng.choice(["", "zz"]) for _ in range(300))) for i in range(30)]
     got = {(r["doc_id"], r["en"]) for r in G.find_terms(spark.createDataFrame(data, "doc_id long, text string"), ix).collect()}
     assert got == {(i, w) for i, t in data for w in set(t.split()) & set(words)}
+
+
+def test_first_pattern(spark):
+    """The pattern of least priority contained in a text, by one automaton."""
+    from lexmill.sources import readers
+
+    patterns = spark.createDataFrame([(3, "b", None, "result"), (1, "a", None, "method"), (2, "c", None, "ethod"), (9, "z", None, "re")], "priority int, section string, lang string, pattern string")
+    df = spark.createDataFrame([(1, "Results by METHOD"), (2, "results"), (3, "nothing"), (4, None), (None, "are"), (5, "ethod"), (5, "Results")], "k long, t string")
+    assert {(r["k"], r["section"]) for r in readers.first_pattern(df, patterns, "k", "t").collect()} == {(1, "a"), (2, "b"), (None, "z"), (5, "c")}
+    assert readers.first_pattern(df, patterns.where("false"), "k", "t").count() == 0 == readers.first_pattern(df.where("false"), patterns, "k", "t").count()
+    with pytest.raises(ValueError):
+        readers.first_pattern(df, patterns, "k", "t", most_bytes=3)
