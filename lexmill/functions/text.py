@@ -23,7 +23,7 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def contains_any(c: Column, needles) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles])
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles]) if needles else F.lit(False)
 
 
 def let(value: Column, body) -> Column:

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import extraction as E, relational as R, search as I
+from lexmill.operators import classify as C, extraction as E, relational as R, search as I
 from lexmill.plans.layout import PARAGRAPHS
-from lexmill.plans.tables import ARTICLES, articles, translations, TRANSLATIONS
+from lexmill.plans.tables import articles, translations, TRANSLATIONS
 from lexmill.plans.texts import CHUNKS, docs
 from lexmill.session import shared_dir, table
+from lexmill.sources import readers
 from lexmill.sources.chunk_cache import ChunkCache
-from lexmill.sources.store import Store
+from lexmill.sources.store import Store, write_json
 from lexmill.streaming import jobs as J
 
 THEN = datetime.datetime(2024, 1, 1, 12)
@@ -119,7 +120,37 @@ SELECT 'event' AS kind, user_id AS id, event_id FROM events QUALIFY row_number()
 UNION ALL SELECT 'running', id, created_at FROM j WHERE last = 'view'
 UNION ALL SELECT * FROM (SELECT 'recent', id, created_at FROM j ORDER BY created_at DESC, id DESC LIMIT 10)"""
 
+def json_round_trip(spark, sf):
+    """Documents written as JSON files and read back."""
+    path = place(spark, "json")
+    d = docs(spark, sf).select("doc_id", "source", "lang", "text")
+    write_json(d, path)
+    return spark.read.schema(d.schema).json(path).select("doc_id", "source", "lang", F.md5("text").alias("digest"))
+
+
+def tolerant_flag_lists(spark, sf):
+    """Lists out of a JSON column, in which some rows hold other text: flags of labelled documents, the
+    texts of the others."""
+    d, labelled = docs(spark, sf), table(spark, sf, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    flags = F.when(F.col("toxic").isNotNull(), F.to_json(F.array("source", "lang"))).otherwise(F.col("text"))
+    found = X.tolerant_flags(flags)
+    return d.join(labelled, "doc_id", "left").select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, "|").alias("flags"))
+
+
+TYPES = {"empirical": {"en": ["The "], "fr": ["Les ", "une "]}, "synthesis": ["und "], "theoretical": None, "other": ["el "]}
+
+
+def methods_of_texts(spark, sf):
+    """The first method of a file's mapping of which a text holds a pattern."""
+    return docs(spark, sf).select("doc_id", C.method_of(F.col("text"), readers.type_methods(TYPES)).alias("method"))
+
+
+METHODS_SQL = """SELECT doc_id, CASE WHEN contains(t, 'the ') OR contains(t, 'les ') OR contains(t, 'une ') THEN 'empirical' WHEN contains(t, 'und ') THEN 'synthesis' WHEN contains(t, 'el ') THEN 'other' END AS method FROM (SELECT doc_id, lower(text) AS t FROM documents)"""
+
 QUERIES = {
+    "json_round_trip": (json_round_trip, "SELECT doc_id, source, lang, md5(text) AS digest FROM documents"),
+    "tolerant_flag_lists": (tolerant_flag_lists, "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL) THEN 2 ELSE 0 END::BIGINT AS n, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL) THEN source || '|' || lang ELSE '' END AS flags FROM documents"),
+    "methods_of_texts": (methods_of_texts, METHODS_SQL),
     "store_upsert": (store_upsert, UPSERTED),
     "polled_events": (polled_events, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1"),
     "cached_chunks": (cached_chunks, CHUNKS),
