@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexmill.functions import html as H, text as X, vocabulary as V
+from lexmill.operators.numbering import running_sum
+from lexmill.session import free
 
 CHROME, FLOATS, PROSE, FIGURES = ("PageHeader", "PageFooter"), ("Figure", "Picture", "Caption", "Footnote", "Table"), ("Text", "Caption"), ("Figure", "Picture")
 BLOCK = "struct<block_type:string,html:string,page:int,images:map<string,string>>"
@@ -93,10 +95,27 @@ class Joiner:
 PREPARED = "joined boolean, text string, items array<string>, alt string, description string, shown string"
 
 
-def prepare(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+def barrier() -> Column:
+    """Whether no joining passes a block, as far as its kind and HTML alone tell: a heading that is no
+    metadata section, or a block of a kind that prose doesn't go on past."""
+    kind, html = F.coalesce(F.col("block_type"), F.lit("")), F.lower(F.coalesce(F.col("html"), F.lit("")))
+    # Only headings without inner tags and entities are told here: others may hide a metadata section.
+    plain = html.rlike(r"^\s*<h[1-6][^<>]*>[^<>&]*</h[1-6]>\s*$") & ~X.contains_any(html, V.METADATA_SECTIONS)
+    return F.when(kind == "SectionHeader", plain).otherwise(~kind.isin("Text", *CHROME, *FLOATS))
+
+
+def segmented(blocks: DataFrame, key: str, name: str) -> DataFrame:
+    """blocks with `name`, a number that rises at each barrier: what is between two barriers of a document
+    is joined by itself. Numbers come from range partitions, so a document of any length spreads."""
+    (at,) = free(blocks, "barrier")
+    return running_sum(blocks.withColumn(at, F.coalesce(barrier(), F.lit(False)).cast("long")), at, [key, "pos"], name).drop(at)
+
+
+def prepare(blocks: DataFrame, key: str = "doc_id", spread: bool = False) -> DataFrame:
     """blocks with continuations joined into the block they continue (`joined`), and what the HTML of
     each block says: text, items of a list, alt and description of a figure, and `shown`, the HTML
-    with formula spans. Documents are dealt out by key and sorted, and a task holds one at a time."""
+    with formula spans. Documents are dealt out by key and sorted, and a task holds one at a time; with
+    spread, a task holds what is between two barriers, and long documents are many tasks'."""
     columns = blocks.columns
     schema = T.StructType([*blocks.schema.fields, *T.StructType.fromDDL(PREPARED).fields])
     at = {c: columns.index(c) for c in ("block_type", "html", "page", "pos", key)}
@@ -115,25 +134,30 @@ def prepare(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches):
         held: list[tuple] = []
+        last: tuple = ()
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[at[key]] != held[-1][at[key]]:
+            for *row, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (row[at[key]], segment) != last:
                     out += parse(held)
                     held = []
-                held.append(row)
+                last = row[at[key]], segment
+                held.append(tuple(row))
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], arrow)
         if held:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in parse(held)], arrow)
 
     arrow = to_arrow_schema(schema)
-    return blocks.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(run, schema)
+    (segment,) = free(blocks, "segment")
+    by = [key, segment] if spread else [key]
+    dealt = segmented(blocks, key, segment) if spread else blocks.withColumn(segment, F.lit(0))
+    return dealt.select(*columns, segment).repartition(*by).sortWithinPartitions(*by, "pos").mapInArrow(run, schema)
 
 
-def join_split_sentences(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+def join_split_sentences(blocks: DataFrame, key: str = "doc_id", spread: bool = False) -> DataFrame:
     """blocks with continuations joined into the block they continue, and `joined`."""
-    return prepare(blocks, key).select(*blocks.columns, "joined")
+    return prepare(blocks, key, spread).select(*blocks.columns, "joined")
 
 
 def with_sections(blocks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -88,8 +88,8 @@ t AS (SELECT doc_id, unnest(['PageHeader', 'SectionHeader', 'Text', 'Footnote',
 SELECT doc_id, block_type, n FROM t WHERE n > 0"""
 
 
-def joined_blocks(spark, sf):
-    b = B.join_split_sentences(paper_blocks(spark, sf)).where("block_type = 'Text'")
+def joined_blocks(spark, sf, spread: bool = False):
+    b = B.join_split_sentences(paper_blocks(spark, sf), spread=spread).where("block_type = 'Text'")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "html"))), lambda r: r.html), "\n")
     return b.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("joined").alias("n_joined"), F.md5(texts).alias("digest"))
 
@@ -630,6 +630,7 @@ def _page_problems_sql() -> str:
 QUERIES = {
     "block_kinds": (block_kinds, EXPLODED),
     "joined_blocks": (joined_blocks, JOINED),
+    "joined_blocks_spread": (lambda spark, sf: joined_blocks(spark, sf, True), JOINED),
     "paper_metadata": (paper_metadata, METADATA),
     "paper_statistics": (paper_statistics, STATISTICS),
     "paper_figures": (paper_figures, FIGURES),

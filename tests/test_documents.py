@@ -161,3 +161,26 @@ def test_gate(spark):
     e = spark.createDataFrame([("d", i, x, ok) for i, (x, ok) in enumerate(GATE)], "doc_id string, seq long, event string, ok boolean")
     assert [r["outcome"] for r in J.review_gate(e).orderBy("seq").collect()] == GATE_WANT
 
+
+
+def test_joining_spreads(spark):
+    """Joined between barriers, documents are the same as joined whole: headings that hide a metadata
+    section in tags or entities, unknown kinds, chrome and floats included."""
+    import random
+
+    rng = random.Random(5)
+    heads = ["<h1>Methods</h1>", "<h2>Corresponding author</h2>", "<h2>Corre<b>sponding</b> author</h2>", "<h2>R&amp;D</h2>", "Auteur correspondant", "", None, "<h3>Results <i>here</i></h3>"]
+    words = ["The first part of", "goes on here", "and ends.", "Another one starts", "(lower case next", "Done!", ""]
+    kinds = ["Text"] * 9 + ["SectionHeader"] * 3 + ["PageHeader", "PageFooter", "Figure", "Caption", "Footnote", "Table", "Equation", "ListGroup", None]
+    rows = []
+    for d in ("a", "b", "c", None):
+        for i in range(0 if d == "c" else 400):
+            kind = rng.choice(kinds)
+            rows.append((d, i, kind, rng.choice(heads) if kind == "SectionHeader" else f"<p>{rng.choice(words)}</p>", i // 9, {}))
+    b = spark.createDataFrame(rows, "doc_id string, pos int, block_type string, html string, page int, images map<string,string>").withColumn("__segment", F.lit("x"))
+    told = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    whole, spread = B.prepare(b), B.prepare(b, spread=True)
+    assert told(whole) == told(spread) and whole.columns == spread.columns and whole.where("joined").count() > 50
+    assert B.prepare(b.where("false"), spread=True).count() == 0
+    sizes = B.segmented(b, "doc_id", "n").groupBy("doc_id", "n").count()
+    assert sizes.agg(F.max("count")).first()[0] < 60 and sizes.count() > 100
