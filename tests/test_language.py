@@ -119,6 +119,31 @@ def test_languages_apart(spark, ends):
     assert S.learn(nothing).starters == {} and L.learn(nothing).suffixes == {}
 
 
+def test_learning_reads_texts_once(spark, tmp_path):
+    """Counting, abbreviations, starters and collocations rest on one reading of the texts."""
+    rows = [(i, "Dr. Smith came. The end of it! No. 5 is 3. And so on.", "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    S.learn(spark.read.parquet(f"{tmp_path}/d").withColumn("text", seen("text")))
+    assert read.value == len(rows)
+
+
+def test_counted_tokens(spark):
+    """Occurrences by type, stop and the type after a stop, over languages and ends of texts."""
+    rows = [(1, "  (Dr. Smith) \"ends.\" Wait... 3. No", "en"), (2, "ends.", "en"), (3, "ends. Ends.", "fr"), (4, None, "fr"), (5, "x.", None)]
+    got = {tuple(r) for r in S.type_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {
+        ("en", "dr", True, "smith", 1), ("en", "smith", False, None, 1), ("en", "ends", True, "wait", 1), ("en", "ends", True, None, 1), ("en", "wait", False, None, 1),
+        ("en", "#", True, "no", 1), ("en", "no", False, None, 1), ("fr", "ends", True, "ends", 1), ("fr", "ends", True, None, 1),
+    }
+
+
 def test_terms_of_a_save(spark, model):
     """Alternatives count, empty ones don't, and a save raises TERMMIS and WORDDRIFT."""
     entries = [(0, "grid", "grille", ["réseau", " "], None, None), (1, "load", "charge", None, None, None), (2, "wind power", "énergie éolienne", [], None, None), (3, "tower", "", [""], None, None)]
