@@ -144,6 +144,14 @@ def test_counted_tokens(spark):
     }
 
 
+def test_starters_read_texts_once(spark, tmp_path):
+    """The query counts tokens once: what it returns reads no documents again."""
+    rows = [(i, "Dr. Smith came. The end of it! No. 5 is 3. And so on.", "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = language.sentence_starters(spark, str(tmp_path))
+    assert got.count() > 0 and not any("documents.parquet" in f for f in got.inputFiles())
+
+
 def test_terms_of_a_save(spark, model):
     """Alternatives count, empty ones don't, and a save raises TERMMIS and WORDDRIFT."""
     entries = [(0, "grid", "grille", ["réseau", " "], None, None), (1, "load", "charge", None, None, None), (2, "wind power", "énergie éolienne", [], None, None), (3, "tower", "", [""], None, None)]
