@@ -139,6 +139,17 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select("path", name.alias("name"), X.file_slug(F.regexp_replace(name, r"\.[^.]+$", "")).alias("slug"), F.lower(F.regexp_extract(name, r"\.[^.]+$", 0)).alias("extension"), "length", F.date_format("modificationTime", "yyyy-MM-dd HH:mm").alias("modified"))
 
 
+def entries(spark: SparkSession, folder: str, ending: str) -> DataFrame:
+    """(name, slug, extension) of what a folder itself holds under such names: files, and folders in which
+    there are files, as of tables in part files."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    depth = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).depth()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.get(F.split(F.regexp_replace("path", "^[^/:]+:(//[^/]*)?", ""), "/"), depth + 1)
+    below = found.select(name.alias("name")).where(F.endswith("name", F.lit(ending))).distinct()
+    return below.select("name", X.file_slug(F.regexp_replace("name", r"\.[^.]+$", "")).alias("slug"), F.lower(F.regexp_extract("name", r"\.[^.]+$", 0)).alias("extension"))
+
+
 def to_do(found: DataFrame, done: DataFrame, key: str = "slug", size: int = 5) -> DataFrame:
     """found that is not in done, with batch numbers of `size` in order of key; rows that tie keep the
     order of the input. Rows are numbered by all tasks."""

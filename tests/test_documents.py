@@ -184,3 +184,11 @@ def test_joining_spreads(spark):
     assert B.prepare(b.where("false"), spread=True).count() == 0
     sizes = B.segmented(b, "doc_id", "n").groupBy("doc_id", "n").count()
     assert sizes.agg(F.max("count")).first()[0] < 60 and sizes.count() > 100
+
+
+def test_tables_in_part_files_are_listed_once(spark, tmp_path):
+    top = tmp_path / "x.parquet" / "sf"
+    spark.range(9).repartition(3).write.parquet(f"{top}/many.parquet")
+    (top / "one.parquet").write_bytes(b"")
+    (top / "other.txt").write_text("x")
+    assert sorted(map(tuple, readers.entries(spark, str(top), ".parquet").collect())) == [("many.parquet", "many", ".parquet"), ("one.parquet", "one", ".parquet")]
