@@ -392,9 +392,9 @@ def body_start(elements: DataFrame, key: str = "doc_id") -> DataFrame:
     return elements.where(heading).groupBy(key).agg(F.min("pos").alias("start"))
 
 
-def page_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def page_blocks(pages: DataFrame, key: str = "page_id", ended: bool = False) -> DataFrame:
     """Layout blocks of web pages: headings, paragraphs and lists as the parser expects them."""
     kinds = F.when(F.col("tag").rlike("^h[1-6]$"), "SectionHeader").when(F.col("tag").isin("ul", "ol"), "ListGroup").when(F.col("tag") == "table", "Table").otherwise("Text")
     text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     html = F.concat(F.lit("<"), "tag", F.lit(">"), text, F.lit("</"), "tag", F.lit(">"))
-    return H.element_rows(pages, key).select(F.col(key).alias("doc_id"), "pos", kinds.alias("block_type"), html.alias("html"), F.lit(0).alias("page"), F.create_map().cast("map<string,string>").alias("images"))
+    return H.element_rows(pages, key, ended=ended).select(F.col(key).alias("doc_id"), "pos", kinds.alias("block_type"), html.alias("html"), F.lit(0).alias("page"), F.create_map().cast("map<string,string>").alias("images"))
