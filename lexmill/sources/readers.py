@@ -140,7 +140,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def entries(spark: SparkSession, folder: str, ending: str) -> DataFrame:
-    """(name, slug, extension) of what a folder itself holds under such names: files, and folders in which
+    """(name, slug, extension) of what a folder itself holds under such names: files that are not empty, and folders in which
     there are files, as of tables in part files."""
     top = spark._jvm.org.apache.hadoop.fs.Path(folder)
     depth = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).depth()

@@ -189,6 +189,6 @@ def test_joining_spreads(spark):
 def test_tables_in_part_files_are_listed_once(spark, tmp_path):
     top = tmp_path / "x.parquet" / "sf"
     spark.range(9).repartition(3).write.parquet(f"{top}/many.parquet")
-    (top / "one.parquet").write_bytes(b"")
+    (top / "one.parquet").write_bytes(b"PAR1")
     (top / "other.txt").write_text("x")
     assert sorted(map(tuple, readers.entries(spark, str(top), ".parquet").collect())) == [("many.parquet", "many", ".parquet"), ("one.parquet", "one", ".parquet")]
