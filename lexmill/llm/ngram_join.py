@@ -39,6 +39,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, LEVELS = 20, 8
 BLOCK = 1024  # members of a group compared at once
 GRAMS = 1 << 19  # n-grams of a block of a class
+FEW = 1 << 18  # links that one task joins: 4 MiB, whatever the number of links
 BAND = 0.05  # the recall measured is that of pairs at most this far above the threshold
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("equal", pa.int64()), ("pairs", pa.float64())])
 MARGIN = 3.5  # standard errors a signature's estimate may fall short of the threshold
@@ -126,11 +127,32 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
     return found.join(nodes.select("id", "a", "b", "size"), ["a", "b", "size"]).select("id", "grams")
 
 
-def components(links: DataFrame, most: int = 100) -> DataFrame:
-    """(id, class) of the nodes of links(u, v), class being the least id of the component. Large
-    and small stars alternate until nothing changes (an error if that takes more than `most` rounds,
-    far beyond the logarithm of any size); minima are combined before each shuffle, and edges of a
-    hot node are joined to its minimum by a join that Spark may split."""
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of links (u, v), in order, and the least one that each is joined to."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while len(apart := np.flatnonzero(label[a] != label[b])):
+        x, y = label[a[apart]], label[b[apart]]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return ids, ids[label]
+
+
+def components(links: DataFrame, most: int = 100, n: int | None = None) -> DataFrame:
+    """(id, class) of the nodes of n stashed links(u, v), class being the least id of the component.
+    Up to FEW links are joined by one task, without jobs of their own, as plans of rounds take far more of
+    the driver's memory. Of more, large and small stars alternate until nothing changes (an error if that
+    takes more than `most` rounds, far beyond the logarithm of any size); minima are combined before each
+    shuffle, and edges of a hot node are joined to its minimum by a join that Spark may split."""
+    if (links.count() if n is None else n) <= FEW:
+
+        def run(batches):
+            if held := list(batches):
+                u, v = (np.concatenate([batch.column(k).to_numpy() for batch in held]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in least_reached(u, v)], ["id", "class"])
+
+        return links.select("u", "v").where("u <> v").coalesce(1).mapInArrow(run, "id long, class long")
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges, before = stash(edges, "edges"), None
     for _ in range(most):
@@ -150,9 +172,9 @@ def components(links: DataFrame, most: int = 100) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("class"))).distinct()
 
 
-def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with the classes that links(u, v) between classes join made one."""
-    renamed = components(links).select(F.col("id").alias("class"), F.col("class").alias("to"))
+def merged(nodes: DataFrame, links: DataFrame, n: int | None = None) -> DataFrame:
+    """nodes with the classes that n links(u, v) between classes join made one."""
+    renamed = components(links, n=n).select(F.col("id").alias("class"), F.col("class").alias("to"))
     return nodes.join(renamed, "class", "left").select("id", "keys", F.coalesce("to", "class").alias("class"))
 
 
@@ -382,8 +404,8 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
             links = stash(step(typed, depth, threshold), "open")
             counts = {r["equal"]: r for r in links.groupBy("equal").agg(F.sum("pairs").alias("pairs"), F.count("u").alias("links")).collect()}  # at most one row a byte count
             pairs.update({equal: r["pairs"] for equal, r in counts.items() if equal is not None})
-            if any(r["links"] for r in counts.values()):
-                typed = stash(merged(typed, links.where("u is not null").select("u", "v")), "typed")
+            if n := sum(r["links"] for r in counts.values()):
+                typed = stash(merged(typed, links.where("u is not null").select("u", "v"), n), "typed")
         told.append((depth, measured(pairs, depth, threshold, recall)))
         if told[-1][1] >= recall:
             return typed, told

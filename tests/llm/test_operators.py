@@ -232,6 +232,37 @@ def test_large_groups_pass_on_rows_not_pairs(spark, monkeypatch):
     assert nj.across(nodes, 6).where("u is not null").count() < 240 * 6 * nj.TREES
 
 
+def test_components_of_few_links_take_one_job(spark, monkeypatch):
+    """Few links are joined without rounds of jobs, whose plans fill the driver; in rounds all the same classes."""
+    rng = random.Random(9)
+    links = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1100, 1400)] + [(k + 1, k) for k in range(-90, -40)]
+    links += [(rng.randrange(5000, 6000), rng.randrange(5000, 6000)) for _ in range(600)] + [(7, 7), (1000, 1100), (9001, 9001), (None, 5)]
+    rng.shuffle(links)
+    held = {}
+    for u, v in (x for x in links if None not in x and x[0] != x[1]):
+        both = held.get(u, {u}) | held.get(v, {v})
+        held.update(dict.fromkeys(both, both))
+    want = {x: min(of) for x, of in held.items()}
+    frame = nj.stash(spark.createDataFrame(links, "u long, v long").repartition(5), "test")
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsCount()
+    got = nj.components(frame, n=len(links)).collect()
+    assert runs.executionsCount() - before == 1 and len(got) == len(want) and {r["id"]: r["class"] for r in got} == want
+    assert nj.components(frame.where("u is null")).collect() == []
+    for few in (0, len(links) - 1):
+        monkeypatch.setattr(nj, "FEW", few)
+        got = nj.components(frame).collect()
+        assert len(got) == len(want) and {r["id"]: r["class"] for r in got} == want
+
+
+def test_keep_one_agrees_in_rounds(spark, monkeypatch):
+    """Classes are the same whether few or many links are joined at once."""
+    d = spark.createDataFrame(near_copies(30, 3) + [(100 + i, " ".join(["same"] * 40 + [f"y{i}"])) for i in range(9)], "doc_id long, text string")
+    want, kept = sorted(map(tuple, nj.join_similar(d).collect())), sorted(map(tuple, nj.keep_one(d).collect()))
+    monkeypatch.setattr(nj, "FEW", 0)
+    assert sorted(map(tuple, nj.join_similar(d).collect())) == want and sorted(map(tuple, nj.keep_one(d).collect())) == kept and len(kept) < len(want)
+
+
 def test_keep_one_loses_no_text(spark):
     """Rows without an id, or that repeat one, are documents of their own."""
     text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
