@@ -152,6 +152,30 @@ def test_starters_read_texts_once(spark, tmp_path):
     assert got.count() > 0 and not any("documents.parquet" in f for f in got.inputFiles())
 
 
+def test_rare_types_count(spark, tmp_path):
+    """Sentences are told by every abbreviation, starter and collocation, also by those in less than a
+    ten-thousandth of the stops of their language."""
+    texts = ["Dr. Smith ran off"] * 2 + ["Dr. Zed ran off"] + ["Long days. Zed sat down. Zed sat down. Zed sat down"] * 3 + ["Vol 5. Lee said so"] * 2 + ["Vol 6. Ann ran off", "Vol 7. lee ran off"]
+    want = [1] * 2 + [2] + [4] * 3 + [1] * 2 + [2, 1]
+    rare = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    filler = spark.range(1000, 1110).select(F.col("id").alias("doc_id"), F.repeat(F.lit("rain went on and on like that in all the long days of the rain. "), 1000).alias("text"), F.lit("en").alias("lang"))
+    rare.union(filler).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_sentences"] for r in language.learned_sentence_counts(spark, str(tmp_path)).collect()}
+    assert [got.pop(i) for i in range(len(want))] == want
+    assert len(got) == 110 and set(got.values()) == {1000}
+
+
+def test_counts_of_odd_texts(spark):
+    """Rows stay apart though keys repeat or are null, and texts of marks, blanks or stops alone are counted."""
+    texts = [("", 0), (None, 0), (" \n ", 0), ("...", 1), (".", 1), ("(\"End.\")", 1), ("aa.) bb.\u2029\u00a0c", 3), ("Is it? \"Yes.\" (No!) And more ", 4), ("J. K. Lee. M. P", 2), ("p. 3. of 4. In", 2), (".) (", 2), ("x.\n", 1), ("𝔁. 𝔂", 1)]
+    for lang in ("en", None):
+        df = spark.createDataFrame([(7 if i % 2 else None, t, lang, n) for i, (t, n) in enumerate(texts)], "doc_id long, text string, lang string, n int")
+        got = sorted(map(tuple, S.sentence_counts(df).collect()), key=str)
+        want = df.select("doc_id", S.Boundaries().count(F.col("text"), "").alias("n"), F.col("n").alias("by_hand")).collect()
+        assert got == sorted(((r["doc_id"], r["n"]) for r in want), key=str)
+        assert [r["n"] for r in want] == [r["by_hand"] for r in want]
+
+
 def test_terms_of_a_save(spark, model):
     """Alternatives count, empty ones don't, and a save raises TERMMIS and WORDDRIFT."""
     entries = [(0, "grid", "grille", ["réseau", " "], None, None), (1, "load", "charge", None, None, None), (2, "wind power", "énergie éolienne", [], None, None), (3, "tower", "", [""], None, None)]
